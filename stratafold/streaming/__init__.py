@@ -1,0 +1,5 @@
+"""No operator here keeps state over a stream, because none of the work this library covers does.
+
+Column builders and the application of already fitted statistics are projections, so they take
+streaming DataFrames as they are.
+"""
