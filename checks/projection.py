@@ -103,7 +103,7 @@ def _registry():
     registry = FeatureRegistry()
     registry.add("revenue", lambda: [rounded(num("l_extendedprice") * (1 - num("l_discount")), 4).alias("revenue")], drops=["l_discount"])
     registry.add("unit", lambda: [rounded(num("l_extendedprice") / num("l_quantity"), 8).alias("unit_price")])
-    registry.add("unit_sq", lambda: [rounded(F.col("unit_price") * F.col("unit_price"), 3).alias("unit_price_sq")], after=["unit"])
+    registry.add("unit_root", lambda: [rounded(F.sqrt("unit_price")).alias("unit_price_root")], after=["unit"])
     registry.add("tax", lambda: [rounded(num("l_extendedprice") * num("l_tax"), 4).alias("tax_due")])
     return registry
 
@@ -111,12 +111,12 @@ def _registry():
 @CHECKS.add(
     f"""SELECT {LK}, l_quantity, l_extendedprice, l_tax, {r('l_extendedprice * (1 - l_discount)', 4)} AS revenue,
         {r('l_extendedprice / l_quantity', 8)} AS unit_price,
-        {r(r('l_extendedprice / l_quantity', 8) + ' * ' + r('l_extendedprice / l_quantity', 8), 3)} AS unit_price_sq FROM lineitem"""
+        {r('sqrt(' + r('l_extendedprice / l_quantity', 8) + ')')} AS unit_price_root FROM lineitem"""
 )
 def feature_set(spark, sf_dir):
     """Feature groups switched on by name: one of four stays off."""
     lines = table(spark, sf_dir, "lineitem").select(*LINE_KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return _registry().apply(lines, ["unit_sq", "revenue", "unit"])
+    return _registry().apply(lines, ["unit_root", "revenue", "unit"])
 
 
 @CHECKS.add(

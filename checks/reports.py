@@ -44,11 +44,13 @@ def _nb_score_sql(cols):
 
 @CHECKS.add(" UNION ALL ".join(f"SELECT '{v}' AS variant, {_nb_score_sql(cols)} AS score" for v, cols in _VARIANTS.items()))
 def ablation_scores(spark, sf_dir):
-    """Cross-validated accuracy with feature groups left out, all variants in one plan."""
-    folded = folded_lines(spark, sf_dir)
-    classes = ["A", "N", "R"]
-    variants = {v: x.nb_cv_score(folded, "l_returnflag", cols, classes, FOLDS) for v, cols in _VARIANTS.items()}
-    return x.ablation_scores(variants).withColumn("score", rounded("score"))
+    """Cross-validated accuracy with feature groups left out; the folded table is shared."""
+
+    def scorer(cols):
+        return lambda df: x.nb_cv_score(df, "l_returnflag", cols, ["A", "N", "R"], FOLDS)
+
+    scores = x.ablation_scores(folded_lines(spark, sf_dir), {v: scorer(cols) for v, cols in _VARIANTS.items()})
+    return scores.withColumn("score", rounded("score"))
 
 
 @CHECKS.add(f"WITH {_effects_sql()} SELECT variant, score, effect FROM e")

@@ -93,55 +93,97 @@ def class_presence(df: DataFrame, label: str, fold: str = "fold", folds: list[in
 # --- column profiles -------------------------------------------------------------------------
 
 
-def stats_struct(c: str) -> Column:
-    """n, mean, m2 (sum of squared deviations), min and max of the present values of one column."""
-    x = present(c)
-    n = F.count(x)
-    return F.struct(
-        n.alias("n"),
-        F.avg(x).alias("mean"),
-        (F.var_pop(x) * n).alias("m2"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-    ).alias(c)
+def stats_array(cols: list[str]) -> Column:
+    """Aggregate: per column its position and name, n, mean, m2 (sum of squared deviations), min and max.
 
+    Missing values are left out. One array holds all columns, in their order.
+    """
+    entries = []
+    for i, c in enumerate(cols):
+        x = present(c)
+        n = F.count(x)
+        entries.append(
+            F.struct(
+                F.lit(i).alias("at"),
+                F.lit(c).alias("column"),
+                n.alias("n"),
+                F.avg(x).alias("mean"),
+                (F.var_pop(x) * n).alias("m2"),
+                F.min(x).alias("min"),
+                F.max(x).alias("max"),
+            )
+        )
+    return F.array(*entries)
 
-def wide_stats(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
-    """One struct column of statistics per input column, from one aggregation for all of them."""
-    return df.groupBy(*by).agg(*[stats_struct(c) for c in cols])
 
+def grouped_stats(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
+    """(by.., rows, stats): statistics of all columns from one aggregation."""
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), stats_array(cols).alias("stats"))
 
-def column_stats(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
-    """(by.., column, n, mean, std, min, max) with the population standard deviation."""
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in cols])
+
+def merge_stats(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of the union of disjoint parts, from rows (keys.., rows, n, mean, m2, min, max).
+
+    Deviations are taken from the merged mean, which keeps the precision that sums of squares lose.
+    """
+    group = Window.partitionBy(*keys)
+    mean = F.try_divide(F.sum(F.col("n") * F.col("mean")).over(group), F.sum("n").over(group))
+    shift = F.col("mean") - F.col("_mean")
     return (
-        wide_stats(df, cols, by)
-        .select(*by, F.inline(entries))
-        .select(
-            *by,
-            "column",
-            "s.n",
-            "s.mean",
-            F.sqrt(F.try_divide(F.col("s.m2"), F.col("s.n"))).alias("std"),
-            "s.min",
-            "s.max",
+        parts.withColumn("_mean", mean)
+        .groupBy(*keys)
+        .agg(
+            F.sum("rows").alias("rows"),
+            F.sum("n").alias("n"),
+            F.max("_mean").alias("mean"),
+            F.sum(F.col("m2") + F.col("n") * shift * shift).alias("m2"),
+            F.min("min").alias("min"),
+            F.max("max").alias("max"),
         )
     )
 
 
-def profile_struct(c: str) -> Column:
-    return F.struct(
-        F.count_if(is_missing(c)).alias("n_missing"),
-        F.count_if(is_infinite(c)).alias("n_infinite"),
-        F.min(finite(c)).alias("finite_min"),
-        F.max(finite(c)).alias("finite_max"),
-    ).alias(c)
+def held_out_parts(stats: DataFrame, by: list[str], folds: list[int], fold: str = "fold") -> DataFrame:
+    """Grouped statistics, one row per column, repeated for each held-out fold whose training set they belong to.
+
+    A NULL fold belongs to every training set. The rows number folds x groups x columns, not table rows;
+    they are placed by held-out fold once, so merging them moves nothing further.
+    """
+    held = F.explode(F.array(*[F.lit(f) for f in folds]))
+    return (
+        stats.select(fold, *by, "rows", F.inline("stats"))
+        .withColumn("_held", held)
+        .where(F.col(fold).isNull() | (F.col(fold) != F.col("_held")))
+        .drop(fold)
+        .repartition("_held")
+    )
+
+
+def column_stats(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
+    """(by.., column, n, mean, std, min, max) with the population standard deviation."""
+    std = F.sqrt(F.try_divide(F.col("m2"), F.col("n"))).alias("std")
+    return grouped_stats(df, cols, by).select(*by, F.inline("stats")).select(*by, "column", "n", "mean", std, "min", "max")
+
+
+def profile_array(cols: list[str]) -> Column:
+    """Aggregate: per column the numbers of missing and infinite values and the finite bounds."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.count_if(is_missing(c)).alias("n_missing"),
+                F.count_if(is_infinite(c)).alias("n_infinite"),
+                F.min(finite(c)).alias("finite_min"),
+                F.max(finite(c)).alias("finite_max"),
+            )
+            for c in cols
+        ]
+    )
 
 
 def null_inf_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, n_missing, n_infinite, finite_min, finite_max); missing is NULL or NaN."""
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in cols])
-    return df.agg(*[profile_struct(c) for c in cols]).select(F.inline(entries)).select("column", "s.*")
+    return df.agg(profile_array(cols).alias("p")).select(F.inline("p"))
 
 
 # --- exact medians ---------------------------------------------------------------------------

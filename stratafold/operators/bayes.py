@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..bounded import pin
 from ..functions.scalar import argmax, decode, num
-from .aggregates import stats_struct
-from .scaling import merge_parts
+from .aggregates import grouped_stats, held_out_parts, merge_stats
 
 VARIANCE_FLOOR = 1e-9  # share of the largest feature variance added to every variance
 
@@ -25,48 +24,49 @@ def class_list(df: DataFrame, label: str) -> list:
 def fit_gaussian_nb(
     df: DataFrame, label: str, cols: list[str], classes: list, fold: str | None = None, folds: list[int] = ()
 ) -> DataFrame:
-    """One row per held-out fold (or one row) with a struct (class, const, mean[], scale[]) per class.
+    """One row per held-out fold (or one row) with a struct (const, mean[], scale[]) per class.
 
-    The table is aggregated once by (fold, label). All later steps see at most folds x classes rows,
-    because only the listed folds and classes are kept.
+    The table is aggregated once by (fold, label); what follows works on folds x classes x columns rows
+    that are placed by fold once. Rows of other classes do not train, and each fold's row holds the
+    listed classes only, so its size is known. The classes are picked by conditions inside the
+    aggregates: a filter would reach the scan of this branch alone, which then could not share the
+    fold shuffle with the scoring branch.
     """
-    labelled = df.where(F.col(label).isin(list(classes)))
-    by = [fold, label] if fold else [label]
-    counts = labelled.groupBy(*by).agg(F.count("*").alias("_rows"), *[stats_struct(c) for c in cols])
-    held = F.explode(F.array(*[F.lit(f) for f in folds])) if fold else F.lit(0)
-    trained = counts.withColumn("_held", held)
+    listed = F.col(label).isin(list(classes))
     if fold:
-        trained = trained.where(F.col(fold).isNull() | (F.col(fold) != F.col("_held")))
-    per_class = (
-        trained.groupBy("_held", label)
-        .agg(F.sum("_rows").alias("_rows"), F.collect_list(F.struct(*cols)).alias("_parts"))
-        .select("_held", label, "_rows", *[merge_parts("_parts", c).alias(c) for c in cols])
+        parts = held_out_parts(grouped_stats(df, cols, [fold, label]), [label], folds, fold)
+    else:
+        whole = grouped_stats(df, cols, [label])
+        parts = whole.select(label, "rows", F.inline("stats")).withColumn("_held", F.lit(0)).repartition("_held")
+    per_class = merge_stats(parts, ["_held", label, "at"])
+    numbers = [F.when(listed, F.col(c)).alias(c) for c in ("rows", "n", "mean", "m2")]
+    column, whole_fold = Window.partitionBy("_held", "at"), Window.partitionBy("_held")
+    n_all = F.sum("n").over(column)
+    off = F.col("mean") - F.col("_mean")
+    floor = F.lit(VARIANCE_FLOOR) * F.max("_spread").over(whole_fold)
+    fitted = (
+        per_class.select("_held", label, "at", *numbers)
+        .withColumn("_mean", F.sum(F.col("n") * F.col("mean")).over(column) / n_all)
+        .withColumn("_spread", F.sum(F.col("m2") + F.col("n") * off * off).over(column) / n_all)
+        .withColumn("_total", F.sum("rows").over(column))
+        .withColumn("_var", F.col("m2") / F.col("n") + floor)
+    )
+    entry = F.struct("at", "mean", (F.lit(0.5) / F.col("_var")).alias("scale"))
+    prior = F.log(F.max("rows") / F.max("_total"))
+    per_label = fitted.groupBy("_held", label).agg(
+        (prior - 0.5 * F.sum(F.log(F.lit(2 * math.pi) * F.col("_var")))).alias("const"),
+        F.sort_array(F.collect_list(entry)).alias("_cols"),
     )
-    whole = F.collect_list(F.struct(F.col(label).alias("_label"), "_rows", *cols)).alias("_parts")
-    model = per_class.groupBy("_held").agg(F.sum("_rows").alias("_total"), whole)
-    spread = [merge_parts("_parts", c) for c in cols]
-    floor = F.lit(VARIANCE_FLOOR) * F.greatest(*[s["m2"] / s["n"] for s in spread], F.lit(0.0))
-    model = model.withColumn("_floor", floor)
-    structs = [_class_struct(c, cols).alias(_slot(i)) for i, c in enumerate(classes)]
-    return model.select(*([F.col("_held").alias(fold)] if fold else []), *structs)
+    one = F.struct(label, F.struct("const", F.col("_cols.mean").alias("mean"), F.col("_cols.scale").alias("scale")))
+    models = per_label.groupBy("_held").agg(F.map_from_entries(F.collect_list(F.when(listed, one))).alias("_m"))
+    slots = [F.col("_m")[F.lit(c)].alias(_slot(i)) for i, c in enumerate(classes)]
+    return models.select(*([F.col("_held").alias(fold)] if fold else []), *slots)
 
 
 def _slot(i: int) -> str:
     return f"_nb_{i}"
 
 
-def _class_struct(c, cols: list[str]) -> Column:
-    """Constant, means and 1 / (2 variance) of one class; NULL when the training rows lack it."""
-    part = F.get(F.filter("_parts", lambda p: p["_label"] == F.lit(c)), F.lit(0))
-    variances = [part[x]["m2"] / part[x]["n"] + F.col("_floor") for x in cols]
-    log_norm = sum((F.log(F.lit(2 * math.pi) * v) for v in variances), F.lit(0.0))
-    return F.struct(
-        (F.log(part["_rows"] / F.col("_total")) - F.lit(0.5) * log_norm).alias("const"),
-        F.array(*[part[x]["mean"] for x in cols]).alias("mean"),
-        F.array(*[F.lit(0.5) / v for v in variances]).alias("scale"),
-    )
-
-
 def _score(i: int, cols: list[str]) -> Column:
     m = F.col(_slot(i))
     terms = [(num(x) - m["mean"][j]) * (num(x) - m["mean"][j]) * m["scale"][j] for j, x in enumerate(cols)]

@@ -12,58 +12,31 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import is_finite, is_infinite, num, present
-from .aggregates import exact_medians, profile_struct, wide_stats
+from .aggregates import exact_medians, grouped_stats, held_out_parts, merge_stats, profile_array
 
 _STATS = "_stats"
 
 
 def fit_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row with a struct (n, mean, m2, min, max) per column."""
-    return wide_stats(df, cols)
+    """One row (rows, stats): n, mean, m2, min and max of every column, in the order of ``cols``."""
+    return grouped_stats(df, cols)
 
 
 def fit_stats_per_fold(df: DataFrame, cols: list[str], folds: list[int], fold: str = "fold") -> DataFrame:
-    """One row per held-out fold with the statistics of the other folds' rows.
-
-    The table is aggregated once, by fold. A NULL fold belongs to every training set. Means and squared
-    deviations of the parts are merged, which keeps the precision that sums of squares lose.
-    """
-    parts = wide_stats(df, cols, [fold])
-    held = (
-        parts.withColumn("_held", F.explode(F.array(*[F.lit(f) for f in folds])))
-        .where(F.col(fold).isNull() | (F.col(fold) != F.col("_held")))
-        .groupBy(F.col("_held").alias(fold))
-        .agg(F.collect_list(F.struct(*cols)).alias("_parts"))
-    )
-    return held.select(fold, *[merge_parts("_parts", c).alias(c) for c in cols])
-
-
-def _fold_sum(parts: str, term: Callable[[Column], Column]) -> Column:
-    return F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + F.coalesce(term(p).cast("double"), F.lit(0.0)))
-
-
-def merge_parts(parts: str, c: str) -> Column:
-    """Statistics of the union of disjoint parts."""
-    n = _fold_sum(parts, lambda p: p[c]["n"])
-    mean = F.try_divide(_fold_sum(parts, lambda p: p[c]["n"] * p[c]["mean"]), n)
-    m2 = _fold_sum(parts, lambda p: p[c]["m2"] + p[c]["n"] * (p[c]["mean"] - mean) * (p[c]["mean"] - mean))
-    return F.struct(
-        n.cast("long").alias("n"),
-        mean.alias("mean"),
-        m2.alias("m2"),
-        F.array_min(F.transform(parts, lambda p: p[c]["min"])).alias("min"),
-        F.array_max(F.transform(parts, lambda p: p[c]["max"])).alias("max"),
-    )
+    """One row (fold, stats) per held-out fold, about the rows of the other folds. The table is aggregated once, by fold."""
+    parts = held_out_parts(grouped_stats(df, cols, [fold]), [], folds, fold)
+    merged = merge_stats(parts, ["_held", "at"])
+    entry = F.struct("at", "n", "mean", "m2", "min", "max")
+    return merged.groupBy(F.col("_held").alias(fold)).agg(F.sort_array(F.collect_list(entry)).alias("stats"))
 
 
 def _apply(df: DataFrame, stats: DataFrame, cols: list[str], rule: Callable[[str, Column], Column], fold: str | None) -> DataFrame:
     if fold is None:
-        joined = df.withColumn(_STATS, stats.select(F.struct(*cols)).scalar())
+        joined = df.withColumn(_STATS, stats.select("stats").scalar())
     else:
         # one row per listed fold by construction of fit_stats_per_fold
-        packed = stats.select(fold, F.struct(*cols).alias(_STATS))
-        joined = df.join(F.broadcast(packed), [fold], "left")
-    return joined.withColumns({c: rule(c, F.col(_STATS)[c]) for c in cols}).drop(_STATS)
+        joined = df.join(F.broadcast(stats.select(fold, F.col("stats").alias(_STATS))), [fold], "left")
+    return joined.withColumns({c: rule(c, F.col(_STATS)[i]) for i, c in enumerate(cols)}).drop(_STATS)
 
 
 def apply_standard(df: DataFrame, stats: DataFrame, cols: list[str], fold: str | None = None) -> DataFrame:
@@ -114,7 +87,7 @@ def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     Two steps in that order: the first median counts infinities as values, the second counts the
     filled-in ones.
     """
-    seen = df.agg(*[profile_struct(c) for c in cols]).first()
+    seen = dict(zip(cols, df.agg(profile_array(cols)).first()[0]))
     lacking = [c for c in cols if seen[c]["n_missing"]]
     first = exact_medians(df, {c: present(c) for c in lacking})
     filled = {c: F.coalesce(present(c), F.lit(first[c]).cast("double")) if c in first else num(c) for c in cols}
@@ -128,7 +101,7 @@ def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def cap_infinite(df: DataFrame, cols: list[str]) -> DataFrame:
     """+inf becomes the finite maximum + 1, -inf the finite minimum - 1, or 0 without any finite value."""
-    bounds = df.agg(*[profile_struct(c) for c in cols])
+    bounds = df.agg(profile_array(cols).alias("stats"))
 
     def rule(c: str, s: Column) -> Column:
         high = F.coalesce(s["finite_max"] + 1, F.lit(0.0))

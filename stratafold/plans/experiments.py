@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -15,9 +16,18 @@ def nb_cv_score(folded: DataFrame, label: str, cols: list[str], classes: list, f
     return cv_score(nb_out_of_fold(folded, label, cols, folds, classes, fold), label, "prediction", fold)
 
 
-def ablation_scores(variants: dict[str, DataFrame]) -> DataFrame:
-    """(variant, score) from {name: one-row score table}. Variants of one table share its scan and shuffle."""
-    return reduce(DataFrame.unionByName, [score.select(F.lit(name).alias("variant"), "score") for name, score in variants.items()])
+def ablation_scores(df: DataFrame, variants: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(variant, score) from {name: function of the table to a one-row score}.
+
+    The table is cached while all variants are scored, so its folds are made once however many there are.
+    """
+    df = df.persist()
+    try:
+        scored = [score(df).select(F.lit(name).alias("variant"), "score") for name, score in variants.items()]
+        rows = reduce(DataFrame.unionByName, scored).collect()
+    finally:
+        df.unpersist()
+    return df.sparkSession.createDataFrame([(r["variant"], r["score"]) for r in rows], "variant string, score double")
 
 
 def ablation_effects(scores: DataFrame, baseline: str, sign: str = "drop") -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -30,6 +32,14 @@ Learner = Callable[[DataFrame], Predictor]
 _VEC, _IDX, _PROB = "_vector", "_index", "_probability"
 
 
+def _each(items: list, fn: Callable, parallelism: int) -> list:
+    """Run independent fits side by side: one fit alone rarely fills a cluster."""
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(fn), items)
+
+
 def _index(label: str, classes: list) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)).cast("double") - 1
 
@@ -108,6 +118,7 @@ def boosted(
     validation: str | None = None,
     tolerance: float = 0.01,
     seed: int = 42,
+    parallelism: int = 4,
 ) -> Learner:
     """Boosted trees, one binary model per class, their probabilities normalised to sum to one.
 
@@ -117,15 +128,17 @@ def boosted(
 
     def fit(train: DataFrame) -> Predictor:
         prepared = _prepare(train, cols).select(_VEC, label, *([validation] if validation else [])).persist()
-        models = []
+        params = dict(maxIter=rounds, stepSize=rate, subsamplingRate=subsample, maxDepth=depth, featureSubsetStrategy=features, minInfoGain=min_gain, seed=seed)
+        if validation:
+            params.update(validationIndicatorCol=validation, validationTol=tolerance)
+
+        def fit_class(c):
+            estimator = GBTClassifier(featuresCol=_VEC, labelCol=_IDX, predictionCol="_pred", **params)
+            estimator = estimator.setProbabilityCol(_PROB).setRawPredictionCol("_raw")
+            return estimator.fit(prepared.withColumn(_IDX, (F.col(label) == F.lit(c)).cast("double")))
+
         try:
-            for c in classes:
-                params = dict(maxIter=rounds, stepSize=rate, subsamplingRate=subsample, maxDepth=depth, featureSubsetStrategy=features, minInfoGain=min_gain, seed=seed)
-                if validation:
-                    params.update(validationIndicatorCol=validation, validationTol=tolerance)
-                estimator = GBTClassifier(featuresCol=_VEC, labelCol=_IDX, predictionCol="_pred", **params)
-                estimator = estimator.setProbabilityCol(_PROB).setRawPredictionCol("_raw")
-                models.append(estimator.fit(prepared.withColumn(_IDX, (F.col(label) == F.lit(c)).cast("double"))))
+            models = _each(classes, fit_class, parallelism)
         finally:
             prepared.unpersist()
 
@@ -195,16 +208,17 @@ def seed_ensemble(make: Callable[[int], Learner], seeds: list[int], classes: lis
 # --- validation ------------------------------------------------------------------------------
 
 
-def out_of_fold(df: DataFrame, learner: Learner, folds: list[int], fold: str = "fold") -> DataFrame:
+def out_of_fold(df: DataFrame, learner: Learner, folds: list[int], fold: str = "fold", parallelism: int = 3) -> DataFrame:
     """Predictions of every validation row by the model fitted on the other folds."""
-    return reduce(DataFrame.unionByName, [learner(train_of(df, f, fold))(valid_of(df, f, fold)) for f in folds])
+    fits = _each(list(folds), lambda f: learner(train_of(df, f, fold)), parallelism)
+    return reduce(DataFrame.unionByName, [predict(valid_of(df, f, fold)) for f, predict in zip(folds, fits)])
 
 
-def cross_validate(df: DataFrame, learner: Learner, label: str, folds: list[int], fold: str = "fold") -> DataFrame:
+def cross_validate(df: DataFrame, learner: Learner, label: str, folds: list[int], fold: str = "fold", parallelism: int = 3) -> DataFrame:
     """(fold, accuracy). The folded table is cached over the fits, since every fit passes over it many times."""
     df = df.persist()
     try:
-        rows = accuracy(out_of_fold(df, learner, folds, fold), label, "prediction", [fold]).collect()
+        rows = accuracy(out_of_fold(df, learner, folds, fold, parallelism), label, "prediction", [fold]).collect()
     finally:
         df.unpersist()
     return df.sparkSession.createDataFrame([(r[fold], r["accuracy"]) for r in rows], f"{fold} int, accuracy double")
