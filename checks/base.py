@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from stratafold.functions.scalar import ColumnLike, col
 from stratafold.sources.tables import read_table
 
-LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # only the four together identify a row
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # fewer do not identify a row
 LK = ", ".join(LINE_KEY)
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 FOLDS = [0, 1, 2]

@@ -82,7 +82,7 @@ def predict_gaussian_nb(
     """
     slots = [_slot(i) for i in range(len(classes))]
     if fold:
-        scored = df.join(F.broadcast(model), [fold], "left")
+        scored = df.join(F.broadcast(model), [fold], "left").select(*df.columns, *slots)
     else:
         scored = df.withColumn("_model", model.select(F.struct(*slots)).scalar()).select("*", "_model.*").drop("_model")
     scored = scored.withColumn("scores", F.array(*[_score(i, cols) for i in range(len(classes))])).drop(*slots)

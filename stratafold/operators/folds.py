@@ -26,7 +26,7 @@ def with_group_rank(
     only the counts per (group, bucket) are added up per group. The counts join on the columns the
     ranking was partitioned by, so the table itself is shuffled and sorted once.
     """
-    parts = [*group, bucket]
+    parts = [bucket, *group]
     counts = df.groupBy(*parts).agg(F.count("*").alias("_n"))
     by_group = Window.partitionBy(*group)
     before = by_group.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -36,7 +36,7 @@ def with_group_rank(
     return (
         local.join(offsets, parts, "left")
         .withColumn(rank, F.col("_local") + F.coalesce("_before", F.lit(0)))
-        .drop("_local", "_before")
+        .select(*df.columns, rank, *([size] if size else []))
     )
 
 
@@ -49,8 +49,8 @@ def _hash_digits(df: DataFrame) -> int:
 def _ranked(df: DataFrame, key: list[str], group: list[str], seed: int | Column, size: str | None = None) -> DataFrame:
     hashed = df.withColumn("_hash", hash_order(key, seed))
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, _hash_digits(df)))
-    order = [F.col("_hash"), *[F.col(k) for k in key]]
-    return with_group_rank(hashed, group, order, "_bucket", size=size).drop("_hash", "_bucket")
+    # distinct keys have distinct hashes, so the key columns themselves need not travel for the order
+    return with_group_rank(hashed, group, [F.col("_hash")], "_bucket", size=size).drop("_hash", "_bucket")
 
 
 def stratified_kfold(
@@ -99,4 +99,4 @@ def class_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFram
 
 def balanced_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
     """Add the class weight to every row."""
-    return join_small(df, class_weights(df, label, weight), [label], "left")
+    return join_small(df, class_weights(df, label, weight), [label], "left").select(*df.columns, weight)

@@ -62,12 +62,12 @@ def nearest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray
         for i in range(0, len(rows), 200_000):
             part = slice(i, i + 200_000)
             gap = q[rows[part]] - points[cols[part]]
-            exact[part] = (gap * gap).sum(1)
+            exact[part] = np.sqrt((gap * gap).sum(1))
         order = np.lexsort((cols, exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         keep = place < k
-        found.append((rows[keep] + at, cols[keep], np.sqrt(exact[keep])))
+        found.append((rows[keep] + at, cols[keep], exact[keep]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 

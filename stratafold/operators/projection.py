@@ -89,7 +89,7 @@ def flag_in(df: DataFrame, column: str, values: DataFrame, flag: str) -> DataFra
     if pinned is not None:
         return df.withColumn(flag, F.coalesce(in_list(F.col(column), pinned.values(name)), F.lit(False)))
     listed = values.select(F.col(name).alias(column), F.lit(True).alias(flag))
-    return df.join(listed, [column], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return df.join(listed, [column], "left").select(*df.columns, F.coalesce(flag, F.lit(False)).alias(flag))
 
 
 def replace_values(df: DataFrame, column: str, values: DataFrame, by: Column) -> DataFrame:

@@ -36,7 +36,7 @@ def _apply(df: DataFrame, stats: DataFrame, cols: list[str], rule: Callable[[str
     else:
         # one row per listed fold by construction of fit_stats_per_fold
         joined = df.join(F.broadcast(stats.select(fold, F.col("stats").alias(_STATS))), [fold], "left")
-    return joined.withColumns({c: rule(c, F.col(_STATS)[i]) for i, c in enumerate(cols)}).drop(_STATS)
+    return joined.withColumns({c: rule(c, F.col(_STATS)[i]) for i, c in enumerate(cols)}).select(*df.columns)
 
 
 def apply_standard(df: DataFrame, stats: DataFrame, cols: list[str], fold: str | None = None) -> DataFrame:

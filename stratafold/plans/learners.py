@@ -8,7 +8,7 @@ along, so no join by position or key is needed after scoring.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -18,7 +18,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalar import argmax, decode, mix
 from ..operators.aggregates import accuracy
@@ -30,6 +30,7 @@ Predictor = Callable[[DataFrame], DataFrame]
 Learner = Callable[[DataFrame], Predictor]
 
 _VEC, _IDX, _PROB = "_vector", "_index", "_probability"
+_COLUMNS = dict(featuresCol=_VEC, labelCol=_IDX, probabilityCol=_PROB, rawPredictionCol="_raw", predictionCol="_pred")
 
 
 def _each(items: list, fn: Callable, parallelism: int) -> list:
@@ -37,7 +38,7 @@ def _each(items: list, fn: Callable, parallelism: int) -> list:
     if parallelism <= 1 or len(items) <= 1:
         return [fn(x) for x in items]
     with ThreadPool(min(parallelism, len(items))) as pool:
-        return pool.map(inheritable_thread_target(fn), items)
+        return pool.map(inheritable_thread_target(SparkSession.active())(fn), items)
 
 
 def _index(label: str, classes: list) -> Column:
@@ -53,9 +54,11 @@ def _finish(df: DataFrame, probability: Column, classes: list) -> DataFrame:
     return df.select(*kept, probability.alias("probability")).withColumn("prediction", decode(argmax("probability"), classes))
 
 
-def _from_estimator(estimator: Estimator, cols: list[str], label: str, classes: list) -> Learner:
+def _from_estimator(make: Callable[[], Estimator], cols: list[str], label: str, classes: list) -> Learner:
+    """The estimator is made anew for each fit, so that fits can run side by side."""
+
     def fit(train: DataFrame) -> Predictor:
-        model = estimator.fit(_prepare(train, cols).withColumn(_IDX, _index(label, classes)))
+        model = make().fit(_prepare(train, cols).withColumn(_IDX, _index(label, classes)))
         n = getattr(model, "numClasses", len(classes))
 
         def predict(df: DataFrame) -> DataFrame:
@@ -85,16 +88,14 @@ def forest(
     params = dict(numTrees=trees, maxDepth=depth, featureSubsetStrategy=features, minInstancesPerNode=min_leaf, seed=seed)
     if weight:
         params["weightCol"] = weight
-    estimator = RandomForestClassifier(featuresCol=_VEC, labelCol=_IDX, probabilityCol=_PROB, rawPredictionCol="_raw", predictionCol="_pred", **params)
-    return _dropping(_from_estimator(estimator, cols, label, classes), "_raw", "_pred")
+    make = partial(RandomForestClassifier, **_COLUMNS, **params)
+    return _dropping(_from_estimator(make, cols, label, classes), "_raw", "_pred")
 
 
 def logistic(cols: list[str], label: str, classes: list, **params) -> Learner:
     """Multinomial logistic regression."""
-    estimator = LogisticRegression(
-        featuresCol=_VEC, labelCol=_IDX, probabilityCol=_PROB, rawPredictionCol="_raw", predictionCol="_pred", family="multinomial", **params
-    )
-    return _dropping(_from_estimator(estimator, cols, label, classes), "_raw", "_pred")
+    make = partial(LogisticRegression, family="multinomial", **_COLUMNS, **params)
+    return _dropping(_from_estimator(make, cols, label, classes), "_raw", "_pred")
 
 
 def _dropping(learner: Learner, *cols: str) -> Learner:

@@ -226,7 +226,7 @@ def recipe_names() -> list[str]:
 
 
 def derive(df: DataFrame, names: list[str]) -> DataFrame:
-    """Add the named terrain features in one projection."""
+    """Add the named terrain features in one projection. Spark tells columns apart regardless of case."""
     by_name = {name: expression for known, expression in _recipes() for name in known}
     return df.withColumns({name: by_name[name] for name in names})
 
