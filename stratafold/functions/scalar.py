@@ -177,10 +177,14 @@ def decode(index: ColumnLike, classes: list) -> Column:
 # --- text ------------------------------------------------------------------------------------
 
 
+# The characters that count as white space.
+_WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def first_line(c: ColumnLike, width: int = 60) -> Column:
     """First line of the stripped text, cut to ``width`` characters; NULL for blank text."""
-    stripped = F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
-    line = F.element_at(F.split(stripped, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), 1)
+    stripped = F.btrim(col(c), F.lit(_WHITE))
+    line = F.element_at(F.split(stripped, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", 2), 1)
     return F.when(F.length(stripped) > 0, F.substring(line, 1, width))
 
 

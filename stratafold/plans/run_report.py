@@ -17,13 +17,13 @@ from ..operators.folds import with_group_rank
 # Record keys of a log. Each pattern comes with its phase, the four order numbers and the
 # label; {n} stands for the n-th number in the key.
 STEP_KEYS = [
-    (r"^init_code_exec_result_(\d+)_(\d+)$", "Init", ("0", "0", "0", "{2}"), "sol{1} cand{2}"),
-    (r"^merger_code_exec_result_(\d+)_(\d+)$", "Merge", ("0", "1", "0", "{2}"), "sol{1} round{2}"),
-    (r"^train_code_exec_result_(\d+)_(\d+)$", "Base", ("1", "{1}", "0", "0"), "step{1}"),
-    (r"^ablation_code_exec_result_(\d+)_(\d+)$", "Ablation", ("1", "{1}", "1", "0"), "step{1}"),
-    (r"^train_code_improve_exec_result_(\d+)_(\d+)_(\d+)$", "Improve", ("1", "{2}", "2", "{1}"), "step{2} plan{1}"),
-    (r"^ensemble_code_exec_result_(\d+)$", "Ensemble", ("2", "0", "0", "{1}"), "round{1}"),
-    (r"^submission_code_exec_result$", "Submit", ("3", "0", "0", "0"), "final"),
+    (r"init_code_exec_result_\d+_\d+", "Init", ("0", "0", "0", "{2}"), "sol{1} cand{2}"),
+    (r"merger_code_exec_result_\d+_\d+", "Merge", ("0", "1", "0", "{2}"), "sol{1} round{2}"),
+    (r"train_code_exec_result_\d+_\d+", "Base", ("1", "{1}", "0", "0"), "step{1}"),
+    (r"ablation_code_exec_result_\d+_\d+", "Ablation", ("1", "{1}", "1", "0"), "step{1}"),
+    (r"train_code_improve_exec_result_\d+_\d+_\d+", "Improve", ("1", "{2}", "2", "{1}"), "step{2} plan{1}"),
+    (r"ensemble_code_exec_result_\d+", "Ensemble", ("2", "0", "0", "{1}"), "round{1}"),
+    (r"submission_code_exec_result", "Submit", ("3", "0", "0", "0"), "final"),
 ]
 
 # Settings shown in a run's header, in display order, with their titles.
@@ -46,20 +46,20 @@ HEADER_KEYS = {
 ORDER = ["o1", "o2", "o3", "o4"]
 
 
-def _filled(template: str, pattern: str) -> Column:
-    """Column for a template whose {n} are groups of the pattern matched against ``entry``."""
+def _filled(template: str) -> Column:
+    """Column for a template whose {n} are the numbers in the key."""
     parts, rest = [], template
     while "{" in rest:
         head, _, tail = rest.partition("{")
         number, _, rest = tail.partition("}")
-        parts += [F.lit(head), F.regexp_extract("entry", pattern, int(number))]
+        parts += [F.lit(head), F.get("_numbers", F.lit(int(number) - 1))]
     return F.concat(*parts, F.lit(rest)) if parts else F.lit(template)
 
 
-def _by_pattern(value: Callable[[tuple], Column]) -> Column:
+def _by_kind(value: Callable[[tuple], Column]) -> Column:
     out = None
-    for spec in STEP_KEYS:
-        hit = F.col("entry").rlike(spec[0])
+    for i, spec in enumerate(STEP_KEYS):
+        hit = F.col("_kind") == i
         out = F.when(hit, value(spec)) if out is None else out.when(hit, value(spec))
     return out
 
@@ -67,30 +67,45 @@ def _by_pattern(value: Callable[[tuple], Column]) -> Column:
 def parse_steps(entries: DataFrame) -> DataFrame:
     """(run, pos, entry, o1..o4, phase, ident, score, time_s, returncode, note): one row per recognised record.
 
-    A record is an object with an execution time or a return code. Other entries are ignored.
+    A record is an object with an execution time or a return code. Other entries are ignored. The key
+    is matched once; its kind and numbers give all the columns that depend on it.
     """
-    known = entries.where(F.col("entry").rlike("|".join(spec[0] for spec in STEP_KEYS)))
-    parsed = known.withColumn("_r", F.from_json("payload", "map<string,string>"))
-    records = parsed.where(F.map_contains_key("_r", "execution_time") | F.map_contains_key("_r", "returncode"))
+    kinds = None
+    for i, spec in enumerate(STEP_KEYS):
+        hit = F.col("entry").rlike(f"^{spec[0]}$")
+        kinds = F.when(hit, i) if kinds is None else kinds.when(hit, i)
+    parsed = F.struct(
+        kinds.alias("_kind"),
+        F.regexp_extract_all("entry", F.lit(r"(\d+)")).alias("_numbers"),
+        F.from_json("payload", "map<string,string>").alias("_r"),
+    )
+    # generated, not projected: the filter below would otherwise be pushed through and parse the text again
+    known = entries.where(F.col("entry").contains("_code_")).select("run", "pos", "entry", F.inline(F.array(parsed)))
+    timed = F.map_contains_key("_r", "execution_time") | F.map_contains_key("_r", "returncode")
     r = F.col("_r")
-    score = r["score"].try_cast("double")
-    code = r["returncode"].try_cast("int")
-    told = F.coalesce(first_line(r["ablation_result"]), F.lit("ablation study"))
+    fields = {
+        "score": r["score"].try_cast("double"),
+        "time_s": r["execution_time"].try_cast("double"),
+        "returncode": r["returncode"].try_cast("int"),
+        "_told": F.coalesce(first_line(r["ablation_result"]), F.lit("ablation study")),
+        "_study": F.map_contains_key("_r", "ablation_result"),
+    }
+    records = known.where(F.col("_kind").isNotNull() & timed).withColumns(fields)
     note = (
-        F.when(score.isNull() & F.map_contains_key("_r", "ablation_result"), told)
-        .when(F.coalesce(code, F.lit(0)) != 0, "FAILED")
+        F.when(F.col("score").isNull() & F.col("_study"), F.col("_told"))
+        .when(F.coalesce("returncode", F.lit(0)) != 0, "FAILED")
         .otherwise("")
     )
     return records.select(
         "run",
         "pos",
         "entry",
-        *[_by_pattern(lambda s, i=i: _filled(s[2][i], s[0])).cast("int").alias(name) for i, name in enumerate(ORDER)],
-        _by_pattern(lambda s: F.lit(s[1])).alias("phase"),
-        _by_pattern(lambda s: _filled(s[3], s[0])).alias("ident"),
-        score.alias("score"),
-        r["execution_time"].try_cast("double").alias("time_s"),
-        code.alias("returncode"),
+        *[_by_kind(lambda s, i=i: _filled(s[2][i])).cast("int").alias(name) for i, name in enumerate(ORDER)],
+        _by_kind(lambda s: F.lit(s[1])).alias("phase"),
+        _by_kind(lambda s: _filled(s[3])).alias("ident"),
+        "score",
+        "time_s",
+        "returncode",
         note.alias("note"),
     )
 
