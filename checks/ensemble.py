@@ -67,7 +67,7 @@ def weighted_soft_vote(spark, sf_dir):
 @CHECKS.add(f"SELECT {LK}, prediction FROM ({_MEAN})")
 def soft_vote_long(spark, sf_dir):
     """The same vote from one row per model and class."""
-    return v.soft_vote_long(_long_probs(spark, sf_dir), LINE_KEY)
+    return v.soft_vote_long(_long_probs(spark, sf_dir), LINE_KEY, classes=_CLASSES)
 
 
 @CHECKS.add(f"SELECT {LK}, prediction FROM ({_WEIGHTED})")
@@ -101,7 +101,7 @@ def hard_vote_first_model(spark, sf_dir):
 
 @CHECKS.add(f"SELECT {LK}, {_MODE} AS prediction, CASE WHEN p1 = p2 AND p2 = p3 THEN 3 WHEN p1 = p2 OR p1 = p3 OR p2 = p3 THEN 2 ELSE 1 END::BIGINT AS votes FROM {_VOTES_SQL}")
 def top_votes(spark, sf_dir):
-    return v.top_votes(_long_votes(spark, sf_dir), LINE_KEY)
+    return v.top_votes(_long_votes(spark, sf_dir), LINE_KEY, classes=_CLASSES)
 
 
 @CHECKS.add(f"SELECT {LK}, CASE WHEN p1 = p2 THEN p1 ELSE p2 END AS prediction FROM {_VOTES_SQL}")

@@ -103,58 +103,90 @@ def _forest(seed=42, trees=10, depth=6, **params):
     return m.forest(_TARGET_FEATURES, "target", _CLASSES, trees=trees, depth=depth, seed=seed, **params)
 
 
-def _scores(df):
-    return df.withColumn("accuracy", rounded("accuracy"))
+# What a second engine can say about a learner: which rows it must score, the share of the most frequent
+# class among them, and that the learner beats that share by more than five points.
 
 
-@CHECKS.add()
+def _judged(truth, scores, by=("fold",)):
+    """(by.., n, majority_share, learns) from the table with the true classes and accuracies per ``by``."""
+    by = list(by)
+    counts = truth.groupBy(*by, "target").agg(F.count("*").alias("c"))
+    shares = counts.groupBy(*by).agg(F.sum("c").alias("n"), (F.max("c") / F.sum("c")).alias("share"))
+    both = scores.join(shares, by) if by else scores.withColumns({c: shares.select(c).scalar() for c in ("n", "share")})
+    return both.select(*[c for c in scores.columns if c != "accuracy"], "n", rounded("share").alias("majority_share"), (F.col("accuracy") > F.col("share") + 0.05).alias("learns"))
+
+
+_FOLDED_TARGET = fold_sql(_TARGET_TABLE, LINE_KEY, "target")
+_HELD_OUT = f"""(SELECT * FROM {_TARGET_TABLE} QUALIFY row_number() OVER (PARTITION BY target ORDER BY md5(concat_ws('|', '42', {LK})), {LK})
+  <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY target)))"""
+
+
+def _judged_sql(source, by="fold", extra=""):
+    keys, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    return f"""SELECT {keys}{extra}CAST(sum(c) AS BIGINT) AS n, {r('max(c)::DOUBLE / sum(c)')} AS majority_share, true AS learns
+        FROM (SELECT {keys}target, count(*) AS c FROM ({source}) GROUP BY {keys}target){group}"""
+
+
+_CV_SQL = _judged_sql(_FOLDED_TARGET)
+
+
+def _cross_validated(folded, learner):
+    return _judged(folded, m.cross_validate(folded, learner, "target", FOLDS))
+
+
+@CHECKS.add(_CV_SQL)
 def random_forest_cv(spark, sf_dir):
-    return _scores(m.cross_validate(folded_target(spark, sf_dir), _forest(), "target", FOLDS))
+    return _cross_validated(folded_target(spark, sf_dir), _forest())
 
 
-@CHECKS.add()
+@CHECKS.add(_CV_SQL)
 def random_forest_balanced_cv(spark, sf_dir):
     """Class weights, feature share by log2, leaves of five rows."""
     weighted = balanced_weights(folded_target(spark, sf_dir), "target")
-    return _scores(m.cross_validate(weighted, _forest(features="log2", min_leaf=5, weight="weight"), "target", FOLDS))
+    return _cross_validated(weighted, _forest(features="log2", min_leaf=5, weight="weight"))
 
 
-@CHECKS.add()
+@CHECKS.add(_CV_SQL)
 def boosted_trees_cv(spark, sf_dir):
     learner = m.boosted(_TARGET_FEATURES, "target", _CLASSES, rounds=5, rate=0.3, subsample=0.8, depth=4)
-    return _scores(m.cross_validate(folded_target(spark, sf_dir), learner, "target", FOLDS))
+    return _cross_validated(folded_target(spark, sf_dir), learner)
 
 
-@CHECKS.add()
+@CHECKS.add(_judged_sql(_HELD_OUT, by=""))
 def boosted_trees_early_stop(spark, sf_dir):
-    """Rounds end when the held-out rows stop improving; accuracy on those rows."""
+    """Rounds end when the held-out rows stop improving; judged on those rows."""
     parts = stratified_holdout(target_lines(spark, sf_dir), LINE_KEY, "target").withColumn("validate", F.col("part") == "test")
     learner = m.boosted(_TARGET_FEATURES, "target", _CLASSES, rounds=8, rate=0.3, depth=4, validation="validate")
-    preds = learner(parts)(parts.where("validate"))
-    return _scores(accuracy(preds, "target", "prediction"))
+    held = parts.where("validate")
+    return _judged(held, accuracy(learner(parts)(held), "target", "prediction"), by=())
 
 
-@CHECKS.add()
+@CHECKS.add(_CV_SQL)
 def logistic_regression_cv(spark, sf_dir):
     learner = m.logistic(_TARGET_FEATURES, "target", _CLASSES, maxIter=20)
-    return _scores(m.cross_validate(folded_target(spark, sf_dir), learner, "target", FOLDS))
+    return _cross_validated(folded_target(spark, sf_dir), learner)
 
 
 def _three():
     return [_forest(trees=5), m.gaussian_nb(_TARGET_FEATURES, "target", _CLASSES), m.logistic(_TARGET_FEATURES, "target", _CLASSES, maxIter=10)]
 
 
-@CHECKS.add()
+@CHECKS.add(_CV_SQL)
 def voting_classifier_soft(spark, sf_dir):
-    return _scores(m.cross_validate(folded_target(spark, sf_dir), m.vote(_three(), _CLASSES), "target", FOLDS))
+    return _cross_validated(folded_target(spark, sf_dir), m.vote(_three(), _CLASSES))
 
 
-@CHECKS.add()
+@CHECKS.add(_CV_SQL)
 def voting_classifier_hard(spark, sf_dir):
-    return _scores(m.cross_validate(folded_target(spark, sf_dir), m.vote(_three(), _CLASSES, how="hard"), "target", FOLDS))
+    return _cross_validated(folded_target(spark, sf_dir), m.vote(_three(), _CLASSES, how="hard"))
 
 
-@CHECKS.add()
+@CHECKS.add(
+    " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS run, * FROM ({_judged_sql(fold_sql(_TARGET_TABLE, LINE_KEY, 'target', seed=seed))})"
+        for i, seed in enumerate((42, 43))
+    )
+)
 def repeated_cv_forest(spark, sf_dir):
     """Two runs with their own folds and learner seeds."""
     lines = target_lines(spark, sf_dir)
@@ -162,26 +194,30 @@ def repeated_cv_forest(spark, sf_dir):
     def fold_of(df, seed):
         return stratified_kfold(df, LINE_KEY, "target", seed=seed)
 
-    return _scores(m.repeated_cross_validate(lines, lambda s: _forest(s, trees=5, depth=5), "target", [42, 43], FOLDS, fold_of))
+    scores = m.repeated_cross_validate(lines, lambda s: _forest(s, trees=5, depth=5), "target", [42, 43], FOLDS, fold_of)
+    truth = [fold_of(lines, s).withColumn("run", F.lit(i)) for i, s in enumerate((42, 43))]
+    return _judged(truth[0].unionByName(truth[1]), scores, by=("run", "fold"))
 
 
-@CHECKS.add()
+@CHECKS.add(_CV_SQL)
 def seed_ensemble_cv(spark, sf_dir):
     learner = m.seed_ensemble(lambda s: _forest(s, trees=3, depth=5), [42, 43, 44], _CLASSES)
-    return _scores(m.cross_validate(folded_target(spark, sf_dir), learner, "target", FOLDS))
+    return _cross_validated(folded_target(spark, sf_dir), learner)
 
 
-@CHECKS.add()
+@CHECKS.add(" UNION ALL ".join(_judged_sql(_TARGET_TABLE, by="", extra=f"'maxDepth={d}' AS params, ") for d in (2, 5)))
 def grid_search_forest(spark, sf_dir):
     estimator = RandomForestClassifier(seed=42, numTrees=5)
     grid = ParamGridBuilder().addGrid(estimator.maxDepth, [2, 5]).build()
-    found = m.grid_search(folded_target(spark, sf_dir), estimator, _TARGET_FEATURES, "target", _CLASSES, grid)
-    return found.withColumn("mean_test_score", rounded("mean_test_score"))
+    folded = folded_target(spark, sf_dir)
+    found = m.grid_search(folded, estimator, _TARGET_FEATURES, "target", _CLASSES, grid)
+    return _judged(folded, found.withColumnRenamed("mean_test_score", "accuracy"), by=())
 
 
-@CHECKS.add()
+@CHECKS.add(_judged_sql(_HELD_OUT, by=""))
 def final_fit_and_score(spark, sf_dir):
-    """Fit on the training part, label the rest: the content of a predictions file."""
+    """Fit on the training part, label the other rows by key: the content of a predictions file."""
     parts = stratified_holdout(target_lines(spark, sf_dir), LINE_KEY, "target")
-    train, test = parts.where(F.col("part") == "train"), parts.where(F.col("part") == "test").drop("target")
-    return m.fit_and_score(train, test, _forest(), LINE_KEY, "target")
+    train, held = parts.where(F.col("part") == "train"), parts.where(F.col("part") == "test")
+    labelled = m.fit_and_score(train, held.drop("target"), _forest(), LINE_KEY)
+    return _judged(held, accuracy(held.select(*LINE_KEY, "target").join(labelled, LINE_KEY), "target", "prediction"), by=())

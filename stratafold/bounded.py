@@ -32,6 +32,12 @@ def pin(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> Pinned | None:
     return Pinned(df.sparkSession.createDataFrame(table, df.schema), table.to_pylist())
 
 
+def local_if_small(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> DataFrame:
+    """The same table, computed once and kept local if it is small; several uses then cost one scan."""
+    pinned = pin(df, max_rows)
+    return df if pinned is None else pinned.df
+
+
 def join_small(
     big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = MAX_PINNED_ROWS
 ) -> DataFrame:

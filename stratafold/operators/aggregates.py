@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..bounded import local_if_small
 from ..functions.scalar import finite, is_infinite, is_missing, present
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     """(label, n), most frequent first, ties by label."""
-    return df.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(label))
+    return label_counts(df, label).orderBy(F.desc("n"), F.asc(label))
 
 
-def _counts(df: DataFrame, label: str) -> DataFrame:
+def label_counts(df: DataFrame, label: str) -> DataFrame:
+    """(label, n) in no order."""
     return df.groupBy(label).agg(F.count("*").alias("n"))
 
 
@@ -32,8 +34,12 @@ def missing_classes(df: DataFrame, label: str, all_classes: DataFrame) -> DataFr
 
 def majority_class(df: DataFrame, label: str) -> DataFrame:
     """Most frequent class, the smallest one on ties."""
+    return majority_of(label_counts(df, label), label)
+
+
+def majority_of(counts: DataFrame, label: str) -> DataFrame:
     rank = F.struct((-F.col("n")).alias("n"), F.col(label).alias("label"))
-    return _counts(df, label).where(F.col(label).isNotNull()).agg(F.min_by(label, rank).alias("majority"))
+    return counts.where(F.col(label).isNotNull()).agg(F.min_by(label, rank).alias("majority"))
 
 
 def hit(label: str, pred: str) -> Column:
@@ -63,7 +69,7 @@ def pooled_oof_score(oof: DataFrame, label: str, pred: str) -> DataFrame:
 
 def excluded_summary(df: DataFrame, label: str, min_count: int, shift: int = 1) -> DataFrame:
     """Classes below ``min_count`` with their count, label before the shift, and the totals left out and kept."""
-    counts = _counts(df, label)
+    counts = local_if_small(label_counts(df, label))
     rare = F.col("n") < min_count
     kept = counts.agg(F.coalesce(F.sum(F.when(~rare, F.col("n"))), F.lit(0)).alias("x")).scalar()
     excluded = counts.agg(F.coalesce(F.sum(F.when(rare, F.col("n"))), F.lit(0)).alias("x")).scalar()

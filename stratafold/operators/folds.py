@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..bounded import join_small
+from ..bounded import join_small, local_if_small
 
 
 def hash_order(key: list[str], seed: int | Column) -> Column:
@@ -91,7 +91,7 @@ def stratified_holdout(
 
 def class_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
     """(label, weight) with weight n / (n_classes * n_class)."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
+    counts = local_if_small(df.groupBy(label).agg(F.count("*").alias("_n")))
     total = counts.agg(F.sum("_n")).scalar()
     n_classes = counts.agg(F.count("*")).scalar()
     return counts.select(label, (total / (n_classes * F.col("_n"))).cast("double").alias(weight))

@@ -101,11 +101,11 @@ def knn_join(
     cols = [point_key, *carry]
     queries = queries.select(*query_key, vec).where(F.col(vec).isNotNull())
     points = points.select(*cols, vec).where(F.col(vec).isNotNull())
+    probe = points.select(F.size(vec).alias("n")).first()
+    width = 8 * max(1, probe["n"] if probe else 1)
     copies = Window.partitionBy(vec).orderBy(point_key)
     points = points.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
     schema = _neighbour_schema(queries, points, query_key, cols)
-    probe = points.select(F.size(vec).alias("n")).first()
-    width = 8 * max(1, probe["n"] if probe else 1)
     fits = pin_points(points, max_point_bytes // width)
     if fits is not None:
         found = _broadcast_search(queries, fits.sort_by(point_key), k, vec, query_key, cols, schema)
@@ -160,7 +160,7 @@ def _cell_search(queries, points, k, vec, query_key, point_key, cols, schema, bl
             arrays = [*batch.columns, pa.array(cell, pa.int32()), pa.array(far[np.arange(len(cell)), cell])]
             yield pa.RecordBatch.from_arrays(arrays, schema=placed_arrow)
 
-    placed = points.mapInArrow(place, placed_schema)
+    placed = points.mapInArrow(place, placed_schema).checkpoint()  # read by the cell counts and both rounds
     # at most one row per pivot
     cells = {
         r["_cell"]: r

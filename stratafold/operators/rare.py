@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..bounded import is_in, pin
-from .aggregates import majority_class
+from ..bounded import is_in, local_if_small, pin
+from .aggregates import label_counts, majority_of
 from .folds import hash_order, stratified_kfold
 from .projection import flag_in, replace_values
 
 
 def rare_classes(df: DataFrame, label: str, min_count: int | None = None, share: float | None = None) -> DataFrame:
     """Labels with fewer than ``min_count`` rows, or with less than ``share`` of all rows."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
+    return _rare(local_if_small(label_counts(df, label)), label, min_count, share)
+
+
+def _rare(counts: DataFrame, label: str, min_count: int | None = None, share: float | None = None) -> DataFrame:
     if (min_count is None) == (share is None):
         raise ValueError("give either min_count or share")
-    if min_count is not None:
-        limit = F.lit(min_count)
-    else:
-        limit = counts.agg(F.sum("_n")).scalar() * F.lit(float(share))
-    return counts.where(F.col("_n") < limit).select(label)
+    limit = F.lit(min_count) if share is None else counts.agg(F.sum("n")).scalar() * F.lit(float(share))
+    return counts.where(F.col("n") < limit).select(label)
 
 
 def exclude_rare(df: DataFrame, label: str, min_count: int = 3) -> DataFrame:
@@ -38,15 +38,17 @@ def exclude_rare_but_train(
 
 def merge_rare(df: DataFrame, label: str, min_count: int = 3) -> DataFrame:
     """All rare classes become one new class, max + 1. It may itself be rare: chain ``exclude_rare``."""
-    other = (df.agg(F.max(label)).scalar() + 1).cast(df.schema[label].dataType)
-    return replace_values(df, label, rare_classes(df, label, min_count), other)
+    counts = local_if_small(label_counts(df, label))
+    other = (counts.agg(F.max(label)).scalar() + 1).cast(df.schema[label].dataType)
+    return replace_values(df, label, _rare(counts, label, min_count), other)
 
 
 def stratify_rare_as_majority(df: DataFrame, label: str, min_count: int = 5, strat: str = "strat_label") -> DataFrame:
     """Add a label used for splitting only, in which rare classes count as the most frequent one."""
+    counts = local_if_small(label_counts(df, label))
     copied = df.withColumn(strat, F.col(label))
-    rare = rare_classes(df, label, min_count).withColumnRenamed(label, strat)
-    return replace_values(copied, strat, rare, majority_class(df, label).scalar())
+    rare = _rare(counts, label, min_count).withColumnRenamed(label, strat)
+    return replace_values(copied, strat, rare, majority_of(counts, label).scalar())
 
 
 def split_by_share(df: DataFrame, label: str, share: float = 0.01) -> tuple[DataFrame, DataFrame]:
@@ -62,10 +64,8 @@ def augment_missing_classes(
 
     Templates are the first rows in hash order, as many as there are missing classes, used in turn.
     """
-    present = is_in(
-        train.select(label).distinct(), label, train.sparkSession.createDataFrame([(c,) for c in classes], ["class"])
-    )
-    pinned = pin(present, max(len(classes), 1))
+    # no more rows than listed classes can come back
+    pinned = pin(train.where(F.col(label).isin(list(classes))).select(label).distinct(), len(classes))
     have = set(pinned.values(label))
     missing = [c for c in sorted(classes) if c not in have]
     out = train.withColumn(flag, F.lit(False))

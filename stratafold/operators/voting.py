@@ -1,8 +1,8 @@
 """Combining the predictions of several models.
 
 Two shapes. Side by side: every model's prediction is a column of the row; voting is a projection and
-moves no data, so it is the one to use for large tables. Long: (key, model, class or prediction); each
-vote partitions by key once.
+moves no data, so it is the one to use for large tables. Long: (key, model, class or prediction); a
+vote is a grouped aggregate.
 """
 
 from __future__ import annotations
@@ -84,30 +84,48 @@ def soft_vote_long(
     cls: str = "class",
     p: str = "p",
     weights: dict[str, float] | None = None,
+    classes: list | None = None,
     out: str = "prediction",
 ) -> DataFrame:
-    """Mean (or weighted sum) of p per (key, class), then the class of the largest.
+    """Mean (or weighted sum) of p per (key, class), then the class of the largest, lowest on ties.
 
-    Both steps group by the key, so one partitioning by key serves them. A key has one row per model
-    and class.
+    With the ``classes`` listed, a key's sums form one aggregate and there is one shuffle; without, sums
+    per (key, class) are made first. Both add up before they shuffle.
     """
-    placed = probs.repartition(*key)
-    if weights is None:
-        share = F.avg(p)
-    else:
+    if weights is not None:
         check_weights(list(weights.values()))
         weight = reduce(lambda acc, m: acc.when(F.col(model) == m, F.lit(float(weights[m]))), weights, F.when(F.lit(False), 0.0))
-        share = F.sum(weight * F.col(p))
-    return argmax_class(placed.groupBy(*key, cls).agg(share.alias(p)), key, cls, p, out)
 
+    def share(value: Column) -> Column:
+        return F.avg(value) if weights is None else F.sum(weight * value)
+
+    if classes is None:
+        return argmax_class(probs.groupBy(*key, cls).agg(share(F.col(p)).alias(p)), key, cls, p, out)
+    slots = [F.coalesce(share(F.when(F.col(cls) == F.lit(c), F.col(p))), F.lit(float("-inf"))) for c in sorted(classes)]
+    summed = probs.groupBy(*key).agg(F.array(*slots).alias("_slots"))
+    return summed.select(*key, decode(argmax("_slots"), sorted(classes)).alias(out))
 
-def top_votes(votes: DataFrame, key: list[str], pred: str = "prediction", weight: str | None = None) -> DataFrame:
-    """(key, prediction, votes): the most common prediction per key, the lowest class on ties."""
-    counted = votes.repartition(*key).groupBy(*key, pred).agg((F.sum(weight) if weight else F.count("*")).alias("votes"))
-    order = F.struct((-F.col("votes")).alias("v"), F.col(pred).alias("c"))
-    return counted.groupBy(*key).agg(F.min_by(pred, order).alias(pred), F.max("votes").alias("votes"))
 
+def top_votes(
+    votes: DataFrame, key: list[str], pred: str = "prediction", weight: str | None = None, classes: list | None = None
+) -> DataFrame:
+    """(key, prediction, votes): the most common prediction per key, the lowest class on ties.
 
-def fold_vote(test_predictions: DataFrame, key: list[str], pred: str = "prediction") -> DataFrame:
+    With the ``classes`` listed, one aggregate per key holds all counts and there is one shuffle;
+    without, votes per (key, prediction) are counted first. Both add up before they shuffle, so a key
+    with very many votes is no burden to one task.
+    """
+    if classes is None:
+        counted = votes.groupBy(*key, pred).agg((F.sum(weight) if weight else F.count("*")).alias("votes"))
+        order = F.struct((-F.col("votes")).alias("v"), F.col(pred).alias("c"))
+        return counted.groupBy(*key).agg(F.min_by(pred, order).alias(pred), F.max("votes").alias("votes"))
+    one = F.col(weight) if weight else F.lit(1)
+    slots = [F.coalesce(F.sum(F.when(F.col(pred) == F.lit(c), one)), F.lit(0)) for c in sorted(classes)]
+    counted = votes.groupBy(*key).agg(F.array(*slots).alias("_slots"))
+    top = decode(argmax("_slots"), sorted(classes))
+    return counted.select(*key, top.alias(pred), F.array_max("_slots").alias("votes"))
+
+
+def fold_vote(test_predictions: DataFrame, key: list[str], pred: str = "prediction", classes: list | None = None) -> DataFrame:
     """Votes of the fold models for each unlabelled row, the class with the most of them."""
-    return top_votes(test_predictions, key, pred).select(*key, pred)
+    return top_votes(test_predictions, key, pred, classes=classes).select(*key, pred)

@@ -147,22 +147,29 @@ def _totals() -> list[Column]:
 _CHRONOLOGICAL = [*ORDER, "pos"]
 
 
-def _best(value: Column) -> Column:
-    """Best scored step of a group by its direction; the earliest one on equal scores."""
-    key = F.when(F.col("lower_is_better"), F.col("score")).otherwise(-F.col("score"))
-    order = F.when(F.col("score").isNotNull(), F.struct(key.alias("k"), *_CHRONOLOGICAL))
-    return F.min_by(value, order)
+_STEP = ("pos", "score", "phase", "ident")
 
 
-def _directed(steps: DataFrame, directions: DataFrame) -> DataFrame:
-    return steps.join(directions, ["run"], "left").withColumn("lower_is_better", F.coalesce("lower_is_better", F.lit(False)))
+def _both_best() -> list[Column]:
+    """The lowest and the highest scored step of a group, the earliest one on equal scores; both, so that
+    a run's direction is only needed once its steps are aggregated."""
+    step, scored = F.struct(*_STEP), F.col("score").isNotNull()
+    low = F.when(scored, F.struct("score", *_CHRONOLOGICAL))
+    high = F.when(scored, F.struct((-F.col("score")).alias("score"), *_CHRONOLOGICAL))
+    return [F.min_by(step, low).alias("_low"), F.min_by(step, high).alias("_high")]
+
+
+def _directed(per_run: DataFrame, directions: DataFrame) -> DataFrame:
+    """Add ``lower_is_better`` and the best step ``b`` of each run."""
+    joined = per_run.join(directions, ["run"], "left")
+    joined = joined.withColumn("lower_is_better", F.coalesce("lower_is_better", F.lit(False)))
+    return joined.withColumn("b", F.when(F.col("lower_is_better"), F.col("_low")).otherwise(F.col("_high"))).drop("_low", "_high")
 
 
 def best_step(steps: DataFrame, directions: DataFrame) -> DataFrame:
     """(run, best_pos, best_score, best_phase, best_ident); no row for a run without scores."""
-    picked = _best(F.struct(F.col("pos"), F.col("score"), F.col("phase"), F.col("ident")))
-    best = _directed(steps, directions).where(F.col("score").isNotNull()).groupBy("run").agg(picked.alias("b"))
-    return best.select("run", *[F.col(f"b.{c}").alias(f"best_{c}") for c in ("pos", "score", "phase", "ident")])
+    best = _directed(steps.where(F.col("score").isNotNull()).groupBy("run").agg(*_both_best()), directions)
+    return best.select("run", *[F.col(f"b.{c}").alias(f"best_{c}") for c in _STEP])
 
 
 def mark_best(steps: DataFrame, directions: DataFrame) -> DataFrame:
@@ -173,19 +180,10 @@ def mark_best(steps: DataFrame, directions: DataFrame) -> DataFrame:
 
 
 def run_summary(steps: DataFrame, directions: DataFrame) -> DataFrame:
-    """One row per run: totals, best step, final submission and metric direction, from one aggregation."""
+    """One row per run: totals, best step, final submission and metric direction, from one aggregation of the steps."""
     submitted = F.when(F.col("phase") == "Submit", F.struct(*_CHRONOLOGICAL))
-    best = _best(F.struct(F.col("score"), F.col("phase"), F.col("ident")))
-    grouped = (
-        _directed(steps, directions)
-        .groupBy("run")
-        .agg(
-            *_totals(),
-            best.alias("b"),
-            F.min_by(F.struct("score", "returncode"), submitted).alias("s"),
-            F.bool_or("lower_is_better").alias("lower_is_better"),
-        )
-    )
+    final = F.min_by(F.struct("score", "returncode"), submitted).alias("s")
+    grouped = _directed(steps.groupBy("run").agg(*_totals(), *_both_best(), final), directions)
     return grouped.select(
         "run",
         "executions",
@@ -206,17 +204,25 @@ SORTS = ("order", "time", "score")
 
 
 def _sort_keys(by: str) -> tuple[list[Column], Column]:
-    """Sort columns of an ordering, and a coarse version of it to slice large runs by."""
+    """Sort columns of an ordering, and a coarse version of it to slice large runs by.
+
+    Equal sort values are sliced further by the order of execution. For times and scores that is done at
+    whole numbers, where the stand-ins for missing values lie.
+    """
     steps = [F.col(c) for c in _CHRONOLOGICAL]
+    fine = F.struct(*ORDER, F.floor(F.col("pos") / 10_000).alias("block"))
     if by == "order":
-        return steps, F.struct("o1", "o2")
+        return steps, fine
     if by == "time":
-        slowest = -F.coalesce("time_s", F.lit(0.0))
-        return [slowest, *steps], F.floor(slowest)
-    if by == "score":
-        highest = -F.coalesce("score", F.lit(-1e9))
-        return [highest, *steps], F.floor(highest * 1000)
-    raise ValueError(f"sort is one of {SORTS}")
+        value = -F.coalesce("time_s", F.lit(0.0))
+        unit = value
+    elif by == "score":
+        value = -F.coalesce("score", F.lit(-1e9))
+        unit = value * 1024  # a power of two keeps distinct values distinct
+    else:
+        raise ValueError(f"sort is one of {SORTS}")
+    low = F.floor(unit)
+    return [value, *steps], F.struct(low.alias("low"), (unit > low).alias("above"), F.when(unit == low, fine).alias("fine"))
 
 
 def order_steps(steps: DataFrame, by: str = "order") -> DataFrame:

@@ -40,7 +40,8 @@ def test_soft_votes_agree_in_both_shapes(spark):
     )
     for weights in (None, [0.5, 0.5], [0.9, 0.1]):
         named = weights and dict(zip("mn", weights))
-        assert one(v.soft_vote(wide, ["m", "n"], [0, 1], weights)) == one(v.soft_vote_long(long, ["id"], weights=named))
+        for classes in (None, [0, 1]):
+            assert one(v.soft_vote(wide, ["m", "n"], [0, 1], weights)) == one(v.soft_vote_long(long, ["id"], weights=named, classes=classes))
     assert one(v.soft_vote(wide, ["m", "n"], [0, 1])) == [1, 0, 1]
     with pytest.raises(ValueError):
         v.soft_vote(wide, ["m", "n"], [0, 1], [0.6, 0.6])
@@ -48,7 +49,8 @@ def test_soft_votes_agree_in_both_shapes(spark):
 
 def test_long_votes(spark):
     long = spark.createDataFrame([(1, 3), (1, 3), (1, 1), (2, 5), (2, 4)], "id int, prediction int")
-    assert rows(v.top_votes(long, ["id"])) == [(1, 3, 2), (2, 4, 1)]
+    for classes in (None, [1, 3, 4, 5]):
+        assert rows(v.top_votes(long, ["id"], classes=classes)) == [(1, 3, 2), (2, 4, 1)]
     assert rows(v.fold_vote(long, ["id"])) == [(1, 3), (2, 4)]
 
 
