@@ -2,7 +2,6 @@
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from checks import all_queries
@@ -12,7 +11,6 @@ from stratafold.operators import scaling as sc
 from stratafold.operators import voting as v
 
 SF = "/root/testdata/sf0.001"
-WITH_PYTHON = {"knn_join_labels", "knn_out_of_fold_k7"}
 
 
 def plan(df, executed=False):
@@ -70,15 +68,3 @@ def test_side_by_side_votes_move_nothing(spark):
 def test_long_votes_shuffle_once(spark):
     df = lines(spark).select(*LINE_KEY, F.col("l_returnflag").alias("prediction"))
     assert plan(v.top_votes(df, LINE_KEY, classes=["A", "N", "R"])).count("Exchange") == 1
-
-
-SKIP = {n for n in all_queries() if n.endswith("_cv") or n.endswith(("_soft", "_hard", "_stop", "_forest", "_and_score", "_search_forest")) or n == "ablation_scores"}
-
-
-@pytest.mark.parametrize("name", sorted(set(all_queries()) - SKIP))
-def test_no_cross_join_and_no_python_rows(spark, name):
-    text = plan(all_queries()[name](spark, SF))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "PythonUDF" not in text and "BatchEvalPython" not in text and "ArrowEvalPython" not in text
-    if name not in WITH_PYTHON:
-        assert "MapInArrow" not in text and "CoGrouped" not in text

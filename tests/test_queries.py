@@ -1,4 +1,8 @@
-"""Every query with SQL gives the same columns, types and rows on the second engine."""
+"""Every query with SQL gives the same columns, types and rows on the second engine, by a plan without surprises.
+
+The tree and regression learners take long; tests/test_models.py has them on a small table, and
+tools/compare.py runs them here.
+"""
 
 import duckdb
 import pytest
@@ -7,6 +11,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tools.compare import TABLES, compare
 
 SF = "/root/testdata/sf0.01"
+ARROW = {"knn_join_labels", "knn_out_of_fold_k7"}
+SLOW = ("random_", "boosted_", "logistic_", "voting_", "seed_ensemble", "grid_search", "repeated_cv_forest", "final_fit")
 
 
 @pytest.fixture(scope="module")
@@ -17,15 +23,22 @@ def con():
     return c
 
 
-def test_sql_belongs_to_queries():
-    assert set(oracle_sql()) <= set(queries())
+def test_every_query_has_sql():
+    assert set(oracle_sql()) == set(queries())
 
 
 def test_entry(spark):
-    assert entry(spark).columns == ["score"] and entry(spark).count() == 1
+    df = entry(spark)
+    assert df.columns == ["score"] and df.count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", [n for n in sorted(oracle_sql()) if not n.startswith(SLOW)])
 def test_query_matches_sql(spark, con, name):
-    ok, text = compare(spark, con, name, queries()[name], oracle_sql()[name], SF)
+    def no_cross_join_no_python_rows(df):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+        assert "PythonUDF" not in text and "BatchEvalPython" not in text and "ArrowEvalPython" not in text
+        assert name in ARROW or ("MapInArrow" not in text and "CoGroup" not in text)
+
+    ok, text = compare(spark, con, name, queries()[name], oracle_sql()[name], SF, no_cross_join_no_python_rows)
     assert ok, text
