@@ -17,6 +17,8 @@ def local_session(cores: int = 8, app: str = "stratafold", memory: str = "12g",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # the JVM does not compile methods above 8000 bytes; beyond that, wide projections must be split
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in conf.items():
