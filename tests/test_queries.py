@@ -7,7 +7,8 @@ tools/compare.py runs them here.
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from checks import all_queries, all_sql
 from tools.compare import TABLES, compare
 
 SF = "/root/testdata/sf0.01"
@@ -24,7 +25,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(all_sql()) == set(all_queries()) <= set(queries())
 
 
 def test_entry(spark):
@@ -32,7 +33,7 @@ def test_entry(spark):
     assert df.columns == ["score"] and df.count() == 1
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(oracle_sql()) if not n.startswith(SLOW)])
+@pytest.mark.parametrize("name", [n for n in sorted(all_sql()) if not n.startswith(SLOW)])
 def test_query_matches_sql(spark, con, name):
     def no_cross_join_no_python_rows(df):
         text = df._jdf.queryExecution().executedPlan().toString()
@@ -40,5 +41,5 @@ def test_query_matches_sql(spark, con, name):
         assert "PythonUDF" not in text and "BatchEvalPython" not in text and "ArrowEvalPython" not in text
         assert name in ARROW or ("MapInArrow" not in text and "CoGroup" not in text)
 
-    ok, text = compare(spark, con, name, queries()[name], oracle_sql()[name], SF, no_cross_join_no_python_rows)
+    ok, text = compare(spark, con, name, queries()[name], all_sql()[name], SF, no_cross_join_no_python_rows)
     assert ok, text
