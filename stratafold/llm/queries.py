@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratafold.llm.golomb_dedup import exact_dedup
 from stratafold.llm.license_scan import scan_licenses
 from stratafold.llm.shared import read_documents
+from stratafold.llm.simhash import simhash_components
 from stratafold.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,3 +37,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_documents(spark, sf_dir))
+
+
+@_query()
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(read_documents(spark, sf_dir), distance=2, shingle=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint_bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@_query(r"""
+WITH normal AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM normal WINDOW same AS (PARTITION BY text_sha256)
+""")
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(read_documents(spark, sf_dir))
