@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratafold.llm.golomb_dedup import exact_dedup
 from stratafold.llm.license_scan import scan_licenses
+from stratafold.llm.mixing import mix_plan
 from stratafold.llm.shared import read_documents
 from stratafold.llm.simhash import simhash_components
 from stratafold.llm.token_counts import count_tokens
@@ -54,3 +55,9 @@ FROM normal WINDOW same AS (PARTITION BY text_sha256)
 """)
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_documents(spark, sf_dir))
+
+
+@_query()
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mix_plan(read_documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0)
+    return planned.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
