@@ -13,6 +13,7 @@ from stratafold.llm.mixing import mix_plan
 from stratafold.llm.shared import read_documents
 from stratafold.llm.simhash import simhash_components
 from stratafold.llm.token_counts import count_tokens
+from stratafold.llm.token_store import ids_crc32, token_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +62,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mix_plan(read_documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0)
     return planned.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+
+
+@_query()
+def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ids_crc32(token_table(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
