@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratafold.llm.edit_decontam import benchmark_matches
 from stratafold.llm.golomb_dedup import exact_dedup
+from stratafold.llm.language_id import held_out, identify_languages
 from stratafold.llm.license_scan import scan_licenses
 from stratafold.llm.mixing import mix_plan
 from stratafold.llm.shared import read_documents
@@ -67,3 +69,16 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_crc32(token_table(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
+@_query()
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    found = identify_languages(docs, docs.where(~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query()
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_matches(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.distance", "m.end_char")
