@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratafold.llm.chat_rotation import rotate_perspectives
 from stratafold.llm.edit_decontam import benchmark_matches
 from stratafold.llm.golomb_dedup import exact_dedup
 from stratafold.llm.language_id import held_out, identify_languages
 from stratafold.llm.license_scan import scan_licenses
+from stratafold.llm.line_spread import strip_boilerplate
 from stratafold.llm.mixing import mix_plan
 from stratafold.llm.shared import read_documents
 from stratafold.llm.simhash import simhash_components
@@ -82,3 +84,46 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_matches(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.distance", "m.end_char")
+
+
+@_query(r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS position
+  FROM documents
+), bad AS (
+  SELECT trim(line) AS bad_line FROM lines WHERE length(trim(line)) > 0
+  GROUP BY 1 HAVING count(DISTINCT coalesce(source, chr(1))) >= 10
+)
+SELECT doc_id, count(*) FILTER (length(trim(line)) > 0) AS n_lines, count(bad_line) AS n_cut,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (bad_line IS NULL), '')) AS text_md5
+FROM lines LEFT JOIN bad ON trim(line) = bad_line GROUP BY doc_id
+""")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = strip_boilerplate(read_documents(spark, sf_dir), site="source", min_sites=10)
+    return cleaned.select("doc_id", "n_lines", "n_cut", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+@_query(r"""
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, turn // 256 AS part FROM conversations
+), speakers AS (
+  SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'
+), rendered AS (
+  SELECT conv_id, part, speaker, turn, role, text,
+    '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system'
+      ELSE 'user name=' || replace(role, '<|im_', '<| im_') END || chr(10) AS head,
+    replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS body
+  FROM turns JOIN speakers USING (conv_id)
+), placed AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS done FROM rendered
+)
+SELECT conv_id, part, speaker, count(*) AS n_turns,
+  CAST(sum(CASE WHEN role = speaker THEN length(body) ELSE 0 END) AS BIGINT) AS n_trained,
+  md5(string_agg(head || body, '' ORDER BY turn, role, text)) AS text_md5,
+  coalesce(string_agg(CAST(done - length(body) AS BIGINT) || '-' || CAST(done AS BIGINT), ',' ORDER BY turn, role, text) FILTER (role = speaker), '') AS mask
+FROM placed GROUP BY conv_id, part, speaker
+""")
+def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rotated = rotate_perspectives(read_documents(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("spans", lambda s: F.concat(s["from"].cast("string"), F.lit("-"), s.to.cast("string"))), ",")
+    return rotated.select("conv_id", F.col("part.range").alias("part"), "speaker", "n_turns", "n_trained", F.md5(F.col("text").cast("binary")).alias("text_md5"), mask.alias("mask"))
