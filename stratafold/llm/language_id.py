@@ -111,8 +111,8 @@ class LanguageModel:
         return names, scores
 
 
-def identify_languages(docs: DataFrame, train: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Add lang_pred and score to each document, by a model of all rows of ``train`` (text, lang).
+def identify_languages(docs: DataFrame, train: DataFrame, buckets: int = BUCKETS, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add lang_pred and score (or two other ``names``) to each document, by a model of all rows of ``train`` (text, lang).
 
     ``lang_pred`` is the most probable language of the training rows, ties going to the first by name, and
     ``score`` its probability. Where the text is null, empty or without a letter, or nothing could be learned, they are
@@ -133,4 +133,4 @@ def identify_languages(docs: DataFrame, train: DataFrame, buckets: int = BUCKETS
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
     scored = docs.withColumn("_language", predict(text_of()))
-    return scored.withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
+    return scored.withColumns({names[0]: F.col("_language.lang_pred"), names[1]: F.col("_language.score")}).drop("_language")
