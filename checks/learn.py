@@ -15,7 +15,7 @@ from stratafold.operators.folds import balanced_weights, stratified_holdout, str
 from stratafold.operators.knn import knn_out_of_fold
 from stratafold.plans import learners as m
 
-from .base import FEATURES, FOLDS, LINE_KEY, LK, Checks, fold_sql, r, rounded, table
+from .base import FEATURES, FOLDS, LINE_KEY, LK, Checks, fold_sql, holdout_sql, r, rounded, table
 from .keyed import folded_lines
 
 CHECKS = Checks()
@@ -117,8 +117,7 @@ def _judged(truth, scores, by=("fold",)):
 
 
 _FOLDED_TARGET = fold_sql(_TARGET_TABLE, LINE_KEY, "target")
-_HELD_OUT = f"""(SELECT * FROM {_TARGET_TABLE} QUALIFY row_number() OVER (PARTITION BY target ORDER BY md5(concat_ws('|', '42', {LK})), {LK})
-  <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY target)))"""
+_HELD_OUT = f"(SELECT * FROM ({holdout_sql(_TARGET_TABLE, LINE_KEY, 'target')}) WHERE part = 'test')"
 
 
 def _judged_sql(source, by="fold", extra=""):

@@ -10,7 +10,7 @@ from stratafold.operators.folds import stratified_kfold
 from stratafold.operators import keyed as ke
 from stratafold.operators.keyed import rows_not_of_classes, rows_of_classes, train_of
 
-from .base import FOLDS, GRADED, Checks, fold_sql, graded
+from .base import FOLDS, GRADED, Checks, fold_sql, graded, hash_sql
 
 CHECKS = Checks()
 _MIN = 45
@@ -71,7 +71,7 @@ def split_by_share(spark, sf_dir):
 def _augmented_sql(held):
     return f"""SELECT doc_id, grade, false AS augmented, CAST({held} AS INTEGER) AS held_out FROM f WHERE fold <> {held}
       UNION ALL SELECT doc_id, CAST(c AS INTEGER), true, CAST({held} AS INTEGER) FROM
-        (SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', '42', doc_id)), doc_id) AS i FROM f WHERE fold <> {held}) t
+        (SELECT doc_id, row_number() OVER (ORDER BY {hash_sql(['doc_id'])}, doc_id) AS i FROM f WHERE fold <> {held}) t
         JOIN (SELECT c, row_number() OVER (ORDER BY c) AS j FROM range(0, 8) r(c)
               WHERE c NOT IN (SELECT grade FROM f WHERE fold <> {held})) m ON t.i = m.j"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -10,13 +11,14 @@ from ..bounded import join_small, local_if_small
 
 
 def hash_order(key: list[str], seed: int | Column) -> Column:
-    """A reproducible random order: md5 of seed and key."""
+    """A reproducible random order: md5 of the seed and every key part with its length, '-' where it is NULL."""
     seed = seed if isinstance(seed, Column) else F.lit(str(seed))
-    return F.md5(F.concat_ws("|", seed.cast("string"), *[F.col(k).cast("string") for k in key]))
+    text = [F.col(k).cast("string") for k in key]
+    return F.md5(F.concat(seed.cast("string"), *[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]))
 
 
 def with_group_rank(
-    df: DataFrame, group: list[str], order: list[Column], bucket: str, rank: str = "_rank", size: str | None = None
+    df: DataFrame, group: list[str], order: list[Column], bucket: str, rank: str = "_rank", per_group: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
     """Exact row_number of every row inside its group, by ``order``, for groups of any size.
 
@@ -24,20 +26,23 @@ def with_group_rank(
     first. Rows are ranked inside (group, bucket), and the number of rows in the group's earlier
     buckets is added. A group holding a third of the table is thereby spread over all its buckets;
     only the counts per (group, bucket) are added up per group. The counts join on the columns the
-    ranking was partitioned by, so the table itself is shuffled and sorted once.
+    ranking was partitioned by, so the table itself is shuffled and sorted once. NULL is a group, and a
+    bucket, like any other. ``per_group`` adds columns to a table of one row per group (group columns and ``size``);
+    they end up on every row.
     """
-    parts = [bucket, *group]
-    counts = df.groupBy(*parts).agg(F.count("*").alias("_n"))
-    by_group = Window.partitionBy(*group)
-    before = by_group.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    extra = [F.sum("_n").over(by_group).alias(size)] if size else []
-    offsets = counts.select(*parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *extra)
-    local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
-    return (
-        local.join(offsets, parts, "left")
-        .withColumn(rank, F.col("_local") + F.coalesce("_before", F.lit(0)))
-        .select(*df.columns, rank, *([size] if size else []))
-    )
+    parts = ["_in_bucket", "_in_group"]  # structs: their NULLs are equal
+    keyed = df.withColumns({"_in_bucket": F.struct(bucket), "_in_group": F.struct(*group)})
+    counts = keyed.groupBy(*parts).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_in_group").orderBy("_in_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    extra: list[str] = []
+    if per_group is not None:
+        groups = counts.groupBy("_in_group").agg(F.sum("_n").alias("size")).select("_in_group", "_in_group.*", "size")
+        added = per_group(groups)
+        extra = [c for c in added.columns if c not in groups.columns]
+        offsets = offsets.join(added.select("_in_group", *extra), "_in_group")
+    local = keyed.withColumn("_local", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
+    return local.join(offsets, parts).withColumn(rank, F.col("_local") + F.col("_before")).select(*df.columns, rank, *extra)
 
 
 def _hash_digits(df: DataFrame) -> int:
@@ -46,11 +51,21 @@ def _hash_digits(df: DataFrame) -> int:
     return min(6, max(1, math.ceil(math.log(4 * partitions, 16))))
 
 
-def _ranked(df: DataFrame, key: list[str], group: list[str], seed: int | Column, size: str | None = None) -> DataFrame:
+def _ranked(df: DataFrame, key: list[str], group: list[str], seed: int | Column, per_group: Callable[[DataFrame], DataFrame]) -> DataFrame:
     hashed = df.withColumn("_hash", hash_order(key, seed))
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, _hash_digits(df)))
-    # distinct keys have distinct hashes, so the key columns themselves need not travel for the order
-    return with_group_rank(hashed, group, [F.col("_hash")], "_bucket", size=size).drop("_hash", "_bucket")
+    return with_group_rank(hashed, group, [F.col("_hash"), *map(F.col, key)], "_bucket", per_group=per_group).drop("_hash", "_bucket")
+
+
+def _dealt(df: DataFrame, key: list[str], label: str, seed: int | Column, k: int, fold: str, within: list[str]) -> DataFrame:
+    """Classes one after the other, each dealt on from the fold where the one before has ended."""
+    smaller = Window.partitionBy(*within).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)  # one row per class
+
+    def start(groups: DataFrame) -> DataFrame:
+        return groups.withColumn("_start", F.coalesce(F.sum("size").over(smaller), F.lit(0)))
+
+    ranked = _ranked(df, key, [*within, label], seed, start)
+    return ranked.withColumn(fold, F.pmod(F.col("_start") + F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_start")
 
 
 def stratified_kfold(
@@ -58,10 +73,9 @@ def stratified_kfold(
 ) -> DataFrame:
     """Add ``fold`` in 0..k-1: rows of a class in hash order, dealt to the folds in turn.
 
-    ``key`` must identify rows. Fold sizes differ by at most one inside every class.
+    ``key`` must identify rows. Fold sizes differ by at most one inside every class, and in total. NULL is a class.
     """
-    ranked = _ranked(df, key, [label], seed)
-    return ranked.withColumn(fold, F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank")
+    return _dealt(df, key, label, seed, k, fold, [])
 
 
 def hashed_kfold(df: DataFrame, key: list[str], k: int = 3, seed: int = 42, fold: str = "fold") -> DataFrame:
@@ -76,17 +90,33 @@ def repeated_stratified_kfold(
     """One copy of each row per seed, with ``run`` and ``fold``. Pass key and label only; join features later."""
     runs = F.array(*[F.struct(F.lit(i).alias(run), F.lit(s).alias("_seed")) for i, s in enumerate(seeds)])
     copies = df.select("*", F.inline(runs))
-    ranked = _ranked(copies, key, [run, label], F.col("_seed"))
-    return ranked.withColumn(fold, F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_seed")
+    return _dealt(copies, key, label, F.col("_seed"), k, fold, [run]).drop("_seed")
 
 
 def stratified_holdout(
     df: DataFrame, key: list[str], label: str, fraction: float = 0.2, seed: int = 42, part: str = "part"
 ) -> DataFrame:
-    """Add ``part``: 'test' for the first ceil(fraction * n) rows of every class in hash order, else 'train'."""
-    ranked = _ranked(df, key, [label], seed, size="_size")
-    test = F.col("_rank") <= F.ceil(F.lit(float(fraction)) * F.col("_size"))
-    return ranked.withColumn(part, F.when(test, "test").otherwise("train")).drop("_rank", "_size")
+    """Add ``part``: 'test' for ceil(fraction * n) rows, shared among the classes in proportion, else 'train'.
+
+    A class gets the whole part of its share; what is left goes to the largest remainders (ties: to the lowest
+    class), one row each. The first rows of a class in hash order are its test rows. At least one row of every class
+    trains, so that a class of one row is not counted in n and never tested.
+    """
+
+    def share(groups: DataFrame) -> DataFrame:
+        size = F.when(F.col("size") > 1, F.col("size")).otherwise(0)
+        everywhere = Window.partitionBy()  # one row per class
+        total = F.sum(size).over(everywhere)
+        wanted = F.ceil(F.lit(float(fraction)) * total)
+        quota = F.when(total > 0, wanted.cast("double") * size / total).otherwise(0.0)
+        shared = groups.withColumns({"_wanted": wanted, "_quota": quota})
+        by_rest = Window.orderBy(F.desc(F.col("_quota") - F.floor("_quota")), F.asc_nulls_first(label))
+        more = (F.row_number().over(by_rest) <= F.col("_wanted") - F.sum(F.floor("_quota")).over(everywhere)).cast("int")
+        take = F.when(F.col("size") > 1, F.least(F.floor("_quota") + more, F.col("size") - 1)).otherwise(0)
+        return shared.withColumn("_take", take).drop("_wanted", "_quota")
+
+    ranked = _ranked(df, key, [label], seed, share)
+    return ranked.withColumn(part, F.when(F.col("_rank") <= F.col("_take"), "test").otherwise("train")).drop("_rank", "_take")
 
 
 def class_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:

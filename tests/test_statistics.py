@@ -89,7 +89,8 @@ def test_folds_partition_and_balance(skewed):
 
 def test_folds_equal_the_plain_window(skewed):
     plain = Window.partitionBy("y").orderBy(f.hash_order(["id"], 42))
-    want = skewed.withColumn("fold", ((F.row_number().over(plain) - 1) % 3).cast("int"))
+    smaller = F.rank().over(Window.orderBy("y")) - 1
+    want = skewed.withColumn("fold", ((smaller + F.row_number().over(plain) - 1) % 3).cast("int"))
     assert rows(f.stratified_kfold(skewed, ["id"], "y")) == rows(want)
 
 
@@ -107,8 +108,21 @@ def test_repeated_folds_equal_single_ones(skewed):
 
 def test_holdout_shares(skewed):
     parts = f.stratified_holdout(skewed, ["id"], "y", 0.2)
-    for r in parts.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("part") == "test").alias("t")).collect():
-        assert r["t"] == math.ceil(0.2 * r["n"])
+    counts = parts.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("part") == "test").alias("t")).collect()
+    assert sum(r["t"] for r in counts) == math.ceil(0.2 * sum(r["n"] for r in counts if r["n"] > 1))
+    assert all(abs(r["t"] - 0.2 * r["n"]) < 1 and r["t"] < r["n"] for r in counts)
+
+
+def test_one_row_classes_fill_folds_evenly_and_never_leave_training(spark):
+    df = spark.range(1000).select("id", F.concat(F.lit("c"), "id").alias("y"))
+    sizes = [r["count"] for r in f.stratified_kfold(df, ["id"], "y").groupBy("fold").count().collect()]
+    assert sorted(sizes) == [333, 333, 334]
+    assert f.stratified_holdout(df, ["id"], "y").where("part = 'test'").count() == 0
+
+
+def test_hash_order_tells_keys_apart(spark):
+    keys = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", None), (None, "a"), ("", None), (None, "")], "a string, b string")
+    assert keys.select(f.hash_order(["a", "b"], 1)).distinct().count() == 6
 
 
 def test_weights_average_one(skewed):
@@ -125,7 +139,7 @@ def test_hashed_folds_are_even(skewed):
 
 def test_group_rank_equals_row_number(spark):
     df = spark.range(500).select("id", (F.col("id") % 3).alias("g"), ((F.col("id") * 37) % 101).alias("v")).withColumn("b", F.floor(F.col("v") / 10))
-    ranked = with_group_rank(df, ["g"], [F.col("v"), F.col("id")], "b", size="n")
+    ranked = with_group_rank(df, ["g"], [F.col("v"), F.col("id")], "b", per_group=lambda groups: groups.withColumn("n", F.col("size")))
     w = Window.partitionBy("g").orderBy("v", "id")
     want = df.withColumn("_rank", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("g")))
     assert rows(ranked, "id", "_rank", "n") == rows(want, "id", "_rank", "n")
