@@ -26,9 +26,11 @@ from tokenizers import Tokenizer
 from stratafold.llm.shared import scratch, text_of
 
 BLOCK_IDS = 1 << 16
+_NO_BLANKS = re.compile(r"[\x1c-\x1f]")  # the only ones that Python splits at and the library does not
 _BLANKS = re.compile(r"[ \n\t\r\f\v]+")
+_CLOSING = ".,;:!?"
 _CACHED_CHARS = 64  # longer words are encoded anew each time
-_CACHE_SIZE = 600_000  # words, then the cache starts again: bounds a worker's memory
+_CACHE_SIZE = 600_000  # words of a generation; two are kept, which bounds a worker's memory
 _GROUP_CHARS = 2_000_000  # texts encoded together
 
 
@@ -77,24 +79,38 @@ class WordEncoder:
         probe = "a \n\tb"
         self.by_word = self._ids([probe])[0] == b"".join(self._ids(["a", "b"]))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.long: list[str] = []  # words to forget after the texts at hand
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, unseen: list[str]) -> None:
+        """Between a letter or digit and a mark no id reaches over, so closing marks are encoded apart."""
+        known, older = self.known, self.older
+        if older:
+            known.update([(w, older[w]) for w in unseen if w in older])
+            unseen = [w for w in unseen if w not in older]
+        cores = [w.rstrip(_CLOSING) for w in unseen]
+        cores = [c if c[-1:].isalnum() else w for c, w in zip(cores, unseen, strict=True)]
+        tails = [w[len(c) :] for c, w in zip(cores, unseen, strict=True)]
+        parts = list(set(cores).union(tails) - known.keys())
+        known.update(zip(parts, self._ids(parts), strict=True))
+        known.update([(w, known[c] + known[t]) for w, c, t in zip(unseen, cores, tails, strict=True) if t])
+        self.long += [w for w in (*parts, *unseen) if len(w) > _CACHED_CHARS]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
             return self._ids(texts)
         if len(self.known) > _CACHE_SIZE:
-            self.known = {}
-        words = [_BLANKS.split(t) for t in texts]
-        unseen = list(set().union(*words) - self.known.keys())
-        known = self.known
-        known.update(zip(unseen, self._ids(unseen), strict=True))
-        out = [b"".join(map(known.__getitem__, own)) for own in words]
-        for w in unseen:
-            if len(w) > _CACHED_CHARS:
-                del known[w]
+            self.known, self.older = {}, self.known
+        self.known[""] = b""
+        words = [_BLANKS.split(t) if _NO_BLANKS.search(t) else t.split() for t in texts]
+        self._learn(list(set().union(*words) - self.known.keys()))
+        out = [b"".join(map(self.known.__getitem__, own)) for own in words]
+        while self.long:
+            self.known.pop(self.long.pop(), None)
         return out
 
 
