@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 import zlib
 from collections.abc import Iterator
 
