@@ -13,7 +13,6 @@ import functools
 import os
 import re
 from array import array
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
