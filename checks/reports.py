@@ -247,7 +247,8 @@ def run_table_by_score(spark, sf_dir):
     return rr.run_table(*_steps(spark, sf_dir), sort="score")
 
 
-@CHECKS.add(f"WITH {_STEPS_SQL} SELECT run, pos, o1, o2, o3, o4, score FROM st")
+@CHECKS.add(f"""WITH {_STEPS_SQL} SELECT run, pos, o1, o2, o3, o4, score,
+  row_number() OVER (PARTITION BY run ORDER BY coalesce(score, -1e9) DESC, o1, o2, o3, o4, pos) AS position FROM st""")
 def order_steps(spark, sf_dir):
     steps, _ = _steps(spark, sf_dir)
-    return rr.order_steps(steps, "score").select("run", "pos", *rr.ORDER, "score")
+    return rr.order_steps(steps, "score").select("run", "pos", *rr.ORDER, "score", "position")

@@ -55,12 +55,39 @@ def _per_fold_sql(kind):
 @CHECKS.add(_per_fold_sql(_std))
 def standardize_per_fold(spark, sf_dir):
     """Validation rows scaled with what the other folds' rows say: no leak."""
-    return _shown(s.standardize_per_fold(folded_lines(spark, sf_dir), FEATURES, FOLDS), FEATURES, ["fold"])
+    return _shown(s.standardize_validation_rows(folded_lines(spark, sf_dir), FEATURES, FOLDS), FEATURES, ["fold"])
 
 
 @CHECKS.add(_per_fold_sql(_mm))
 def minmax_per_fold(spark, sf_dir):
-    return _shown(s.minmax_per_fold(folded_lines(spark, sf_dir), FEATURES, FOLDS), FEATURES, ["fold"])
+    return _shown(s.minmax_validation_rows(folded_lines(spark, sf_dir), FEATURES, FOLDS), FEATURES, ["fold"])
+
+
+# The seventh line of an order trains in every fold.
+_HALVES = f"""f AS (SELECT * EXCLUDE (fold), CASE WHEN l_linenumber < 7 THEN fold END AS fold FROM ({_FOLDED})),
+  h AS (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS held_out)"""
+
+
+def _halves(spark, sf_dir):
+    folded = folded_lines(spark, sf_dir)
+    return folded.withColumn("fold", F.when(F.col("l_linenumber") < 7, F.col("fold")))
+
+
+def _halves_sql(scale):
+    stats = ", ".join(f"avg({c}) AS avg_{c}, stddev_pop({c}) AS std_{c}, min({c}) AS min_{c}, max({c}) AS max_{c}" for c in FEATURES)
+    return f"""WITH {_HALVES}, st AS (SELECT held_out, {stats} FROM f, h WHERE fold IS DISTINCT FROM held_out GROUP BY held_out)
+      SELECT {LK}, held_out, CASE WHEN fold = held_out THEN 'valid' ELSE 'train' END AS part, {", ".join(f"{r(scale(c))} AS {c}" for c in FEATURES)} FROM f, st"""
+
+
+@CHECKS.add(_halves_sql(lambda c: f"({c} - avg_{c}) / std_{c}"))
+def standardize_both_halves(spark, sf_dir):
+    """Training and validation rows of each fold under the statistics of its training rows, some rows training in all."""
+    return _shown(s.scale_both_halves(_halves(spark, sf_dir), FEATURES, FOLDS), FEATURES, ["held_out", "part"])
+
+
+@CHECKS.add(_halves_sql(lambda c: f"({c} - min_{c}) / (max_{c} - min_{c})"))
+def minmax_both_halves(spark, sf_dir):
+    return _shown(s.scale_both_halves(_halves(spark, sf_dir), FEATURES, FOLDS, how="minmax"), FEATURES, ["held_out", "part"])
 
 
 @CHECKS.add(

@@ -1,9 +1,13 @@
 """Readers and the derived scoring set."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from stratafold.sources.run_logs import log_entries
-from stratafold.sources.tables import derive_scoring_set, read_optional, read_table
+from stratafold.operators.projection import schema_difference
+from stratafold.session import checkpoint_dir
+from stratafold.sources.run_logs import log_entries, read_run_logs
+from stratafold.sources.tables import derive_scoring_set, read_optional, read_table, write_predictions
 
 from .base import FEATURES, LINE_KEY, LK, Checks, table
 
@@ -40,3 +44,41 @@ def json_object_entries(spark, sf_dir):
     """Top-level keys of a JSON object per row; every object in this table has one key."""
     logs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("run"), F.col("props").alias("state"))
     return log_entries(logs)
+
+
+def _shared(spark, name):
+    """A new path in the folder that all executors share."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@CHECKS.add("SELECT o_orderkey, o_orderstatus FROM orders")
+def predictions_written_and_read(spark, sf_dir):
+    """The two-column file, written in parts and read back by header and schema."""
+    path, orders = _shared(spark, "predictions"), table(spark, sf_dir, "orders")
+    write_predictions(orders, path, "o_orderkey", "o_orderstatus")
+    return read_table(spark, path, orders.select("o_orderkey", "o_orderstatus").schema, "csv")
+
+
+@CHECKS.add(
+    """SELECT user_id, key AS entry, value AS payload FROM (SELECT event_id, user_id, unnest(json_keys(props)) AS key, props FROM events) t,
+         LATERAL (SELECT json_extract_string(props, '$.' || key) AS value) v"""
+)
+def run_logs_written_and_read(spark, sf_dir):
+    """One log file per user, its keys the user's events: read whole, then taken apart."""
+    path, events = _shared(spark, "logs"), table(spark, sf_dir, "events")
+    entry = F.concat(F.lit('"'), F.col("event_id").cast("string"), F.lit('": '), F.col("props"))
+    logs = events.groupBy("user_id").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ", "), F.lit("}")).alias("value"))
+    logs.repartition("user_id").write.partitionBy("user_id").option("maxRecordsPerFile", 1).text(path)
+    whole = read_run_logs(spark, path).withColumn("user_id", F.regexp_extract("run", r"user_id=(\d+)/", 1).cast("long"))
+    outer = log_entries(whole.select(F.col("user_id").alias("run"), "state")).select(F.col("run").alias("user_id"), F.col("payload").alias("state"))
+    return log_entries(outer.withColumnRenamed("user_id", "run")).select(F.col("run").alias("user_id"), "entry", "payload")
+
+
+_EXTRA = ["o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@CHECKS.add(f"SELECT {', '.join(f'count({c}) AS {c}' for c in _EXTRA)} FROM orders")
+def difference_of_schemas(spark, sf_dir):
+    """How many values stand in the columns that a table has beyond a predictions file."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.agg(*[F.count(c).alias(c) for c in schema_difference(orders, orders.select("o_orderkey", "o_orderstatus"))])

@@ -199,8 +199,12 @@ def format_fixed(c: ColumnLike, digits: int) -> Column:
     below = F.floor(x * scale).cast("double")
     beyond = (head * scale - (below + 0.5)) + (x - head) * scale
     up = (beyond > 0) | ((beyond == 0) & (below % 2 == 1))
-    text = F.format_string(f"%.{digits}f", (below + F.when(up, 1.0).otherwise(0.0)) / scale)
-    return F.concat(F.when(num(c) < 0, "-").otherwise(""), text)
+    exact = F.format_string(f"%.{digits}f", (below + F.when(up, 1.0).otherwise(0.0)) / scale)
+    # from 2^53 on, the scaled value has no fraction and a bigint may not hold it; the number itself is exact
+    whole = F.concat(x.cast("decimal(38,0)").cast("string"), F.lit("." + "0" * digits))
+    text = F.when(x * scale < 2.0**53, exact).otherwise(whole)
+    signed = F.concat(F.when(num(c) < 0, "-").otherwise(""), F.when(x == float("inf"), "inf").otherwise(text))
+    return F.when(F.isnan(num(c)), "nan").otherwise(signed)
 
 
 def format_seconds(c: ColumnLike) -> Column:

@@ -152,8 +152,7 @@ def merge_stats(parts: DataFrame, keys: list[str]) -> DataFrame:
 def held_out_parts(stats: DataFrame, by: list[str], folds: list[int], fold: str = "fold") -> DataFrame:
     """Grouped statistics, one row per column, repeated for each held-out fold whose training set they belong to.
 
-    A NULL fold belongs to every training set. The rows number folds x groups x columns, not table rows;
-    they are placed by held-out fold once, so merging them moves nothing further.
+    A NULL fold belongs to every training set. The rows number folds x groups x columns, not table rows.
     """
     held = F.explode(F.array(*[F.lit(f) for f in folds]))
     return (
@@ -161,7 +160,6 @@ def held_out_parts(stats: DataFrame, by: list[str], folds: list[int], fold: str
         .withColumn("_held", held)
         .where(F.col(fold).isNull() | (F.col(fold) != F.col("_held")))
         .drop(fold)
-        .repartition("_held")
     )
 
 

@@ -6,38 +6,28 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..bounded import pin
 from ..functions.scalar import argmax, decode, num
 from .aggregates import grouped_stats, held_out_parts, merge_stats
 
 VARIANCE_FLOOR = 1e-9  # share of the largest feature variance added to every variance
 
 
-def class_list(df: DataFrame, label: str) -> list:
-    """The classes in ascending order. Scores are one expression per class, so there must be few."""
-    pinned = pin(df.select(label).where(F.col(label).isNotNull()).distinct(), 1_000)
-    if pinned is None:
-        raise ValueError(f"{label!r} has more than 1000 values; name the classes to model")
-    return sorted(pinned.values(label))
-
-
 def fit_gaussian_nb(
-    df: DataFrame, label: str, cols: list[str], classes: list, fold: str | None = None, folds: list[int] = ()
+    df: DataFrame, label: str, cols: list[str], classes: list | None = None, fold: str | None = None, folds: list[int] = ()
 ) -> DataFrame:
-    """One row per held-out fold (or one row) with a struct (const, mean[], scale[]) per class.
+    """One row per held-out fold (or one row) with ``model``: an array of (class, const, mean[], scale[]) in class order.
 
-    The table is aggregated once by (fold, label); what follows works on folds x classes x columns rows
-    that are placed by fold once. Rows of other classes do not train, and each fold's row holds the
-    listed classes only, so its size is known. The classes are picked by conditions inside the
-    aggregates: a filter would reach the scan of this branch alone, which then could not share the
-    fold shuffle with the scoring branch.
+    The table is aggregated once by (fold, label); what follows works on folds x classes x columns rows.
+    Rows of other classes than ``classes`` (None: all of the table) do not train. The classes are picked by
+    conditions inside the aggregates: a filter would reach the scan of this branch alone, which then could not
+    share the fold shuffle with the scoring branch.
     """
-    listed = F.col(label).isin(list(classes))
+    listed = F.col(label).isNotNull() if classes is None else F.col(label).isin(list(classes))
     if fold:
         parts = held_out_parts(grouped_stats(df, cols, [fold, label]), [label], folds, fold)
     else:
         whole = grouped_stats(df, cols, [label])
-        parts = whole.select(label, "rows", F.inline("stats")).withColumn("_held", F.lit(0)).repartition("_held")
+        parts = whole.select(label, "rows", F.inline("stats")).withColumn("_held", F.lit(0))
     per_class = merge_stats(parts, ["_held", label, "at"])
     numbers = [F.when(listed, F.col(c)).alias(c) for c in ("rows", "n", "mean", "m2")]
     column, whole_fold = Window.partitionBy("_held", "at"), Window.partitionBy("_held")
@@ -57,36 +47,35 @@ def fit_gaussian_nb(
         (prior - 0.5 * F.sum(F.log(F.lit(2 * math.pi) * F.col("_var")))).alias("const"),
         F.sort_array(F.collect_list(entry)).alias("_cols"),
     )
-    one = F.struct(label, F.struct("const", F.col("_cols.mean").alias("mean"), F.col("_cols.scale").alias("scale")))
-    models = per_label.groupBy("_held").agg(F.map_from_entries(F.collect_list(F.when(listed, one))).alias("_m"))
-    slots = [F.col("_m")[F.lit(c)].alias(_slot(i)) for i, c in enumerate(classes)]
-    return models.select(*([F.col("_held").alias(fold)] if fold else []), *slots)
-
-
-def _slot(i: int) -> str:
-    return f"_nb_{i}"
+    one = F.struct(F.col(label).alias("class"), "const", F.col("_cols.mean").alias("mean"), F.col("_cols.scale").alias("scale"))
+    models = per_label.groupBy("_held").agg(F.sort_array(F.collect_list(F.when(listed, one))).alias("model"))
+    return models.select(*([F.col("_held").alias(fold)] if fold else []), "model")
 
 
-def _score(i: int, cols: list[str]) -> Column:
-    m = F.col(_slot(i))
+def _score(m: Column, cols: list[str]) -> Column:
     terms = [(num(x) - m["mean"][j]) * (num(x) - m["mean"][j]) * m["scale"][j] for j, x in enumerate(cols)]
     return F.coalesce(m["const"] - sum(terms[1:], terms[0]), F.lit(float("-inf")))
 
 
 def predict_gaussian_nb(
-    df: DataFrame, model: DataFrame, cols: list[str], classes: list, fold: str | None = None, out: str = "prediction"
+    df: DataFrame, model: DataFrame, cols: list[str], classes: list | None = None, fold: str | None = None, out: str = "prediction"
 ) -> DataFrame:
     """Add ``scores`` (log joint density per class) and the class of the largest, lowest on ties.
 
-    The model is one row per fold; it is all that is broadcast, and scoring is one projection.
+    Scores are in the order of ``classes``, -inf for one that was not seen in training; without them, in the order of
+    the model's classes. A model is one row per fold, and a row is scored against its classes in place.
     """
-    slots = [_slot(i) for i in range(len(classes))]
     if fold:
-        scored = df.join(F.broadcast(model), [fold], "left").select(*df.columns, *slots)
+        scored = df.join(model.withColumnRenamed("model", "_model"), [fold], "left").select(*df.columns, "_model")
     else:
-        scored = df.withColumn("_model", model.select(F.struct(*slots)).scalar()).select("*", "_model.*").drop("_model")
-    scored = scored.withColumn("scores", F.array(*[_score(i, cols) for i in range(len(classes))])).drop(*slots)
-    return scored.withColumn(out, decode(argmax("scores"), classes))
+        scored = df.withColumn("_model", model.select("model").scalar())
+    own = F.transform("_model", lambda m: _score(m, cols))
+    if classes is None:
+        scored = scored.withColumn("scores", own)
+        return scored.withColumn(out, F.get("_model", argmax("scores"))["class"]).drop("_model")
+    scored = scored.withColumn("_own", F.map_from_arrays(F.col("_model")["class"], own))
+    scored = scored.withColumn("scores", F.array(*[F.coalesce(F.try_element_at("_own", F.lit(c)), F.lit(float("-inf"))) for c in classes]))
+    return scored.drop("_model", "_own").withColumn(out, decode(argmax("scores"), classes))
 
 
 def nb_probabilities(scores: str = "scores") -> Column:
@@ -100,6 +89,5 @@ def nb_out_of_fold(
     df: DataFrame, label: str, cols: list[str], folds: list[int], classes: list | None = None, fold: str = "fold"
 ) -> DataFrame:
     """Out-of-fold predictions of every validation row, all folds in one plan."""
-    classes = class_list(df, label) if classes is None else classes
     model = fit_gaussian_nb(df, label, cols, classes, fold, folds)
     return predict_gaussian_nb(df.where(F.col(fold).isNotNull()), model, cols, classes, fold)

@@ -36,7 +36,10 @@ def _apply(df: DataFrame, stats: DataFrame, cols: list[str], rule: Callable[[str
     else:
         # one row per listed fold by construction of fit_stats_per_fold
         joined = df.join(F.broadcast(stats.select(fold, F.col("stats").alias(_STATS))), [fold], "left")
-    return joined.withColumns({c: rule(c, F.col(_STATS)[i]) for i, c in enumerate(cols)}).select(*df.columns)
+    scaled = {c: rule(c, F.col(_STATS)[i]) for i, c in enumerate(cols)}
+    if fold is not None:  # rows that never validate have no statistics of their own
+        scaled = {c: F.when(F.col(fold).isNull(), num(c)).otherwise(x) for c, x in scaled.items()}
+    return joined.withColumns(scaled).select(*df.columns)
 
 
 def apply_standard(df: DataFrame, stats: DataFrame, cols: list[str], fold: str | None = None) -> DataFrame:
@@ -66,15 +69,34 @@ def minmax(df: DataFrame, cols: list[str]) -> DataFrame:
     return apply_minmax(df, fit_stats(df, cols), cols)
 
 
-def standardize_per_fold(df: DataFrame, cols: list[str], folds: list[int], fold: str = "fold") -> DataFrame:
-    """Validation rows of each fold scaled with the statistics of the other folds' rows."""
+def standardize_validation_rows(df: DataFrame, cols: list[str], folds: list[int], fold: str = "fold") -> DataFrame:
+    """Every row as it is seen when its fold is held out: scaled with the statistics of the other folds' rows.
+
+    This is the validation half only. To train on scaled rows use ``scale_both_halves`` or
+    ``learners.preprocessed``: there a fold's training rows are scaled by the same statistics. Rows with a NULL fold
+    never validate and keep their values.
+    """
     return apply_standard(df, fit_stats_per_fold(df, cols, folds, fold), cols, fold)
 
 
-def minmax_per_fold(df: DataFrame, cols: list[str], folds: list[int], fold: str = "fold") -> DataFrame:
+def minmax_validation_rows(df: DataFrame, cols: list[str], folds: list[int], fold: str = "fold") -> DataFrame:
     return apply_minmax(df, fit_stats_per_fold(df, cols, folds, fold), cols, fold)
 
 
+def scale_both_halves(
+    df: DataFrame, cols: list[str], folds: list[int], fold: str = "fold", how: str = "standard", held: str = "held_out", part: str = "part"
+) -> DataFrame:
+    """Every row once per held-out fold, with ``held_out`` and ``part`` ('train' or 'valid'), scaled by that fold's training rows.
+
+    Both halves of a split get the same statistics, those of its training half. Rows with a NULL fold train in all.
+    """
+    apply = {"standard": apply_standard, "minmax": apply_minmax}[how]
+    stats = fit_stats_per_fold(df, cols, folds, fold).withColumnRenamed(fold, held)
+    each = df.withColumn(held, F.explode(F.array(*[F.lit(f) for f in folds])))
+    valid = F.coalesce(F.col(fold) == F.col(held), F.lit(False))
+    return apply(each, stats, cols, held).withColumn(part, F.when(valid, "valid").otherwise("train"))
+
+
 def impute_mean(df: DataFrame, cols: list[str], stats: DataFrame | None = None) -> DataFrame:
     """Missing values (NULL or NaN) become the mean of the present ones."""
     stats = fit_stats(df, cols) if stats is None else stats

@@ -12,18 +12,18 @@ from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalar import argmax, decode, mix
-from ..operators.aggregates import accuracy
+from ..operators.aggregates import accuracy, cv_score
 from ..operators.bayes import fit_gaussian_nb, nb_probabilities, predict_gaussian_nb
+from ..operators.folds import balanced_weights
 from ..operators.keyed import train_of, valid_of
+from ..operators.scaling import apply_minmax, apply_standard, fit_stats
 from ..operators.voting import check_weights, hard_vote
 
 Predictor = Callable[[DataFrame], DataFrame]
@@ -54,11 +54,16 @@ def _finish(df: DataFrame, probability: Column, classes: list) -> DataFrame:
     return df.select(*kept, probability.alias("probability")).withColumn("prediction", decode(argmax("probability"), classes))
 
 
+def _listed(train: DataFrame, label: str, classes: list) -> DataFrame:
+    """Rows of other classes, and without a label, do not train."""
+    return train.where(F.col(label).isin(list(classes)))
+
+
 def _from_estimator(make: Callable[[], Estimator], cols: list[str], label: str, classes: list) -> Learner:
     """The estimator is made anew for each fit, so that fits can run side by side."""
 
     def fit(train: DataFrame) -> Predictor:
-        model = make().fit(_prepare(train, cols).withColumn(_IDX, _index(label, classes)))
+        model = make().fit(_prepare(_listed(train, label, classes), cols).withColumn(_IDX, _index(label, classes)))
         n = getattr(model, "numClasses", len(classes))
 
         def predict(df: DataFrame) -> DataFrame:
@@ -106,6 +111,21 @@ def _dropping(learner: Learner, *cols: str) -> Learner:
     return fit
 
 
+def _one_vs_rest(models: list, cols: list[str], classes: list) -> Predictor:
+    """Probabilities of one binary model per class, normalised to sum to one."""
+
+    def predict(df: DataFrame) -> DataFrame:
+        scored = _prepare(df, cols)
+        own = []
+        for i, model in enumerate(models):
+            scored = model.transform(scored).withColumn(f"_p{i}", vector_to_array(F.col(_PROB))[1]).drop(_PROB, "_raw", "_pred")
+            own.append(f"_p{i}")
+        total = reduce(lambda a, b: a + b, [F.col(c) for c in own])
+        return _finish(scored, F.array(*[F.try_divide(F.col(c), total) for c in own]), classes).drop(*own)
+
+    return predict
+
+
 def boosted(
     cols: list[str],
     label: str,
@@ -128,7 +148,7 @@ def boosted(
     """
 
     def fit(train: DataFrame) -> Predictor:
-        prepared = _prepare(train, cols).select(_VEC, label, *([validation] if validation else [])).persist()
+        prepared = _prepare(_listed(train, label, classes), cols).select(_VEC, label, *([validation] if validation else [])).persist()
         params = dict(maxIter=rounds, stepSize=rate, subsamplingRate=subsample, maxDepth=depth, featureSubsetStrategy=features, minInfoGain=min_gain, seed=seed)
         if validation:
             params.update(validationIndicatorCol=validation, validationTol=tolerance)
@@ -143,15 +163,54 @@ def boosted(
         finally:
             prepared.unpersist()
 
-        def predict(df: DataFrame) -> DataFrame:
-            scored = _prepare(df, cols)
-            own = []
-            for i, model in enumerate(models):
-                scored = model.transform(scored).withColumn(f"_p{i}", vector_to_array(F.col(_PROB))[1]).drop(_PROB, "_raw", "_pred")
-                own.append(f"_p{i}")
-            total = reduce(lambda a, b: a + b, [F.col(c) for c in own])
-            return _finish(scored, F.array(*[F.try_divide(F.col(c), total) for c in own]), classes).drop(*own)
+        return _one_vs_rest(models, cols, classes)
+
+    return fit
+
+
+def patient_rounds(losses: list[float], patience: int) -> int:
+    """Rounds to keep: up to the lowest loss before ``patience`` rounds in a row have brought no lower one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def boosted_to_fold(
+    cols: list[str], label: str, classes: list, rounds: int = 100, patience: int = 10, rate: float = 0.1, depth: int = 5, seed: int = 42, parallelism: int = 4
+) -> Callable[[DataFrame, DataFrame], Predictor]:
+    """Boosted trees that stop on given validation rows: ``fit(train, valid)``, for ``out_of_fold(..., stops=True)``.
 
+    Each class's model is scored on the validation rows after every round, and keeps the best round before
+    ``patience`` rounds without gain. The kept rounds are fitted again: with the same seed they are the same trees.
+    ``predict.rounds`` says how many each class kept.
+    """
+
+    def fit(train: DataFrame, valid: DataFrame) -> Predictor:
+        halves = [_prepare(_listed(half, label, classes), cols).select(_VEC, label).persist() for half in (train, valid)]
+        params = dict(stepSize=rate, maxDepth=depth, seed=seed)
+
+        def fit_class(c):
+            own, judge = (half.withColumn(_IDX, (F.col(label) == F.lit(c)).cast("double")) for half in halves)
+
+            def fitted(n: int):
+                estimator = GBTClassifier(featuresCol=_VEC, labelCol=_IDX, predictionCol="_pred", maxIter=n, **params)
+                return estimator.setProbabilityCol(_PROB).setRawPredictionCol("_raw").fit(own)
+
+            model = fitted(rounds)
+            kept = patient_rounds(list(model.evaluateEachIteration(judge)), patience)
+            return (model if kept == rounds else fitted(kept)), kept
+
+        try:
+            models, kept = zip(*_each(classes, fit_class, parallelism))
+        finally:
+            for half in halves:
+                half.unpersist()
+        predict = _one_vs_rest(models, cols, classes)
+        predict.rounds = list(kept)
         return predict
 
     return fit
@@ -173,8 +232,42 @@ def gaussian_nb(cols: list[str], label: str, classes: list) -> Learner:
 # --- combining learners ----------------------------------------------------------------------
 
 
-def vote(learners: list[Learner], classes: list, how: str = "soft", weights: list[float] | None = None, tie: str = "lowest") -> Learner:
-    """Soft vote (mean or weighted sum of probabilities) or hard vote of several learners, as one learner."""
+def preprocessed(make: Callable[[list[str]], Learner], cols: list[str], how: str = "standard") -> Learner:
+    """A learner on scaled columns: fitted on the training rows alone, applied to them and to all rows it predicts for.
+
+    ``make`` gets the names of the scaled columns; those of the table keep their values.
+    """
+    names = [f"_scaled_{c}" for c in cols]
+    apply = {"standard": apply_standard, "minmax": apply_minmax}[how]
+
+    def copied(df: DataFrame) -> DataFrame:
+        return df.withColumns({n: F.col(c).cast("double") for n, c in zip(names, cols)})
+
+    def fit(train: DataFrame) -> Predictor:
+        train = copied(train)
+        stats = fit_stats(train, names)
+        predict = make(names)(apply(train, stats, names))
+        return lambda df: predict(apply(copied(df), stats, names)).drop(*names)
+
+    return fit
+
+
+def balanced(make: Callable[[str], Learner], label: str, weight: str = "_balance") -> Learner:
+    """A learner whose rows weigh n / (classes * n of the class), counted on the training rows of the fold. ``make`` gets the weight column's name."""
+
+    def fit(train: DataFrame) -> Predictor:
+        return make(weight)(balanced_weights(train, label, weight))
+
+    return fit
+
+
+def vote(
+    learners: list[Learner], classes: list, how: str = "soft", weights: list[float] | None = None, tie: str = "lowest", members: bool = False
+) -> Learner:
+    """Soft vote (mean or weighted sum of probabilities) or hard vote of several learners, as one learner.
+
+    With ``members`` the columns ``_prob0``, ``_vote0`` and so on of the single learners stay.
+    """
     if weights is not None:
         check_weights(weights)
     if how not in ("soft", "hard"):
@@ -194,24 +287,27 @@ def vote(learners: list[Learner], classes: list, how: str = "soft", weights: lis
                 df = df.withColumn("prediction", decode(argmax("probability"), classes))
             else:
                 df = hard_vote(df, preds, tie)
-            return df.drop(*probs, *preds)
+            return df if members else df.drop(*probs, *preds)
 
         return predict
 
     return fit
 
 
-def seed_ensemble(make: Callable[[int], Learner], seeds: list[int], classes: list) -> Learner:
+def seed_ensemble(make: Callable[[int], Learner], seeds: list[int], classes: list, members: bool = False) -> Learner:
     """The same learner with several seeds, probabilities averaged."""
-    return vote([make(s) for s in seeds], classes)
+    return vote([make(s) for s in seeds], classes, members=members)
 
 
 # --- validation ------------------------------------------------------------------------------
 
 
-def out_of_fold(df: DataFrame, learner: Learner, folds: list[int], fold: str = "fold", parallelism: int = 3) -> DataFrame:
-    """Predictions of every validation row by the model fitted on the other folds."""
-    fits = _each(list(folds), lambda f: learner(train_of(df, f, fold)), parallelism)
+def out_of_fold(df: DataFrame, learner: Learner, folds: list[int], fold: str = "fold", parallelism: int = 3, stops: bool = False) -> DataFrame:
+    """Predictions of every validation row by the model fitted on the other folds.
+
+    With ``stops`` the learner also gets the validation rows, to stop on.
+    """
+    fits = _each(list(folds), lambda f: learner(train_of(df, f, fold), *([valid_of(df, f, fold)] if stops else [])), parallelism)
     return reduce(DataFrame.unionByName, [predict(valid_of(df, f, fold)) for f, predict in zip(folds, fits)])
 
 
@@ -235,34 +331,19 @@ def repeated_cross_validate(
     return reduce(DataFrame.unionByName, runs)
 
 
-def grid_search(
-    df: DataFrame,
-    estimator: Estimator,
-    cols: list[str],
-    label: str,
-    classes: list,
-    grid: list[dict],
-    n_folds: int = 3,
-    fold: str = "fold",
-    parallelism: int = 2,
-) -> DataFrame:
-    """(params, mean_test_score) by accuracy over given folds; ``grid`` comes from a ParamGridBuilder.
+def grid_search(df: DataFrame, make: Callable[..., Learner], grid: list[dict], label: str, folds: list[int], fold: str = "fold", parallelism: int = 2) -> DataFrame:
+    """(params, mean_test_score): mean accuracy over the folds of ``make(**params)`` for every setting of the grid.
 
-    ``estimator`` reads columns ``features`` and ``label``.
+    The folded table is cached once for all settings. Nothing is fitted again on all rows.
     """
-    ready = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(df)
-    ready = ready.select("features", _index(label, classes).alias("label"), fold)
-    search = CrossValidator(
-        estimator=Pipeline(stages=[estimator]),
-        estimatorParamMaps=grid,
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        numFolds=n_folds,
-        foldCol=fold,
-        parallelism=parallelism,
-    )
-    scores = search.fit(ready).avgMetrics
-    named = [", ".join(f"{p.name}={v}" for p, v in sorted(g.items(), key=lambda x: x[0].name)) for g in grid]
-    return df.sparkSession.createDataFrame(list(zip(named, [float(s) for s in scores])), "params string, mean_test_score double")
+    df = df.persist()
+    try:
+        means = _each(grid, lambda params: out_of_fold(df, make(**params), folds, fold, 1), parallelism)
+        scores = [cv_score(scored, label, "prediction", fold).first()[0] for scored in means]
+    finally:
+        df.unpersist()
+    named = [", ".join(f"{k}={v}" for k, v in sorted(params.items())) for params in grid]
+    return df.sparkSession.createDataFrame(list(zip(named, map(float, scores))), "params string, mean_test_score double")
 
 
 def fit_and_score(train: DataFrame, test: DataFrame, learner: Learner, key: list[str], out: str = "prediction") -> DataFrame:

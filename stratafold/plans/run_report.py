@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalar import first_line, format_score, format_seconds
+from ..functions.scalar import first_line, format_score, format_seconds, present
 from ..operators.folds import with_group_rank
 
 # Record keys of a log. Each pattern comes with its phase, the four order numbers and the
@@ -207,17 +207,17 @@ def _sort_keys(by: str) -> tuple[list[Column], Column]:
     """Sort columns of an ordering, and a coarse version of it to slice large runs by.
 
     Equal sort values are sliced further by the order of execution. For times and scores that is done at
-    whole numbers, where the stand-ins for missing values lie.
+    whole numbers, where the stand-ins for missing values lie. NaN is missing.
     """
     steps = [F.col(c) for c in _CHRONOLOGICAL]
     fine = F.struct(*ORDER, F.floor(F.col("pos") / 10_000).alias("block"))
     if by == "order":
         return steps, fine
     if by == "time":
-        value = -F.coalesce("time_s", F.lit(0.0))
+        value = -F.coalesce(present("time_s"), F.lit(0.0))
         unit = value
     elif by == "score":
-        value = -F.coalesce("score", F.lit(-1e9))
+        value = -F.coalesce(present("score"), F.lit(-1e9))
         unit = value * 1024  # a power of two keeps distinct values distinct
     else:
         raise ValueError(f"sort is one of {SORTS}")
@@ -226,15 +226,18 @@ def _sort_keys(by: str) -> tuple[list[Column], Column]:
 
 
 def order_steps(steps: DataFrame, by: str = "order") -> DataFrame:
-    """Steps of each run in order of execution, slowest first (missing as 0), or highest score first (missing last)."""
-    return steps.orderBy("run", *_sort_keys(by)[0])
+    """Steps of each run in order of execution, slowest first (missing as 0), or highest score first (missing last), with ``position``."""
+    return _numbered(steps, by, "position").orderBy("run", "position")
+
+
+def _numbered(steps: DataFrame, by: str, number: str) -> DataFrame:
+    keys, slice_by = _sort_keys(by)
+    return with_group_rank(steps.withColumn("_slice", slice_by), ["run"], keys, "_slice", rank=number).drop("_slice")
 
 
 def run_table(steps: DataFrame, directions: DataFrame, sort: str = "order") -> DataFrame:
     """Numbered steps per run with display texts and the best mark."""
-    keys, slice_by = _sort_keys(sort)
-    ranked = with_group_rank(steps.withColumn("_slice", slice_by), ["run"], keys, "_slice", rank="number")
-    return mark_best(ranked, directions).select(
+    return mark_best(_numbered(steps, sort, "number"), directions).select(
         "run",
         F.col("number").cast("int").alias("number"),
         "phase",

@@ -223,10 +223,33 @@ def test_repeated_validation(taught):
 
 
 def test_grid_search(taught):
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.tuning import ParamGridBuilder
+    some = taught.withColumn("fold", F.when(F.col("id") % 10 > 0, F.col("fold")))  # the others train in every fold
+    found = m.grid_search(some, lambda depth: m.forest(XZ, "y", CLASSES, trees=3, depth=depth, seed=1), [{"depth": 1}, {"depth": 4}], "y", [0, 1, 2])
+    got = {r["params"]: r["mean_test_score"] for r in found.collect()}
+    assert got["depth=4"] > got["depth=1"]
 
-    est = RandomForestClassifier(seed=1, numTrees=3)
-    grid = ParamGridBuilder().addGrid(est.maxDepth, [1, 4]).build()
-    got = {r["params"]: r["mean_test_score"] for r in m.grid_search(taught, est, XZ, "y", CLASSES, grid).collect()}
-    assert got["maxDepth=4"] > got["maxDepth=1"]
+
+def test_unlisted_and_missing_labels_do_not_train(taught):
+    odd = taught.withColumn("y", F.when(F.col("id") % 9 == 0, F.lit(None)).when(F.col("id") % 9 == 1, 77).otherwise(F.col("y")).cast("int"))
+    for learner in (m.forest(XZ, "y", CLASSES, trees=2, depth=2), m.gaussian_nb(XZ, "y", CLASSES), m.logistic(XZ, "y", CLASSES, maxIter=2)):
+        assert {r[0] for r in learner(odd)(odd).select("prediction").distinct().collect()} <= set(CLASSES)
+
+
+@pytest.mark.parametrize(("losses", "patience", "kept"), [([3, 2, 1], 2, 3), ([3, 1, 2, 2, 0], 2, 2), ([3, 1, 2, 2, 0], 3, 5), ([1, 1, 1], 1, 1), ([5, 4, 4.5, 3, 4, 5], 2, 4)])
+def test_patience(losses, patience, kept):
+    assert m.patient_rounds(losses, patience) == kept
+
+
+def test_preprocessing_is_fitted_on_training_rows_alone(spark):
+    df = spark.createDataFrame([(0, 1.0), (0, 2.0), (1, 10.0), (1, 20.0), (None, 100.0)], "fold int, x double")
+
+    def seen(cols):
+        def fit(train):
+            (c,) = cols
+            low, high = train.agg(F.min(c), F.max(c)).first()
+            return lambda rows: rows.withColumns({"low": F.lit(low), "high": F.lit(high), "own": F.col(c)})
+
+        return fit
+
+    got = rows(m.out_of_fold(df, m.preprocessed(seen, ["x"], how="minmax"), [0, 1]), "fold", "x", "low", "high", "own")
+    assert got == [(0, 1.0, 0.0, 1.0, -0.1), (0, 2.0, 0.0, 1.0, pytest.approx(-8 / 90)), (1, 10.0, 0.0, 1.0, pytest.approx(9 / 99)), (1, 20.0, 0.0, 1.0, pytest.approx(19 / 99))]
