@@ -12,6 +12,7 @@ from stratafold.operators.bayes import nb_out_of_fold
 from stratafold.operators.folds import stratified_holdout, stratified_kfold
 from stratafold.operators.knn import knn_out_of_fold
 from stratafold.plans import learners as m
+from stratafold.session import checkpoint_dir
 
 from .base import FEATURES, FOLDS, LINE_KEY, LK, Checks, fold_sql, holdout_sql, r, rounded, table
 from .keyed import folded_lines
@@ -146,6 +147,8 @@ _VOTE_SQL = _facts_sql(_FOLDED_TARGET, zeros=("off_votes",))
 
 
 def _cross_validated(folded, learner, extra=None, stops=False):
+    checkpoint_dir(folded.sparkSession)
+    folded = folded.checkpoint()  # every fit passes over it many times
     return _facts(m.out_of_fold(folded, learner, FOLDS, stops=stops), extra=extra)
 
 
