@@ -33,20 +33,18 @@ def _sql(exprs, digits=6, source="lineitem"):
 
 
 @CHECKS.add(
-    f"""SELECT c_custkey, s_suppkey, {r('sqrt(c_acctbal * c_acctbal + s_acctbal * s_acctbal)', 4)} AS euclidean,
-        {r('abs(c_acctbal) + abs(s_acctbal)', 4)} AS manhattan, {r('atan2(s_acctbal, c_acctbal)')} AS bearing
-        FROM customer JOIN supplier ON c_custkey = s_suppkey"""
+    f"""SELECT o_orderkey, {r('sqrt(c_acctbal * c_acctbal + o_totalprice * o_totalprice)', 3)} AS euclidean,
+        {r('abs(c_acctbal) + abs(o_totalprice)', 3)} AS manhattan, {r('atan2(o_totalprice, c_acctbal)')} AS bearing
+        FROM orders JOIN customer ON o_custkey = c_custkey"""
 )
 def distances_and_bearing(spark, sf_dir):
-    """Balances of customers and suppliers with the same number as two signed offsets."""
-    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    both = customer.join(supplier, F.col("c_custkey") == F.col("s_suppkey"))
+    """The price of an order and its customer's balance as two signed offsets."""
+    both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return both.select(
-        "c_custkey",
-        "s_suppkey",
-        rounded(b.euclidean("c_acctbal", "s_acctbal"), 4).alias("euclidean"),
-        rounded(b.manhattan("c_acctbal", "s_acctbal"), 4).alias("manhattan"),
-        rounded(b.bearing("s_acctbal", "c_acctbal")).alias("bearing"),
+        "o_orderkey",
+        rounded(b.euclidean("c_acctbal", "o_totalprice"), 3).alias("euclidean"),
+        rounded(b.manhattan("c_acctbal", "o_totalprice"), 3).alias("manhattan"),
+        rounded(b.bearing("o_totalprice", "c_acctbal")).alias("bearing"),
     )
 
 

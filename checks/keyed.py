@@ -60,23 +60,23 @@ def rows_of_classes(spark, sf_dir):
 
 
 @CHECKS.add(
-    """SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IN
-       (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')"""
+    """SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority < '3' AND o_custkey IN
+       (SELECT o_custkey FROM orders WHERE o_orderpriority >= '3')"""
 )
 def filter_unseen_labels(spark, sf_dir):
     """Validation rows whose label occurs among the training rows."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    valid = orders.where(F.col("o_orderpriority") == "1-URGENT").drop("o_orderpriority")
-    return k.filter_unseen_labels(valid, orders.where(F.col("o_orderpriority") == "5-LOW"), "o_custkey")
+    valid = orders.where(F.col("o_orderpriority") < "3").drop("o_orderpriority")
+    return k.filter_unseen_labels(valid, orders.where(F.col("o_orderpriority") >= "3"), "o_custkey")
 
 
 @CHECKS.add(
-    """SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS prediction FROM orders WHERE o_orderstatus = 'F'"""
+    """SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS prediction FROM orders"""
 )
 def attach_predictions(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     preds = orders.select("o_orderkey", F.when(F.col("o_totalprice") > 100000, 1).otherwise(0).alias("prediction"))
-    return k.attach_predictions(orders.where(F.col("o_orderstatus") == "F").select("o_orderkey"), preds, ["o_orderkey"])
+    return k.attach_predictions(orders.select("o_orderkey"), preds, ["o_orderkey"])
 
 
 @CHECKS.add("SELECT doc_id, n_chars, lang, quality, toxic FROM documents FULL JOIN labels USING (doc_id)")

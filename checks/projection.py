@@ -12,13 +12,13 @@ from .base import LINE_KEY, LK, Checks, r, rounded, table
 CHECKS = Checks()
 
 
-@CHECKS.add(f"SELECT {LK}, l_quantity, l_extendedprice, l_linestatus FROM lineitem")
+@CHECKS.add(f"SELECT {LK}, l_quantity, l_extendedprice, l_linestatus, l_returnflag FROM lineitem")
 def split_features_label(spark, sf_dir):
-    """Features without the label and without superseded columns."""
-    features, _ = p.split_features_label(
+    """Features without the label and without superseded columns, and the label half beside them."""
+    features, labels = p.split_features_label(
         table(spark, sf_dir, "lineitem"), LINE_KEY, "l_returnflag", ["l_discount", "l_tax", "l_shipdate"]
     )
-    return features
+    return features.join(labels, LINE_KEY)
 
 
 @CHECKS.add(
@@ -43,12 +43,12 @@ def cast_label(spark, sf_dir):
     return lines.groupBy(F.col("l_linenumber").alias("category")).agg(F.count("*").alias("n"))
 
 
-@CHECKS.add(f"SELECT {LK}, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem WHERE l_tax > 0.05")
+@CHECKS.add(f"SELECT {LK}, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")
 def select_columns(spark, sf_dir):
     """Columns by name part and type."""
     lines = table(spark, sf_dir, "lineitem")
     names = p.select_columns(lines, prefix="l_", not_prefix=tuple(LINE_KEY), numeric=True)
-    return lines.where(F.col("l_tax") > 0.05).select(*LINE_KEY, *names)
+    return lines.select(*LINE_KEY, *names)
 
 
 @CHECKS.add(

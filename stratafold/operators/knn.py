@@ -30,7 +30,6 @@ from .voting import top_votes
 
 MAX_POINT_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
-_PIVOTS = 256
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -92,35 +91,30 @@ def knn_join(
     carry: list[str] = (),
     max_point_bytes: int = MAX_POINT_BYTES,
     block_rows: int = BLOCK_ROWS,
-    pivots: int = _PIVOTS,
+    pivots: int | None = None,
 ) -> DataFrame:
     """(query key.., point key, carried point columns, distance, rank) of the k nearest points by Euclidean distance.
 
-    Column names of the two sides must not clash, but for ``vec``.
+    Column names of the two sides must not clash, but for ``vec``. There are as many pivots as the square root of the
+    number of points, unless ``pivots`` says otherwise.
     """
     cols = [point_key, *carry]
     queries = queries.select(*query_key, vec).where(F.col(vec).isNotNull())
     points = points.select(*cols, vec).where(F.col(vec).isNotNull())
-    probe = points.select(F.size(vec).alias("n")).first()
-    width = 8 * max(1, probe["n"] if probe else 1)
     copies = Window.partitionBy(vec).orderBy(point_key)
     points = points.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
     schema = _neighbour_schema(queries, points, query_key, cols)
-    fits = pin_points(points, max_point_bytes // width)
-    if fits is not None:
-        found = _broadcast_search(queries, fits.sort_by(point_key), k, vec, query_key, cols, schema)
+    # all bytes of all columns are counted, not those of one row
+    width = F.size(vec) * 8 + sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in cols), F.lit(0))
+    total = points.agg(F.sum(width).alias("bytes"), F.count("*").alias("rows")).first()
+    if (total["bytes"] or 0) <= max_point_bytes:
+        found = _broadcast_search(queries, points.toArrow().sort_by(point_key), k, vec, query_key, cols, schema)
     else:
-        found = _cell_search(queries, points, k, vec, query_key, point_key, cols, schema, block_rows, pivots)
+        found = _cell_search(queries, points, k, vec, query_key, point_key, cols, schema, block_rows, pivots or math.isqrt(total["rows"]) + 1)
     best = Window.partitionBy(*query_key).orderBy("distance", point_key)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def pin_points(points: DataFrame, max_rows: int) -> pa.Table | None:
-    """The points as one table if they are at most ``max_rows``."""
-    table = points.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
-
-
 def _broadcast_search(queries, points: pa.Table, k, vec, query_key, cols, schema: StructType) -> DataFrame:
     shared = queries.sparkSession.sparkContext.broadcast(points)
     arrow = to_arrow_schema(schema)
@@ -250,6 +244,8 @@ def knn_out_of_fold(
     df: DataFrame, k: int, vec: str, key: str, label: str, folds: list[int], fold: str = "fold", **options
 ) -> DataFrame:
     """Each fold's rows classified by the rows of the other folds."""
+    checkpoint_dir(df.sparkSession)
+    df = df.select(key, label, vec, fold).checkpoint()  # read several times for every fold
     points = df.select(F.col(key).alias("_point"), F.col(label).alias("_label"), vec, fold)
     parts = []
     for f in folds:
