@@ -112,3 +112,10 @@ def test_probability_helpers(spark):
     assert values(df, s.expand_slots("p", [1, 2, 4], [1, 2, 3, 4]))[0] == [0.4, 0.4, 0.0, 0.2]
     assert values(df, s.decode(s.argmax("q"), [5, 6, 7])) == [7]
     assert values(df, s.one_hot(F.lit(6), [5, 6, 7]))[0] == [0.0, 1.0, 0.0]
+
+
+def test_number_texts_of_large_and_non_finite_values(spark):
+    values = [1e14, 123456789012345678.0, float("inf"), float("-inf"), float("nan"), -1e15, 1.95, 0.0, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double").orderBy("id")
+    assert [r[0] for r in df.select(s.format_score("v")).collect()] == [*(f"{v:.5f}" for v in values[:-1]), "-"]
+    assert [r[0] for r in df.select(s.format_seconds("v")).collect()][:3] == ["27777777777.78h", f"{values[1] / 3600:.2f}h", "infh"]

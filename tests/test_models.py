@@ -253,3 +253,17 @@ def test_preprocessing_is_fitted_on_training_rows_alone(spark):
 
     got = rows(m.out_of_fold(df, m.preprocessed(seen, ["x"], how="minmax"), [0, 1]), "fold", "x", "low", "high", "own")
     assert got == [(0, 1.0, 0.0, 1.0, -0.1), (0, 2.0, 0.0, 1.0, pytest.approx(-8 / 90)), (1, 10.0, 0.0, 1.0, pytest.approx(9 / 99)), (1, 20.0, 0.0, 1.0, pytest.approx(19 / 99))]
+
+
+def test_facts_of_the_learner_queries_notice_broken_learners(spark):
+    from checks.learn import _facts, _hard_vote_differs, _soft_vote_differs
+
+    good = [(t, [0.1, 0.2, 0.7], 3, [0.0, 0.3, 0.7], [0.2, 0.1, 0.7], 3, 3) for t in (1, 2, 3, 3, 3, 3)]
+    schema = "target int, probability array<double>, prediction int, _prob0 array<double>, _prob1 array<double>, _vote0 int, _vote1 int"
+    extra = {"off_soft": _soft_vote_differs(2), "off_hard": _hard_vote_differs(2)}
+    judge = lambda data: _facts(spark.createDataFrame(data, schema), by=(), extra=extra).first()
+    fine = judge(good)
+    assert (fine.n_1, fine.n_2, fine.n_3, fine.off_sums, fine.off_labels, fine.off_soft, fine.off_hard) == (1, 1, 4, 0, 0, 0, 0) and not fine.learns
+    assert judge([(*r[:1], [0.1, 0.1, 0.7], *r[2:]) for r in good]).off_sums == 6
+    wrong = judge([(*r[:2], 1, *r[3:]) for r in good])
+    assert (wrong.off_labels, wrong.off_soft, wrong.off_hard) == (6, 6, 6)
