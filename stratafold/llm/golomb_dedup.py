@@ -135,7 +135,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     stays = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     first = own.join(suspects, "print", "left_semi").groupBy("text_sha256").agg(stays.alias("stays"))
     groups = first.join(texts, "text_sha256").select("text_sha256", "stays", sure.alias("group_size"))
-    found = own.join(groups, "text_sha256", "left")
+    # from a table, so that the groups bring no partitioning into the join and a hot group's rows can be split
+    found = own.join(staged(groups, "duplicate-groups"), "text_sha256", "left")
     return found.select(
         "doc_id",
         F.when(F.col("stays").isNull(), F.col("doc_id")).otherwise(F.col("stays.doc_id")).alias("keep_id"),
