@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -65,6 +66,15 @@ def from_planes(planes: list[bytes], n: int, kind: str = "byte") -> np.ndarray:
     return np.ascontiguousarray(little).view("<u4").ravel()
 
 
+def _splits_after(core: str) -> bool:
+    """Whether the word ends in a letter or digit, also once the library has normalised it (NFC, lower case).
+
+    Some letters become a letter and a combining mark, and that mark forms one piece with the marks behind it.
+    """
+    end = core[-1:]
+    return end.isalnum() and (end.isascii() or unicodedata.normalize("NFC", end).lower()[-1].isalnum())
+
+
 class WordEncoder:
     """Ids of whole texts as a tokenizers file gives them, for vocabularies that drop white space.
 
@@ -92,7 +102,7 @@ class WordEncoder:
             known.update([(w, older[w]) for w in unseen if w in older])
             unseen = [w for w in unseen if w not in older]
         cores = [w.rstrip(_CLOSING) for w in unseen]
-        cores = [c if c[-1:].isalnum() else w for c, w in zip(cores, unseen, strict=True)]
+        cores = [c if _splits_after(c) else w for c, w in zip(cores, unseen, strict=True)]
         tails = [w[len(c) :] for c, w in zip(cores, unseen, strict=True)]
         parts = list(set(cores).union(tails) - known.keys())
         known.update(zip(parts, self._ids(parts), strict=True))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -285,6 +286,17 @@ def test_words_are_encoded_as_their_text_is():
     assert encoder.by_word and [np.frombuffer(e, "<u4").tolist() for e in encoder.encode(texts)] == want
 
 
+def test_marks_after_letters_that_the_normaliser_takes_apart():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        encoder = token_store.WordEncoder(file.read())
+    apart = [c for c in map(chr, range(0x110000)) if c.isalnum() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum()]
+    assert len(apart) >= 60 and {"\u0130", "\u0958", "\u09df", "\ufb4e"} <= set(apart)
+    texts = [f"a{c}{marks} b" for c in apart for marks in (",", ".!", "?")]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(e, "<u4").tolist() for e in encoder.encode(texts)] == want
+
+
 def plain_tokens(rows):
     library, start, out = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
     for doc, text in sorted(rows):
