@@ -12,6 +12,7 @@ from stratafold.sources.tables import derive_scoring_set, read_optional, read_ta
 from .base import FEATURES, LINE_KEY, LK, Checks, table
 
 CHECKS = Checks()
+_LOG_EVENTS = 1 << 18  # event ids in a block: some megabytes of text
 
 
 @CHECKS.add(f"SELECT {LK}, {', '.join(FEATURES)} FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
@@ -64,14 +65,20 @@ def predictions_written_and_read(spark, sf_dir):
          LATERAL (SELECT json_extract_string(props, '$.' || key) AS value) v"""
 )
 def run_logs_written_and_read(spark, sf_dir):
-    """One log file per user, its keys the user's events: read whole, then taken apart."""
+    """One log file per user and block of event ids, its keys user and event: read whole, then taken apart.
+
+    A log holds at most ``_LOG_EVENTS`` ids, so that logs grow in number and not in size. All stand in one folder.
+    """
     path, events = _shared(spark, "logs"), table(spark, sf_dir, "events")
-    entry = F.concat(F.lit('"'), F.col("event_id").cast("string"), F.lit('": '), F.col("props"))
-    logs = events.groupBy("user_id").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ", "), F.lit("}")).alias("value"))
-    logs.repartition("user_id").write.partitionBy("user_id").option("maxRecordsPerFile", 1).text(path)
-    whole = read_run_logs(spark, path).withColumn("user_id", F.regexp_extract("run", r"user_id=(\d+)/", 1).cast("long"))
-    outer = log_entries(whole.select(F.col("user_id").alias("run"), "state")).select(F.col("run").alias("user_id"), F.col("payload").alias("state"))
-    return log_entries(outer.withColumnRenamed("user_id", "run")).select(F.col("run").alias("user_id"), "entry", "payload")
+    name = F.concat(F.coalesce(F.col("user_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.col("event_id").cast("string"), F.lit("")))
+    entry = F.concat(F.lit('"'), name, F.lit('": '), F.col("props"))
+    block = F.floor(F.col("event_id") / _LOG_EVENTS).alias("block")
+    logs = events.groupBy("user_id", block).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ", "), F.lit("}")).alias("value"))
+    logs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    outer = log_entries(read_run_logs(spark, path))
+    user = F.nullif(F.split_part("entry", F.lit("/"), F.lit(1)), F.lit("")).cast("long")
+    own = outer.select(F.col("payload").alias("state"), user.alias("run"))
+    return log_entries(own).select(F.col("run").alias("user_id"), "entry", "payload")
 
 
 _EXTRA = ["o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"]

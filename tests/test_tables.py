@@ -1,7 +1,10 @@
+import json
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from checks import sources
 from stratafold.bounded import is_in, join_small, pin
 from stratafold.operators import keyed as k
 from stratafold.operators import projection as p
@@ -120,3 +123,15 @@ def test_map_and_replace(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "v int")
     assert rows(p.map_values(df, "v", {1: 9})) == [(2,), (9,), (None,)]
     assert rows(p.replace_values(df, "v", spark.createDataFrame([(2,)], "w int"), F.lit(0))) == [(0,), (1,), (None,)]
+
+
+def test_run_logs_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch):
+    """A user with all events has many logs, each of a bounded block of event ids."""
+    monkeypatch.setattr(sources, "_LOG_EVENTS", 10, raising=False)
+    monkeypatch.setattr(sources, "_shared", lambda spark, name: str(tmp_path / name))
+    events = [(i, 7 if i < 95 else None, f'{{"k": {i}}}') for i in range(100)]
+    spark.createDataFrame(events, "event_id long, user_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = sources.CHECKS.queries["run_logs_written_and_read"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(user, "k", str(i)) for i, user, _ in events], key=repr)
+    logs = [len(json.loads(p.read_text())) for p in (tmp_path / "logs").rglob("part-*.txt")]
+    assert sum(logs) == 100 and max(logs) <= 10
