@@ -10,6 +10,7 @@ from ..functions.scalar import argmax, decode, num
 from .aggregates import grouped_stats, held_out_parts, merge_stats
 
 VARIANCE_FLOOR = 1e-9  # share of the largest feature variance added to every variance
+BLOCK_CLASSES = 1024  # classes in a row of the model when the caller lists none
 
 
 def fit_gaussian_nb(
@@ -23,6 +24,39 @@ def fit_gaussian_nb(
     share the fold shuffle with the scoring branch.
     """
     listed = F.col(label).isNotNull() if classes is None else F.col(label).isin(list(classes))
+    models = _per_label(df, label, cols, listed, fold, folds).groupBy("_held").agg(_in_order(label, listed))
+    return models.select(*([F.col("_held").alias(fold)] if fold else []), "model")
+
+
+def fit_gaussian_nb_blocks(df: DataFrame, label: str, cols: list[str], fold: str, folds: list[int]) -> DataFrame:
+    """The model of all classes of the table, as rows (fold, block, model) of about ``BLOCK_CLASSES`` classes each.
+
+    Classes are dealt to as many blocks as their number asks for, by hash, so that no row or task holds all of them.
+    """
+    listed = F.col(label).isNotNull()
+    per_label = _per_label(df, label, cols, listed, fold, folds, distributed=True)
+    blocks = per_label.groupBy("_held").agg(F.ceil(F.count("*") / BLOCK_CLASSES).alias("_blocks"))
+    dealt = per_label.join(blocks, "_held").withColumn("block", F.pmod(F.xxhash64(label), "_blocks"))
+    return dealt.groupBy(F.col("_held").alias(fold), "block").agg(_in_order(label, listed))
+
+
+def _in_order(label: str, listed: Column) -> Column:
+    one = F.struct(F.col(label).alias("class"), "const", F.col("_cols.mean").alias("mean"), F.col("_cols.scale").alias("scale"))
+    return F.sort_array(F.collect_list(F.when(listed, one))).alias("model")
+
+
+def _spread_by_joins(numbers: DataFrame) -> DataFrame:
+    """``_total`` and ``_floor`` on each row (class and column), from sums that combine before the shuffle."""
+    key, n = ["_held", "at"], F.col("n")
+    means = numbers.groupBy(*key).agg((F.sum(n * F.col("mean")) / F.sum("n")).alias("_mean"), F.sum("n").alias("_n"), F.sum("rows").alias("_total"))
+    off = F.col("mean") - F.col("_mean")
+    spread = numbers.join(means, key).groupBy(*key).agg((F.sum(F.col("m2") + n * off * off) / F.max("_n")).alias("_spread"))
+    floors = spread.groupBy("_held").agg((F.lit(VARIANCE_FLOOR) * F.max("_spread")).alias("_floor"))
+    return numbers.join(means.select(*key, "_total"), key).join(floors, "_held")
+
+
+def _per_label(df: DataFrame, label: str, cols: list[str], listed: Column, fold: str | None, folds: list[int], distributed: bool = False) -> DataFrame:
+    """(_held, label, const, _cols), one row for each class of each held-out fold."""
     if fold:
         parts = held_out_parts(grouped_stats(df, cols, [fold, label]), [label], folds, fold)
     else:
@@ -30,26 +64,26 @@ def fit_gaussian_nb(
         parts = whole.select(label, "rows", F.inline("stats")).withColumn("_held", F.lit(0))
     per_class = merge_stats(parts, ["_held", label, "at"])
     numbers = [F.when(listed, F.col(c)).alias(c) for c in ("rows", "n", "mean", "m2")]
-    column, whole_fold = Window.partitionBy("_held", "at"), Window.partitionBy("_held")
-    n_all = F.sum("n").over(column)
-    off = F.col("mean") - F.col("_mean")
-    floor = F.lit(VARIANCE_FLOOR) * F.max("_spread").over(whole_fold)
-    fitted = (
-        per_class.select("_held", label, "at", *numbers)
-        .withColumn("_mean", F.sum(F.col("n") * F.col("mean")).over(column) / n_all)
-        .withColumn("_spread", F.sum(F.col("m2") + F.col("n") * off * off).over(column) / n_all)
-        .withColumn("_total", F.sum("rows").over(column))
-        .withColumn("_var", F.col("m2") / F.col("n") + floor)
-    )
+    numbered = per_class.select("_held", label, "at", *numbers)
+    if distributed:
+        spread = _spread_by_joins(numbered)
+    else:  # few classes: windows keep the plan to one shuffle
+        column, whole_fold = Window.partitionBy("_held", "at"), Window.partitionBy("_held")
+        n_all = F.sum("n").over(column)
+        off = F.col("mean") - F.col("_mean")
+        spread = (
+            numbered.withColumn("_mean", F.sum(F.col("n") * F.col("mean")).over(column) / n_all)
+            .withColumn("_spread", F.sum(F.col("m2") + F.col("n") * off * off).over(column) / n_all)
+            .withColumn("_total", F.sum("rows").over(column))
+            .withColumn("_floor", F.lit(VARIANCE_FLOOR) * F.max("_spread").over(whole_fold))
+        )
+    fitted = spread.withColumn("_var", F.col("m2") / F.col("n") + F.col("_floor"))
     entry = F.struct("at", "mean", (F.lit(0.5) / F.col("_var")).alias("scale"))
     prior = F.log(F.max("rows") / F.max("_total"))
-    per_label = fitted.groupBy("_held", label).agg(
+    return fitted.groupBy("_held", label).agg(
         (prior - 0.5 * F.sum(F.log(F.lit(2 * math.pi) * F.col("_var")))).alias("const"),
         F.sort_array(F.collect_list(entry)).alias("_cols"),
     )
-    one = F.struct(F.col(label).alias("class"), "const", F.col("_cols.mean").alias("mean"), F.col("_cols.scale").alias("scale"))
-    models = per_label.groupBy("_held").agg(F.sort_array(F.collect_list(F.when(listed, one))).alias("model"))
-    return models.select(*([F.col("_held").alias(fold)] if fold else []), "model")
 
 
 def _score(m: Column, cols: list[str]) -> Column:
@@ -85,9 +119,32 @@ def nb_probabilities(scores: str = "scores") -> Column:
     return F.transform(shifted, lambda x: x / total)
 
 
+def predict_gaussian_nb_blocks(df: DataFrame, blocks: DataFrame, cols: list[str], fold: str, out: str = "prediction") -> DataFrame:
+    """Add the class of the largest score, lowest on ties, from a model in blocks.
+
+    A row meets every block of its fold, and the best class of each block is found in place; of these the least
+    (-score, class) remains, which combines before the shuffle. Rows that agree in all columns are scored once and repeated.
+    """
+    rows = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+    met = rows.join(blocks.withColumnRenamed("model", "_model"), [fold], "left")
+    scored = met.withColumn("_scores", F.transform("_model", lambda m: _score(m, cols)))
+    best = F.struct((-F.array_max("_scores")).alias("cost"), F.get("_model", argmax("_scores"))["class"].alias("class"))
+    scored = scored.withColumn("_one", F.when(F.size("_scores") > 0, best))
+    kept = scored.groupBy(*df.columns, "_copies").agg(F.min("_one").alias("_best"))
+    whole = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).withColumn(out, F.col("_best.class"))
+    return whole.select(*df.columns, out)
+
+
 def nb_out_of_fold(
     df: DataFrame, label: str, cols: list[str], folds: list[int], classes: list | None = None, fold: str = "fold"
 ) -> DataFrame:
-    """Out-of-fold predictions of every validation row, all folds in one plan."""
+    """Out-of-fold predictions of every validation row, all folds in one plan.
+
+    With ``classes`` there are ``scores`` too. Without, the classes may be any number: the model comes in blocks, and only
+    the best class of a row is kept.
+    """
+    if classes is None:
+        model = fit_gaussian_nb_blocks(df, label, cols, fold, folds)
+        return predict_gaussian_nb_blocks(df.where(F.col(fold).isNotNull()), model, cols, fold)
     model = fit_gaussian_nb(df, label, cols, classes, fold, folds)
     return predict_gaussian_nb(df.where(F.col(fold).isNotNull()), model, cols, classes, fold)

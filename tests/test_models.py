@@ -90,6 +90,19 @@ def test_naive_bayes_matches_numpy_per_fold(blobs):
         assert [got[int(i)] for i in test[:, 0]] == want.tolist()
 
 
+def test_naive_bayes_of_all_classes_has_no_row_that_holds_them_all(spark, monkeypatch):
+    """Blocks of classes give what the listed classes give; rows that repeat stay repeated."""
+    monkeypatch.setattr(nb, "BLOCK_CLASSES", 8, raising=False)
+    rows = [(i, i % 50, i % 3, float(i % 50 + i % 7 / 10), float(i * 37 % 11)) for i in range(600)]
+    df = spark.createDataFrame(rows + rows[:5] + [(900, 3, 7, 1.0, 1.0)], "id int, y int, fold int, a double, b double")
+    got = nb.nb_out_of_fold(df, "y", ["a", "b"], [0, 1, 2])
+    want = nb.nb_out_of_fold(df, "y", ["a", "b"], [0, 1, 2], classes=list(range(50)))
+    assert sorted(map(tuple, got.where("id < 900").select("id", "prediction").collect())) == sorted(map(tuple, want.where("id < 900").select("id", "prediction").collect()))
+    assert [r.prediction for r in got.where("id = 900").collect()] == [None]  # its fold has no model
+    model = nb.fit_gaussian_nb_blocks(df, "y", ["a", "b"], "fold", [0, 1, 2])
+    assert sum(len(r.model) for r in model.collect()) == 150 and max(len(r.model) for r in model.collect()) < 30
+
+
 def test_naive_bayes_class_absent_from_a_fold(spark):
     df = spark.createDataFrame([(1, 0, 0, 0.0), (2, 0, 1, 0.1), (3, 1, 0, 5.0), (4, 1, 1, 5.1), (5, 7, 0, 9.0)], "id int, y int, fold int, x double")
     got = {r["id"]: r["prediction"] for r in nb.nb_out_of_fold(df, "y", ["x"], [0, 1]).collect()}
