@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratafold.llm.chat_rotation import rotate_perspectives
 from stratafold.llm.edit_decontam import benchmark_matches
+from stratafold.llm.forced_boundaries import decode_ids, encode_texts
 from stratafold.llm.golomb_dedup import exact_dedup
 from stratafold.llm.language_id import held_out, identify_languages
 from stratafold.llm.license_scan import scan_licenses
@@ -127,3 +128,13 @@ def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rotated = rotate_perspectives(read_documents(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("spans", lambda s: F.concat(s["from"].cast("string"), F.lit("-"), s.to.cast("string"))), ",")
     return rotated.select("conv_id", F.col("part.range").alias("part"), "speaker", "n_turns", "n_trained", F.md5(F.col("text").cast("binary")).alias("text_md5"), mask.alias("mask"))
+
+
+@_query()
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = encode_texts(read_documents(spark, sf_dir).select("doc_id", "text"), path).select("doc_id", "ids")
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decode_ids(encoded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
