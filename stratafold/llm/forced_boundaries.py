@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from stratafold.llm.ragged import RaggedMemo, offsets, runs
+from stratafold.llm.ragged import RaggedMemo, groups_of, offsets, runs
 from stratafold.llm.shared import text_of
 from stratafold.llm.token_counts import byte_symbols
 
@@ -123,17 +124,12 @@ class BoundaryEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (UTF-8), one after the other, and how many each text has."""
-        ids, counts, start = [], [], 0
-        while start < len(texts):
-            end, size = start, 0
-            while end < len(texts) and (end == start or size + len(texts[end]) <= _GROUP_CHARS):
-                size += len(texts[end])
-                end += 1
+        ids, counts = [], []
+        for start, end in groups_of(list(map(len, texts)), _GROUP_CHARS):
             fragments, per_text = self.fragments(texts[start:end])
             found, per_fragment = self.memo.gather(fragments)
             ids.append(found)
             counts.append(np.diff(offsets(per_fragment)[offsets(per_text)]))
-            start = end
         if not ids:
             return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
         return np.concatenate(ids), np.concatenate(counts)
@@ -178,6 +174,17 @@ def boundary_encoder(spec: str, special_as_text: bool = False) -> BoundaryEncode
     return BoundaryEncoder(spec, special_as_text)
 
 
+def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The batches in parts of a bounded number of bytes, so that only one part's ids are held."""
+    for batch in batches:
+        for start, end in groups_of(pa.compute.binary_length(batch).fill_null(0).to_pylist(), _GROUP_CHARS):
+            yield batch.slice(start, end - start)
+
+
+def _id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets(counts).astype(np.int32)), pa.array(ids))
+
+
 def encode_texts(docs: DataFrame, vocabulary_path: str, column: str = "text", into: str = "ids") -> DataFrame:
     """Add the token ids of each whole text as an array of int.
 
@@ -191,9 +198,8 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, column: str = "text", in
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = boundary_encoder(spec.value)
-        for texts in batches:
-            ids, counts = encoder.encode(texts.cast(pa.binary()).to_pylist())
-            yield pa.ListArray.from_arrays(pa.array(offsets(counts).astype(np.int32)), pa.array(ids))
+        for texts in _slices(batches):
+            yield _id_lists(*encoder.encode(texts.cast(pa.binary()).to_pylist()))
 
     return docs.withColumn(into, ids_of(text_of(column)))
 
@@ -211,11 +217,24 @@ def decode_ids(df: DataFrame, vocabulary_path: str, column: str = "ids", into: s
             texts = tokens.decode(ids, counts)
             yield pa.array([t if there else None for t, there in zip(texts, arrays.is_valid().to_pylist())] if arrays.null_count else texts, pa.string())
 
-    return df.withColumn(into, text_of_ids(_as_ids(column)))
+    return df.withColumn(into, text_of_ids(F.col(column).cast("array<int>")))
 
 
-def _as_ids(column: str) -> Column:
-    return F.col(column).cast("array<int>")
+def round_trip(docs: DataFrame, vocabulary_path: str, column: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Add both the ids of each whole text and the text they decode to, as the two functions above do, in one pass through Python."""
+    spec = _vocabulary(docs, vocabulary_path)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = boundary_encoder(spec.value)
+        tokens = TokenBytes(encoder.tokens)
+        for texts in _slices(batches):
+            found, counts = encoder.encode(texts.cast(pa.binary()).to_pylist())
+            yield pa.StructArray.from_arrays([_id_lists(found, counts), pa.array(tokens.decode(found, counts), pa.string())], names=["ids", "decoded"])
+
+    kept = [c for c in docs.columns if c not in (ids, decoded)]
+    made = docs.select(F.struct(*kept).alias("row"), both(text_of(column)).alias("made"))
+    return made.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("made.ids").alias(ids), F.col("made.decoded").alias(decoded))
 
 
 @functools.lru_cache(maxsize=1)

@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratafold.llm.alignment import align_tokenizers
 from stratafold.llm.chat_rotation import rotate_perspectives
 from stratafold.llm.edit_decontam import benchmark_matches
-from stratafold.llm.forced_boundaries import decode_ids, encode_texts
+from stratafold.llm.forced_boundaries import round_trip
 from stratafold.llm.golomb_dedup import exact_dedup
 from stratafold.llm.language_id import held_out, identify_languages
 from stratafold.llm.license_scan import scan_licenses
@@ -19,6 +20,7 @@ from stratafold.llm.shared import read_documents
 from stratafold.llm.simhash import simhash_components
 from stratafold.llm.token_counts import count_tokens
 from stratafold.llm.token_store import ids_crc32, token_table
+from stratafold.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,8 +135,20 @@ def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = encode_texts(read_documents(spark, sf_dir).select("doc_id", "text"), path).select("doc_id", "ids")
+    done = round_trip(read_documents(spark, sf_dir).select("doc_id", "text"), path)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decode_ids(encoded, path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query()
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    aligned = align_tokenizers(read_documents(spark, sf_dir), *paths, keep=["doc_id"], groups=digest)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+@_query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whiten(read_documents(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=8)
+    return whitened.select("vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "whitened", "explained", "identity_error")

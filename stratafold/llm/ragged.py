@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import numpy as np
 
@@ -21,6 +21,18 @@ def offsets(count: np.ndarray) -> np.ndarray:
     return out
 
 
+def groups_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring items (from, to) whose sizes add up to ``most`` at most; a larger item stands alone."""
+    start = 0
+    while start < len(sizes):
+        end, size = start, 0
+        while end < len(sizes) and (end == start or size + sizes[end] <= most):
+            size += sizes[end]
+            end += 1
+        yield start, end
+        start = end
+
+
 class RaggedMemo:
     """Runs of ids by key, learned once and gathered for a whole batch of keys at a time.
 
@@ -28,7 +40,7 @@ class RaggedMemo:
     the memo starts again beyond ``most`` keys or ids, which bounds a worker's memory.
     """
 
-    def __init__(self, learn: Callable[[list], list[Sequence[int]]], longest: int = 64, most: int = 900_000) -> None:
+    def __init__(self, learn: Callable[[list], list[Sequence[int]]], longest: int = 64, most: int = 600_000) -> None:
         self.learn, self.longest, self.most = learn, longest, most
         self.fixed: dict[Hashable, Sequence[int]] = {}
         self._clear()

@@ -117,6 +117,10 @@ def test_edge_cases(spark, library):
     assert len(rows) == len(data)
     for r in rows:
         assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids and r.decoded == (r.text or "") and r.batches == "mine"
+    both = fb.round_trip(docs, PATH)
+    assert both.columns == ["doc_id", "text", "batches", "ids", "decoded"]
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in both.collect()) == sorted((str(r.doc_id), r.ids, r.decoded) for r in rows)
+    assert fb.round_trip(docs.limit(0), PATH).collect() == []
     assert fb.decode_ids(fb.encode_texts(docs.limit(0), PATH), PATH).collect() == []
     odd = spark.createDataFrame([(None,), ([],), ([None, 464, -5, 99_999_999],)], "ids array<int>")
     assert sorted((r.decoded for r in fb.decode_ids(odd, PATH).collect()), key=str) == ["", None, "The"]
