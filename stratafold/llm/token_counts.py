@@ -53,24 +53,29 @@ class RaggedMerger:
 
     def counts(self, pieces: list[bytes]) -> np.ndarray:
         left = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        alive = np.flatnonzero(left > 1)
-        if not len(alive):
-            return left
-        lengths = left[alive]
-        ids = self.first[np.frombuffer(b"".join(p for p in pieces if len(p) > 1), dtype=np.uint8)]
+        several = np.flatnonzero(left > 1)
+        if len(several):
+            ids = self.first[np.frombuffer(b"".join(p for p in pieces if len(p) > 1), dtype=np.uint8)]
+            for done, lengths, _ in self.merged(ids, left[several]):
+                left[several[done]] = lengths
+        return left
+
+    def merged(self, ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Sequences without a known pair left: which they are, their lengths, and their ids one after the other. No sequence is empty."""
+        alive = np.arange(len(lengths))
         last = np.zeros(len(ids), dtype=bool)
         last[np.cumsum(lengths) - 1] = True
         at, rank = self._look_up(ids, last, np.arange(len(ids)))
         while len(alive):
             best = np.minimum.reduceat(rank, np.cumsum(lengths) - lengths)
             going = best < _NEVER
-            left[alive[~going]] = lengths[~going]
-            if not going.any():
-                break
             if not going.all():
                 inside = np.repeat(going, lengths)
+                yield alive[~going], lengths[~going], ids[~inside]
                 ids, last, at, rank = ids[inside], last[inside], at[inside], rank[inside]
                 alive, lengths, best = alive[going], lengths[going], best[going]
+                if not len(alive):
+                    break
             chosen = rank == np.repeat(best, lengths)
             if (chosen[1:] & chosen[:-1]).any():  # a run of equal symbols: every other pair, from its left
                 index = np.arange(len(chosen))
@@ -86,7 +91,6 @@ class RaggedMerger:
             place -= np.arange(len(place))  # where the merged symbols lie now; only their pairs have changed
             changed = np.concatenate([place, place[place > 0] - 1])
             at[changed], rank[changed] = self._look_up(ids, last, changed)
-        return left
 
     def _look_up(self, ids: np.ndarray, last: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the pairs that begin at these places stand among the merges, and their ranks."""

@@ -10,6 +10,7 @@ numbered from 0. Both kinds of rows carry the shard, and shards follow each othe
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import unicodedata
@@ -25,13 +26,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from stratafold.llm.shared import scratch, text_of
+from stratafold.llm.token_counts import RaggedMerger, byte_symbols
 
 BLOCK_IDS = 1 << 16
 _NO_BLANKS = "\x1c\x1d\x1e\x1f"  # the only ones that Python splits at and the library does not
 _BLANKS = re.compile(r"[ \n\t\r\f\v]+")
 _CLOSING = ".,;:!?"
 _CACHED_CHARS = 64  # longer words are encoded anew each time
-_CACHE_SIZE = 900_000  # words of a generation; two are kept, which bounds a worker's memory
+_CACHE_SIZE = 600_000  # words of a generation; two are kept, which bounds a worker's memory
 _GROUP_CHARS = 2_000_000  # texts encoded together
 
 
@@ -75,11 +77,41 @@ def _splits_after(core: str) -> bool:
     return end.isalnum() and (end.isascii() or unicodedata.normalize("NFC", end).lower()[-1].isalnum())
 
 
+# Fixed value: how the vocabulary splits a text before merging, for lower-case ASCII without white space.
+ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+_SPLIT_OF_FILE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SUFFIX = "</w>"
+
+
+class PieceMerger(RaggedMerger):
+    """Ids of pre-tokens, for vocabularies whose last symbol of a pre-token has a suffix."""
+
+    def __init__(self, vocabulary: dict[str, int], merges: list) -> None:
+        super().__init__(vocabulary, merges)
+        self.ending = np.array([vocabulary[c + _SUFFIX] for c in byte_symbols()], dtype=np.int64)
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each piece; no piece is empty."""
+        out = [b""] * len(pieces)
+        if pieces:
+            data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+            lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+            ids, ends = self.first[data], np.cumsum(lengths) - 1
+            ids[ends] = self.ending[data[ends]]
+            for done, sizes, found in self.merged(ids, lengths):
+                packed, at = found.astype("<u4").tobytes(), 0
+                for i, size in zip(done.tolist(), (4 * sizes).tolist()):
+                    out[i] = packed[at : at + size]
+                    at += size
+        return out
+
+
 class WordEncoder:
     """Ids of whole texts as a tokenizers file gives them, for vocabularies that drop white space.
 
-    There a text's ids are those of its white-space separated words, one after the other, so that words are
-    encoded by the library once and looked up after that.
+    There a text's ids are those of its white-space separated words, one after the other, so that words are encoded
+    once and looked up after that. Words of ASCII are put together from lower-case pre-tokens, of which there are far
+    fewer, and those are merged many at a time; other words, long ones and those with a special token are left to the library.
     """
 
     def __init__(self, spec: str) -> None:
@@ -88,26 +120,56 @@ class WordEncoder:
         self.library.no_padding()
         probe = "a \n\tb"
         self.by_word = self._ids([probe])[0] == b"".join(self._ids(["a", "b"]))
+        special = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.merger = self._merger(json.loads(spec))
+        self.split = re.compile(ASCII_SPLIT)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.long: list[str] = []  # words to forget after the texts at hand
 
+    def _merger(self, tokenizer: dict) -> PieceMerger | None:
+        """None where the file does more than lower-case, split and merge; then the library encodes all words."""
+        model, normal = tokenizer["model"], tokenizer.get("normalizer") or {}
+        steps = [n.get("type") for n in normal.get("normalizers", [normal])]
+        splits = [p.get("pattern", {}).get("Regex") for p in (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        plain = model["type"] == "BPE" and model.get("end_of_word_suffix") == _SUFFIX and not model.get("continuing_subword_prefix")
+        if not (self.by_word and plain and steps == ["NFC", "Replace", "Lowercase"] and splits[:1] == [_SPLIT_OF_FILE]):
+            return None
+        return PieceMerger(model["vocab"], model["merges"])
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, unseen: list[str]) -> None:
-        """Between a letter or digit and a mark no id reaches over, so closing marks are encoded apart."""
+    def _is_plain(self, text: str) -> bool:
+        return self.merger is not None and text.isascii() and not (self.special and self.special.search(text))
+
+    def _learn(self, words: list[str], plain: set[str]) -> None:
+        """``plain`` are the words of plain texts, in lower case; others may be plain too."""
         known, older = self.known, self.older
         if older:
-            known.update([(w, older[w]) for w in unseen if w in older])
-            unseen = [w for w in unseen if w not in older]
-        cores = [w.rstrip(_CLOSING) for w in unseen]
-        cores = [c if _splits_after(c) else w for c, w in zip(cores, unseen, strict=True)]
-        tails = [w[len(c) :] for c, w in zip(cores, unseen, strict=True)]
+            known.update([(w, older[w]) for w in words if w in older])
+            words = [w for w in words if w not in known]
+        ascii_words = [w for w in words if len(w) <= _CACHED_CHARS and (w in plain or self._is_plain(w))]
+        self._learn_plain(ascii_words)
+        rest = list(set(words).difference(ascii_words))
+        # between a letter or digit and a mark no id reaches over, so closing marks are encoded apart
+        cores = [w.rstrip(_CLOSING) for w in rest]
+        cores = [c if _splits_after(c) else w for c, w in zip(cores, rest, strict=True)]
+        tails = [w[len(c) :] for c, w in zip(cores, rest, strict=True)]
         parts = list(set(cores).union(tails) - known.keys())
         known.update(zip(parts, self._ids(parts), strict=True))
-        known.update([(w, known[c] + known[t]) for w, c, t in zip(unseen, cores, tails, strict=True) if t])
-        self.long += [w for w in (*parts, *unseen) if len(w) > _CACHED_CHARS]
+        known.update([(w, known[c] + known[t]) for w, c, t in zip(rest, cores, tails, strict=True) if t])
+        self.long += [w for w in (*parts, *rest) if len(w) > _CACHED_CHARS]
+
+    def _learn_plain(self, words: list[str]) -> None:
+        """A pre-token is a word of its own, so that both are looked up in one place."""
+        low = [w.lower() for w in words]
+        split = [(w,) if w.isalpha() else self.split.findall(w) for w in low]
+        fresh = list(set().union(*split) - self.known.keys())
+        self.known.update(zip(fresh, self.merger.ids([p.encode() for p in fresh]), strict=True))
+        ids = self.known.__getitem__
+        self.known.update([(w, b"".join(map(ids, own))) for w, own in zip(words, split, strict=True) if own[0] != w])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -116,12 +178,24 @@ class WordEncoder:
         if len(self.known) > _CACHE_SIZE:
             self.known, self.older = {}, self.known
         self.known[""] = b""
+        plain = [self._is_plain(t) for t in texts]
+        texts = [t.lower() if p else t for t, p in zip(texts, plain, strict=True)]
         words = [_BLANKS.split(t) if any(c in t for c in _NO_BLANKS) else t.split() for t in texts]
-        self._learn(list(set().union(*words) - self.known.keys()))
-        out = [b"".join(map(self.known.__getitem__, own)) for own in words]
+        found = [list(map(self.known.get, own)) for own in words]
+        gaps: list[tuple[int, int]] = []
+        for i, ids in enumerate(found):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                gaps.append((i, at))
+        if gaps:
+            unseen = {words[i][at] for i, at in gaps}
+            self._learn(list(unseen), {words[i][at] for i, at in gaps if plain[i]})
+            for i, at in gaps:
+                found[i][at] = self.known[words[i][at]]
         while self.long:
             self.known.pop(self.long.pop(), None)
-        return out
+        return list(map(b"".join, found))
 
 
 @functools.lru_cache(maxsize=1)
