@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from stratafold.llm.forced_boundaries import BoundaryEncoder, TokenBytes, boundary_encoder
-from stratafold.llm.ragged import RaggedMemo, groups_of, offsets
+from stratafold.llm.ragged import RaggedMemo, flattened, groups_of, offsets
 from stratafold.llm.shared import scratch, staged, text_of
 
 PIECE_STEPS = 1 << 15  # merge steps of a piece
@@ -56,14 +56,13 @@ class PieceEncoder:
             self.memo.fix(" ", [mark])  # a last space alone; the library would take it for no text at all
         self.by_word = by_word and self.encode([" " + probe], True)[0].tolist() == self.library.encode(probe)
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        return self.library.encode([w[1:] for w in words], num_threads=1) if words else []
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened(self.library.encode([w[1:] for w in words], num_threads=1) if words else [])
 
     def encode(self, texts: list[str], by_word: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts that each begin with the space the model adds, one after the other, and how many each text has."""
         if not (self.by_word if by_word is None else by_word):
-            found = self._encode(texts)
-            return np.array([i for ids in found for i in ids], dtype=np.int32), np.array([len(ids) for ids in found], dtype=np.int64)
+            return self._encode(texts)
         words = [[t] if _SPACE in t else _WORDS.findall(t) for t in texts]  # the mark itself counts as a space
         ids, count = self.memo.gather([w for own in words for w in own])
         return ids, np.diff(offsets(count)[offsets(np.array([len(own) for own in words], dtype=np.int64))])

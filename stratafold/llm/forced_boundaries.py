@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from stratafold.llm.ragged import RaggedMemo, groups_of, offsets, runs
+from stratafold.llm.ragged import RaggedMemo, flattened, groups_of, offsets, runs
 from stratafold.llm.shared import text_of
 from stratafold.llm.token_counts import byte_symbols
 
@@ -98,8 +98,8 @@ class BoundaryEncoder:
             for t in added:
                 self.memo.fix(t["content"].encode(), [t["id"]])
 
-    def _encode_fragments(self, fragments: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast([f.decode() for f in fragments], add_special_tokens=False)]
+    def _encode_fragments(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened([e.ids for e in self.library.encode_batch_fast([f.decode() for f in fragments], add_special_tokens=False)])
 
     def fragments(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         """The fragments of all texts, and how many each text has."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Iterator, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -33,14 +34,20 @@ def groups_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def flattened(found: list[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs one after the other, and the length of each."""
+    count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    return np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(count.sum())), count
+
+
 class RaggedMemo:
     """Runs of ids by key, learned once and gathered for a whole batch of keys at a time.
 
-    ``learn`` gives the runs of a list of unseen keys. Keys longer than ``longest`` are forgotten after the batch, and
-    the memo starts again beyond ``most`` keys or ids, which bounds a worker's memory.
+    ``learn`` gives the runs of a list of unseen keys, flat, and their lengths. Keys longer than ``longest`` are forgotten after the
+    batch, and the memo starts again beyond ``most`` keys or eight times as many ids, which bounds a worker's memory.
     """
 
-    def __init__(self, learn: Callable[[list], list[Sequence[int]]], longest: int = 64, most: int = 600_000) -> None:
+    def __init__(self, learn: Callable[[list], tuple[np.ndarray, np.ndarray]], longest: int = 64, most: int = 600_000) -> None:
         self.learn, self.longest, self.most = learn, longest, most
         self.fixed: dict[Hashable, Sequence[int]] = {}
         self._clear()
@@ -49,16 +56,14 @@ class RaggedMemo:
         self.place: dict[Hashable, int] = {}
         self.flat, self.begin, self.count = (np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int64))
         self.used = 0
-        self._add(list(self.fixed), list(self.fixed.values()))
+        self._add(list(self.fixed), *flattened(list(self.fixed.values())))
 
     def fix(self, key: Hashable, run: Sequence[int]) -> None:
         """A key whose run is given and never forgotten."""
         self.fixed[key] = run
         self._clear()
 
-    def _add(self, keys: list, found: list[Sequence[int]]) -> None:
-        count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ids = np.fromiter((i for run in found for i in run), dtype=np.int32, count=int(count.sum()))
+    def _add(self, keys: list, ids: np.ndarray, count: np.ndarray) -> None:
         n, k = len(self.place), len(keys)
         self.flat = _room(self.flat, self.used + len(ids))
         self.begin, self.count = _room(self.begin, n + k), _room(self.count, n + k)
@@ -72,21 +77,26 @@ class RaggedMemo:
         """The ids of all keys, one run after the other, and the length of each run."""
         if len(self.place) > self.most or self.used > 8 * self.most:
             self._clear()
-        unseen = list(set(keys) - self.place.keys())
-        long = [k for k in unseen if len(k) > self.longest]
-        if unseen:
-            short = [k for k in unseen if len(k) <= self.longest]
-            self._add(short, self.learn(short))
-        kept = self.used
-        if long:
-            self._add(long, self.learn(long))
-        at = np.fromiter(map(self.place.__getitem__, keys), dtype=np.int64, count=len(keys))
+        at = np.fromiter(map(self.place.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+        gaps = np.flatnonzero(at < 0)
+        kept, long = self.used, []
+        if len(gaps):
+            missing = [keys[i] for i in gaps.tolist()]
+            unseen = set(missing)
+            long = [k for k in unseen if len(k) > self.longest]
+            short = list(unseen.difference(long)) if long else list(unseen)
+            if short:
+                self._add(short, *self.learn(short))
+            kept = self.used
+            if long:
+                self._add(long, *self.learn(long))
+            at[gaps] = np.fromiter(map(self.place.__getitem__, missing), dtype=np.int64, count=len(missing))
         count = self.count[at]
         ids = self.flat[runs(self.begin[at], count)]
         for k in long:  # they were added last
             del self.place[k]
         self.used = kept
-        if len(self.flat) > 8 * self.most + (1 << 20):
+        if len(self.flat) > 16 * self.most + (1 << 21):  # room that long keys have taken
             self.flat = self.flat[: max(kept, 1 << 12)].copy()
         return ids, count
 

@@ -14,8 +14,8 @@ import json
 import os
 import re
 import unicodedata
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
+from stratafold.llm.ragged import RaggedMemo, flattened, offsets, runs
 from stratafold.llm.shared import scratch, text_of
 from stratafold.llm.token_counts import RaggedMerger, byte_symbols
 
@@ -33,7 +34,7 @@ _NO_BLANKS = "\x1c\x1d\x1e\x1f"  # the only ones that Python splits at and the l
 _BLANKS = re.compile(r"[ \n\t\r\f\v]+")
 _CLOSING = ".,;:!?"
 _CACHED_CHARS = 64  # longer words are encoded anew each time
-_CACHE_SIZE = 600_000  # words of a generation; two are kept, which bounds a worker's memory
+_PIECES, _WORDS = 1_000_000, 300_000  # pre-tokens and words that are kept: bounds a worker's memory
 _GROUP_CHARS = 2_000_000  # texts encoded together
 
 
@@ -77,8 +78,10 @@ def _splits_after(core: str) -> bool:
     return end.isalnum() and (end.isascii() or unicodedata.normalize("NFC", end).lower()[-1].isalnum())
 
 
-# Fixed value: how the vocabulary splits a text before merging, for lower-case ASCII without white space.
-ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+# Fixed value: how the vocabulary splits a text before merging, for lower-case ASCII and Latin letters up to U+017F.
+PLAIN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^ \\t\\n\\r\\f\\va-z0-9\u00df-\u00f6\u00f8-\u017f]+"
+# Characters that are their own normal form, and whose lower case does not depend on their neighbours.
+_NOT_PLAIN = re.compile("[^\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
 _SPLIT_OF_FILE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SUFFIX = "</w>"
 
@@ -90,28 +93,26 @@ class PieceMerger(RaggedMerger):
         super().__init__(vocabulary, merges)
         self.ending = np.array([vocabulary[c + _SUFFIX] for c in byte_symbols()], dtype=np.int64)
 
-    def ids(self, pieces: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each piece; no piece is empty."""
-        out = [b""] * len(pieces)
-        if pieces:
-            data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-            lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-            ids, ends = self.first[data], np.cumsum(lengths) - 1
-            ids[ends] = self.ending[data[ends]]
-            for done, sizes, found in self.merged(ids, lengths):
-                packed, at = found.astype("<u4").tobytes(), 0
-                for i, size in zip(done.tolist(), (4 * sizes).tolist()):
-                    out[i] = packed[at : at + size]
-                    at += size
-        return out
+    def ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has; no piece is empty."""
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        first, ends = self.first[data], np.cumsum(lengths) - 1
+        first[ends] = self.ending[data[ends]]
+        done, sizes, ids = map(np.concatenate, zip(*self.merged(first, lengths)))
+        count = np.zeros(len(pieces), dtype=np.int64)
+        count[done] = sizes
+        flat = np.zeros(len(ids), dtype=np.int64)
+        flat[runs(offsets(count)[:-1][done], sizes)] = ids
+        return flat, count
 
 
 class WordEncoder:
     """Ids of whole texts as a tokenizers file gives them, for vocabularies that drop white space.
 
-    There a text's ids are those of its white-space separated words, one after the other, so that words are encoded
-    once and looked up after that. Words of ASCII are put together from lower-case pre-tokens, of which there are far
-    fewer, and those are merged many at a time; other words, long ones and those with a special token are left to the library.
+    A text of ASCII and Latin letters is lower-cased and split into pre-tokens; each is merged once, many at a time, and
+    looked up after that. Of other texts the white-space separated words are encoded by the library once: there a text's
+    ids are those of its words, one after the other.
     """
 
     def __init__(self, spec: str) -> None:
@@ -119,14 +120,14 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         probe = "a \n\tb"
-        self.by_word = self._ids([probe])[0] == b"".join(self._ids(["a", "b"]))
+        whole, _ = self._ids([probe])
+        self.by_word = whole.tolist() == self._ids(["a", "b"])[0].tolist()
         special = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.merger = self._merger(json.loads(spec))
-        self.split = re.compile(ASCII_SPLIT)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.long: list[str] = []  # words to forget after the texts at hand
+        self.split = re.compile(PLAIN_SPLIT)
+        self.pieces = RaggedMemo(self._merge, longest=_CACHED_CHARS, most=_PIECES)
+        self.words = RaggedMemo(self._learn_words, longest=_CACHED_CHARS, most=_WORDS)
 
     def _merger(self, tokenizer: dict) -> PieceMerger | None:
         """None where the file does more than lower-case, split and merge; then the library encodes all words."""
@@ -138,64 +139,53 @@ class WordEncoder:
             return None
         return PieceMerger(model["vocab"], model["merges"])
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened([e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
 
     def _is_plain(self, text: str) -> bool:
-        return self.merger is not None and text.isascii() and not (self.special and self.special.search(text))
-
-    def _learn(self, words: list[str], plain: set[str]) -> None:
-        """``plain`` are the words of plain texts, in lower case; others may be plain too."""
-        known, older = self.known, self.older
-        if older:
-            known.update([(w, older[w]) for w in words if w in older])
-            words = [w for w in words if w not in known]
-        ascii_words = [w for w in words if len(w) <= _CACHED_CHARS and (w in plain or self._is_plain(w))]
-        self._learn_plain(ascii_words)
-        rest = list(set(words).difference(ascii_words))
-        # between a letter or digit and a mark no id reaches over, so closing marks are encoded apart
-        cores = [w.rstrip(_CLOSING) for w in rest]
-        cores = [c if _splits_after(c) else w for c, w in zip(cores, rest, strict=True)]
-        tails = [w[len(c) :] for c, w in zip(cores, rest, strict=True)]
-        parts = list(set(cores).union(tails) - known.keys())
-        known.update(zip(parts, self._ids(parts), strict=True))
-        known.update([(w, known[c] + known[t]) for w, c, t in zip(rest, cores, tails, strict=True) if t])
-        self.long += [w for w in (*parts, *rest) if len(w) > _CACHED_CHARS]
-
-    def _learn_plain(self, words: list[str]) -> None:
-        """A pre-token is a word of its own, so that both are looked up in one place."""
-        low = [w.lower() for w in words]
-        split = [(w,) if w.isalpha() else self.split.findall(w) for w in low]
-        fresh = list(set().union(*split) - self.known.keys())
-        self.known.update(zip(fresh, self.merger.ids([p.encode() for p in fresh]), strict=True))
-        ids = self.known.__getitem__
-        self.known.update([(w, b"".join(map(ids, own))) for w, own in zip(words, split, strict=True) if own[0] != w])
+        return self.merger is not None and (text.isascii() or not _NOT_PLAIN.search(text)) and not (self.special and self.special.search(text))
+
+    def _merge(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Long pieces are left to the library, whose time does not grow with the number of different merges."""
+        if len(pieces[0]) > _CACHED_CHARS:
+            return self._ids(pieces)
+        return self.merger.ids([p.encode() for p in pieces])
+
+    def _learn_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Between a letter or digit and a mark no id reaches over, so closing marks are encoded apart."""
+        cores = [w.rstrip(_CLOSING) for w in words]
+        cores = [c if _splits_after(c) else w for c, w in zip(cores, words, strict=True)]
+        parts = [p for c, w in zip(cores, words, strict=True) for p in (c, w[len(c) :])]
+        different = {p: i for i, p in enumerate(dict.fromkeys(parts))}
+        ids, count = self._ids(list(different))
+        at = np.fromiter(map(different.__getitem__, parts), dtype=np.int64, count=len(parts))
+        return ids[runs(offsets(count)[:-1][at], count[at])], count[at].reshape(-1, 2).sum(axis=1)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
-            return self._ids(texts)
-        if len(self.known) > _CACHE_SIZE:
-            self.known, self.older = {}, self.known
-        self.known[""] = b""
-        plain = [self._is_plain(t) for t in texts]
-        texts = [t.lower() if p else t for t, p in zip(texts, plain, strict=True)]
-        words = [_BLANKS.split(t) if any(c in t for c in _NO_BLANKS) else t.split() for t in texts]
-        found = [list(map(self.known.get, own)) for own in words]
-        gaps: list[tuple[int, int]] = []
-        for i, ids in enumerate(found):
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                gaps.append((i, at))
-        if gaps:
-            unseen = {words[i][at] for i, at in gaps}
-            self._learn(list(unseen), {words[i][at] for i, at in gaps if plain[i]})
-            for i, at in gaps:
-                found[i][at] = self.known[words[i][at]]
-        while self.long:
-            self.known.pop(self.long.pop(), None)
-        return list(map(b"".join, found))
+            return _packed(*self._ids(texts))
+        plain = list(map(self._is_plain, texts))
+        out = [b""] * len(texts)
+        for memo, kind in ((self.pieces, True), (self.words, False)):
+            mine = [i for i, p in enumerate(plain) if p == kind]
+            units = [self._units(texts[i], kind) for i in mine]
+            if units:
+                ids, count = memo.gather(list(chain.from_iterable(units)))
+                sizes = np.diff(offsets(count)[offsets(np.fromiter(map(len, units), dtype=np.int64, count=len(units)))])
+                for i, packed in zip(mine, _packed(ids, sizes)):
+                    out[i] = packed
+        return out
+
+    def _units(self, text: str, plain: bool) -> list[str]:
+        if plain:
+            return self.split.findall(text.lower())
+        return [w for w in _BLANKS.split(text) if w] if any(c in text for c in _NO_BLANKS) else text.split()
+
+
+def _packed(ids: np.ndarray, count: np.ndarray) -> list[bytes]:
+    data, at = ids.astype("<u4").tobytes(), (4 * offsets(count)).tolist()
+    return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 @functools.lru_cache(maxsize=1)

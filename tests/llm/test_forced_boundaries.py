@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from stratafold.llm import forced_boundaries as fb
 from stratafold.llm.queries import QUERIES
-from stratafold.llm.ragged import RaggedMemo
+from stratafold.llm.ragged import RaggedMemo, flattened
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,7 +86,7 @@ def test_decoding_equals_library(library, spec):
 
 def test_memo_forgets_long_and_many_keys():
     asked = []
-    memo = RaggedMemo(lambda keys: asked.append(sorted(keys)) or [[len(k)] * len(k) for k in keys], longest=3, most=4)
+    memo = RaggedMemo(lambda keys: asked.append(sorted(keys)) or flattened([[len(k)] * len(k) for k in keys]), longest=3, most=4)
     memo.fix("special", [9])
     for _ in range(2):
         ids, counts = memo.gather(["a", "bb", "a", "dddd", "special"])
