@@ -6,7 +6,9 @@ assistant turns, which are trained on, and everyone else's as turns of named use
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from stratafold.llm.shared import staged
 
 SYSTEM = "system"
 NOBODY = "unknown"  # the name of a speaker whose role is null
@@ -20,28 +22,27 @@ def _plain(text: Column) -> Column:
 
 
 def conversation_parts(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """conv_id, part and its turns in order, as (turn, role, text).
+    """conv_id, part (0, 1, ...) and its turns in order, as (at, turn, role, text).
 
-    Rows that repeat conversation, turn, role and text are one turn. A part holds the turns whose numbers fall in
-    the same range of ``part_turns``; a turn number that has more rows than that is dealt to parts of its own, by a hash of
-    its rows. So no task holds a conversation, however many rows it has.
+    Rows that repeat conversation, turn, role and text are one turn. The turns of a conversation are ranked by number (null
+    first), role and text, and every ``part_turns`` of them are a part. The ranks come from a sorted table: rows are dealt to ranges of
+    (conversation, turn, role, text) and sorted there, so that their positions follow the order, and only the counts of a
+    conversation in each range are added up. So no task holds a conversation, however many rows it has.
     """
     role, text = F.coalesce("role", F.lit(NOBODY)), F.coalesce("text", F.lit(""))
-    distinct = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).distinct()
-    # a null id or number stands aside, so that joins need no null-safe comparison
-    keyed = distinct.withColumns({"conv_key": F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "no_turn": F.col("turn").isNull(), "turn_key": F.coalesce("turn", F.lit(0))})
-    keyed = keyed.withColumn("no_conv", F.col("conv_id").isNull())
-    key = ["no_conv", "conv_key", "no_turn", "turn_key"]
-    crowded = keyed.groupBy(*key).count().where(F.col("count") > part_turns).withColumn("deals", F.ceil(F.col("count") / part_turns)).drop("count")
-    dealt = keyed.join(crowded, key, "left")
-    deal = F.when(F.col("deals").isNotNull(), F.pmod(F.xxhash64("role", "text"), F.col("deals")))
-    # turns without a number come first; a crowded number has its own parts, the deal says which
-    part = F.struct(
-        (~F.col("no_turn")).alias("numbered"), F.floor(F.col("turn_key") / part_turns).alias("range"),
-        F.when(F.col("deals").isNotNull(), F.col("turn_key")).alias("number"), deal.alias("deal"),
-    )
-    parts = dealt.groupBy("no_conv", "conv_key", part.alias("part"))
-    return parts.agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    # a null id stands aside, so that joins need no null-safe comparison
+    key = {"no_conv": F.col("conv_id").isNull(), "conv_key": F.coalesce(F.col("conv_id").cast("string"), F.lit(""))}
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).withColumns(key)
+    order = [*key, "turn", "role", "text"]
+    ranged = rows.repartitionByRange(*order).groupBy(*order).agg(F.first("conv_id").alias("conv_id")).sortWithinPartitions(*order)
+    placed = staged(ranged.withColumn("at", F.monotonically_increasing_id()), "turns")
+    range_of = F.shiftright("at", 33)  # the partition, and below it the row's position
+    counts = placed.groupBy(range_of.alias("range"), *key).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("range", *key, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    ranked = placed.withColumn("range", range_of).join(starts, ["range", *key])
+    part = F.floor((F.col("at") + F.col("shift")) / part_turns).alias("part")
+    return ranked.groupBy(*key, part).agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("at", "turn", "role", "text"))).alias("turns"))
 
 
 def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
@@ -52,8 +53,8 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataF
     first), role and text. Each is ``<|im_start|>assistant`` for the speaker, ``<|im_start|>user name=...`` for others, then the text
     and ``<|im_end|>``; markers inside texts are broken by a space. ``spans`` are the trained characters of
     ``text``, [from, to): the speaker's words with their end marker. A null role speaks as ``unknown``, a null text
-    is empty, repeated rows are one turn. Long conversations come in several parts, each with its own offsets;
-    ``part`` numbers turns of one range. Other columns are not read.
+    is empty, repeated rows are one turn. Long conversations come in parts of ``part_turns`` turns, each with its own
+    offsets, numbered from 0 by ``part``; every participant has all parts. Other columns are not read.
     """
     key = ["no_conv", "conv_key"]
     parts = conversation_parts(turns, part_turns)

@@ -108,28 +108,29 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(r"""
 WITH turns AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, turn // 256 AS part FROM conversations
+  SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1) // 256 AS part
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations)
 ), speakers AS (
   SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'
 ), rendered AS (
-  SELECT conv_id, part, speaker, turn, role, text,
+  SELECT turns.conv_id, part, speaker, turn, role, text,
     '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system'
       ELSE 'user name=' || replace(role, '<|im_', '<| im_') END || chr(10) AS head,
     replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS body
-  FROM turns JOIN speakers USING (conv_id)
+  FROM turns JOIN speakers ON turns.conv_id IS NOT DISTINCT FROM speakers.conv_id
 ), placed AS (
-  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS done FROM rendered
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS done FROM rendered
 )
 SELECT conv_id, part, speaker, count(*) AS n_turns,
   CAST(sum(CASE WHEN role = speaker THEN length(body) ELSE 0 END) AS BIGINT) AS n_trained,
-  md5(string_agg(head || body, '' ORDER BY turn, role, text)) AS text_md5,
-  coalesce(string_agg(CAST(done - length(body) AS BIGINT) || '-' || CAST(done AS BIGINT), ',' ORDER BY turn, role, text) FILTER (role = speaker), '') AS mask
+  md5(string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text)) AS text_md5,
+  coalesce(string_agg(CAST(done - length(body) AS BIGINT) || '-' || CAST(done AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (role = speaker), '') AS mask
 FROM placed GROUP BY conv_id, part, speaker
 """)
 def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rotated = rotate_perspectives(read_documents(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("spans", lambda s: F.concat(s["from"].cast("string"), F.lit("-"), s.to.cast("string"))), ",")
-    return rotated.select("conv_id", F.col("part.range").alias("part"), "speaker", "n_turns", "n_trained", F.md5(F.col("text").cast("binary")).alias("text_md5"), mask.alias("mask"))
+    return rotated.select("conv_id", "part", "speaker", "n_turns", "n_trained", F.md5(F.col("text").cast("binary")).alias("text_md5"), mask.alias("mask"))
 
 
 @_query()

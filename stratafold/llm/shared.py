@@ -34,3 +34,15 @@ def text_of(column: str = "text") -> Column:
 
 def read_documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"_{name}".lower() in taken:
+            name = f"_{name}"
+        taken.add(f"_{name}".lower())
+        out.append(f"_{name}")
+    return out

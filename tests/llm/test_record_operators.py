@@ -349,22 +349,37 @@ def plain_rotation(turns):
 def test_every_participant_is_the_assistant_once(spark):
     turns = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit("mine"))
     got = {(r.conv_id, r.speaker): (r.text, [tuple(s) for s in r.spans], r.n_trained) for r in chat_rotation.rotate_perspectives(turns).collect()}
-    want = plain_rotation(CHAT)
-    # turns without a number are a part of their own
-    late = {k: v for k, v in got.items() if k[0] == 3}
-    assert {k: v for k, v in got.items() if k[0] != 3} == {k: v for k, v in want.items() if k[0] != 3} and set(late) == {(3, "ann"), (3, "bo")}
+    assert got == plain_rotation(CHAT)
     assert chat_rotation.rotate_perspectives(turns.limit(0)).collect() == []
 
 
+def plain_parts(turns, size):
+    """Plain rotation of each run of ``size`` turns in order; every participant of the conversation has every run."""
+    out = {}
+    for conv in {t[0] for t in turns}:
+        own = sorted({(t[1], t[2] or "unknown", t[3] or "") for t in turns if t[0] == conv}, key=lambda t: (t[0] is not None, t[0], *t[1:]))
+        for speaker in {r for _, r, _ in own} - {"system"}:
+            for part in range(0, len(own), size):
+                some = [(conv, *t) for t in own[part : part + size]]
+                out[conv, part // size, speaker] = plain_rotation([*some, (conv, 10**9, speaker, "")])[conv, speaker][0].removesuffix("<|im_start|>assistant\n<|im_end|>\n")
+    return out
+
+
+@pytest.mark.parametrize("crowd", [255, 256, 257, 5_000])
+def test_conversations_are_cut_by_exact_rank(spark, crowd):
+    turns = [(1, 4, "ab"[i % 2], f"same number {i}") for i in range(crowd)] + [(1, None, "a", f"no number {i}") for i in range(3)] + [(1, 9, "c", "last")]
+    turns += [(2, i, "ab"[i % 2], f"t{i}") for i in range(1_000)] + [(3, 0, "a", "short"), (None, 1, "b", "no conversation")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(7)
+    rows = chat_rotation.rotate_perspectives(df).collect()
+    got = {(r.conv_id, r.part, r.speaker): r.text for r in rows}
+    assert got == plain_parts(turns, 256) and len(got) == len(rows)
+
+
 def test_long_conversations_come_in_parts(spark):
     turns = [(1, i, "ab"[i % 2], f"t{i}") for i in range(25)] + [(1, 30, "b", f"same number {i}") for i in range(40)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     rows = chat_rotation.rotate_perspectives(df, part_turns=10).collect()
-    assert {r.speaker for r in rows} == {"a", "b"} and max(r.n_turns for r in rows) < 25
-    for speaker in "ab":
-        own = sorted((r for r in rows if r.speaker == speaker), key=lambda r: (r.part.range, r.part.number or -1, r.part.deal or -1))
-        assert sum(r.n_turns for r in own) == len(turns)
-        assert [r.text for r in own[:2]] == [plain_rotation([t for t in turns if t[1] // 10 == p])[1, speaker][0] for p in (0, 1)]
+    assert {(r.conv_id, r.part, r.speaker): r.text for r in rows} == plain_parts(turns, 10) and max(r.n_turns for r in rows) == 10
 
 
 def test_native_operators_run_no_python(spark):
