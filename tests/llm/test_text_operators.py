@@ -1,5 +1,7 @@
 """Token counts, license scans, language identification and line dedup against plain versions of each."""
 
+import collections
+import functools
 import random
 import re
 import zlib
@@ -141,6 +143,61 @@ def test_long_texts_are_counted_in_whole(monkeypatch):
     assert (language_id.ngram_counts(text) == whole).all() and language_id.ngram_counts("").sum() == 0
 
 
+def plain_grams(text):
+    """Every 1- to 3-gram of the lower-case text, what is no letter as a space, but those of spaces only."""
+    line = "".join(c if c.isalpha() else " " for c in text.lower())
+    return [line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1) if line[i : i + n].strip()]
+
+
+def test_buckets_of_a_batch_are_the_grams_of_each_text():
+    texts = [*texts_at_random(300, "abc déf!12\n漢 "), "", "a", " ", "ß"]
+
+    def counted(batch):
+        out = [collections.Counter() for _ in batch]
+        for i, b, n in zip(*(a.tolist() for a in language_id.text_buckets(batch))):
+            out[i][b] += n
+        return out
+
+    @functools.cache
+    def bucket(gram):
+        """What a gram adds to the buckets of its own grams."""
+        (own,) = counted([gram])
+        for g in plain_grams(gram):
+            if g != gram:
+                own.subtract(bucket(g))
+        return own
+
+    for text, got in zip(texts, counted(texts), strict=True):
+        want = collections.Counter()
+        for g in plain_grams(text):
+            want.update(bucket(g))
+        assert +want == got and sum(got.values()) == len(plain_grams(text))
+        assert got == collections.Counter({b: n for b, n in enumerate(language_id.ngram_counts(text).tolist()) if n})
+
+
+def test_languages_come_in_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, f"l{i % 7}", "".join(rng.choice("abcdefg"[i % 7 :] + "xyz ") for _ in range(80))) for i in range(210)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("best", F.lit("mine"))
+    whole = language_id.identify_languages(docs, docs)
+    want = {r.doc_id: (r.lang_pred, r.score) for r in whole.collect()}
+    monkeypatch.setattr(language_id, "_BLOCK_LANGUAGES", 3)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_languages(docs, docs).collect()}
+    assert whole.columns == ["doc_id", "lang", "text", "best", "lang_pred", "score"] and len({p for p, _ in want.values()}) > 4
+    assert all(got[d][0] == want[d][0] and got[d][1] == pytest.approx(want[d][1], rel=1e-6) for d in want)
+
+
+def test_texts_in_no_learned_language_go(spark, documents):
+    strange = ["Быстрая коричневая лиса прыгает через ленивую собаку и убегает в тёмный лес.", "これは日本語の文章です。今日は天気がとてもいいですね。", "aaaa bbbb", "<div><p><b></b></p></div>" * 9, "12 34 !"]
+    rows = [(10**6 + i, t, None) for i, t in enumerate(strange)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = documents.select("doc_id", "text", "lang").unionByName(more).withColumn("judged", F.lit("mine"))
+    kept = {r.doc_id for r in language_id.keep_fluent(docs, ~language_id.held_out()).collect()}
+    assert {10**6, 10**6 + 1, 10**6 + 4}.isdisjoint(kept)
+    clean = documents.where("lang is not null and length(text) > 200").count()
+    assert documents.where("lang is not null and length(text) > 200").where(F.col("doc_id").isin(list(kept))).count() >= 0.98 * clean
+
+
 def test_language_of_edge_cases(edge):
     rows = language_id.identify_languages(edge, edge).collect()
     assert len(rows) == len(EDGE) and all((r.lang_pred == "und") == (not r.text or not any(map(str.isalpha, r.text))) for r in rows)
