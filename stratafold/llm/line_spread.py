@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stratafold.llm.shared import staged, text_of
+from stratafold.llm.shared import staged, text_of, unused_names
 
 _LINE = ["hash_1", "hash_2"]  # two hashes with different seeds: 128 bits name a line
 LOG_REGISTERS = 10
@@ -18,9 +18,9 @@ _SIGMAS = 5  # standard errors of the sketch that count as near
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
     """Position and hashes of every line that is not blank; what surrounds it does not count."""
-    lines = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), F.xxhash64(F.col(site).cast("string")).alias("site"), F.posexplode(F.split(text_of(), "\n")).alias("position", "line"))
+    lines = docs.select(F.struct("doc_id", F.xxhash64(text_of()).alias("text_hash")).alias("key"), F.xxhash64(F.col(site).cast("string")).alias("site"), F.posexplode(F.split(text_of(), "\n")).alias("position", "line"))
     trimmed = lines.withColumn("line", F.trim("line")).where(F.length("line") > 0)
-    return trimmed.select("doc_id", "text_hash", "site", "position", F.xxhash64("line").alias("hash_1"), F.xxhash64(F.lit(1), "line").alias("hash_2"))
+    return trimmed.select("key", "site", "position", F.xxhash64("line").alias("hash_1"), F.xxhash64(F.lit(1), "line").alias("hash_2"))
 
 
 def boilerplate_lines(docs: DataFrame, site: str = "source", min_sites: int = 10) -> DataFrame:
@@ -47,17 +47,16 @@ def strip_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 10
     Lines are what newlines separate; ``n_lines`` counts those that are not blank, ``n_cut`` the ones cut. Blank
     lines stay. Lines are compared without the spaces around them. A null text stays null and has no lines; a null
     site counts as a site of its own. Rows that repeat doc_id and text give the same result each. Columns named
-    n_lines or n_cut are replaced; the others stay. Lines meet the boilerplate by hash only; texts are shuffled
+    n_lines or n_cut are replaced; the others stay, whatever their names. Ids may have any type. Lines meet the boilerplate by hash only; texts are shuffled
     once, to the positions that are cut from them.
     """
     bad = staged(boilerplate_lines(docs, site, min_sites), "boilerplate")
-    key = {"_no_id": F.col("doc_id").isNull(), "_id_or_0": F.coalesce("doc_id", F.lit(0)), "_text_hash": F.xxhash64(text_of())}
-    cuts = _lines(docs, site).join(bad, _LINE, "left_semi").withColumn("_text_hash", F.col("text_hash"))
-    cuts = cuts.withColumns({c: key[c] for c in ("_no_id", "_id_or_0")}).groupBy(*key).agg(F.collect_set("position").alias("_cut"))
-    marked = docs.withColumns(key).join(cuts, list(key), "left")
+    key, cut = unused_names(docs, "key", "cut")
+    cuts = _lines(docs, site).join(bad, _LINE, "left_semi").groupBy(F.col("key").alias(key)).agg(F.collect_set("position").alias(cut))
+    marked = docs.withColumn(key, F.struct("doc_id", F.xxhash64(text_of()).alias("text_hash"))).join(cuts, key, "left")
     lines = F.split(F.col("text"), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut"))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.size(F.filter(F.split(text_of(), "\n"), lambda line: F.length(F.trim(line)) > 0)).cast("long")
-    n_cut = F.coalesce(F.size("_cut"), F.lit(0)).cast("long")
+    n_cut = F.coalesce(F.size(cut), F.lit(0)).cast("long")
     return marked.withColumns({"n_lines": n_lines, "n_cut": n_cut, "text": text}).select(*[c for c in docs.columns if c not in ("n_lines", "n_cut")], "n_lines", "n_cut")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stratafold.session import checkpoint_dir
 
@@ -46,3 +46,18 @@ def unused_names(df: DataFrame, *names: str) -> list[str]:
         taken.add(f"_{name}".lower())
         out.append(f"_{name}")
     return out
+
+
+def with_nth(df: DataFrame, key: str, place: str, out: str) -> DataFrame:
+    """Number the rows of each key from 0 in the order of ``place`` (monotonically increasing ids of a written table).
+
+    Rows are numbered inside each of the partitions the ids were made in, and the counts of earlier ones are added: a key that holds most
+    rows is numbered by as many tasks.
+    """
+    part, before, n = unused_names(df, "part", "before", "n")
+    parted = df.withColumn(part, F.shiftright(place, 33))
+    counts = parted.groupBy(key, part).agg(F.count("*").alias(n))
+    earlier = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = counts.select(key, part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    local = parted.withColumn(n, F.row_number().over(Window.partitionBy(key, part).orderBy(place)) - 1)
+    return local.join(starts, [key, part]).select(*df.columns, (F.col(n) + F.col(before)).alias(out))
