@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratafold.llm.shared import NOT_WHITE, staged, text_of
+from stratafold.llm.shared import NOT_WHITE, staged, text_of, unused_names, with_nth
 
 _ONE = 1 << 30
 _FAN_IN = 32  # documents, or leftovers, that a node of the tree pairs
 _SOURCE = ["no_source", "source_text"]  # a source without nulls
-_UNIT = ["doc_id", "text_hash"]
+_UNIT = ["doc_id", "text_hash", "nth"]  # nth tells rows that repeat the others apart
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -66,17 +66,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 
 def _draw(seed: int, a: Column, b: Column) -> Column:
-    return F.xxhash64(F.lit(seed), a.doc_id, a.text_hash, b.doc_id, b.text_hash).bitwiseAND(F.lit(_ONE - 1))
+    return F.xxhash64(F.lit(seed), a.doc_id, a.text_hash, a.nth, b.doc_id, b.text_hash, b.nth).bitwiseAND(F.lit(_ONE - 1))
 
 
 def _paired(items: Column, seed: int) -> Column:
     """Fold of a node's items: what is left over, and each settled item with 0 or 1."""
 
     def settled(item: Column, up: int) -> Column:
-        return F.array(F.struct(item.doc_id.alias("doc_id"), item.text_hash.alias("text_hash"), F.lit(up).alias("up")))
+        return F.array(F.struct(*[item[c].alias(c) for c in _UNIT], F.lit(up).alias("up")))
 
     def left(item: Column, mass: Column) -> Column:
-        return F.struct(item.size.alias("size"), item.doc_id.alias("doc_id"), item.text_hash.alias("text_hash"), mass.alias("mass"))
+        return F.struct(item.size.alias("size"), *[item[c].alias(c) for c in _UNIT], mass.alias("mass"))
 
     def step(state: Column, item: Column) -> Column:
         own, mass, both = state.left, item.mass, state.left.mass + item.mass
@@ -120,38 +120,59 @@ def rounded_up(units: DataFrame, seed: int = 42) -> DataFrame:
             break
         nodes = -(-nodes // _FAN_IN)
         items = level.select(*_SOURCE, F.floor(F.col("node") / _FAN_IN).alias("node"), F.col("left").alias("item"))
-    draw = F.xxhash64(F.lit(seed), F.lit("root"), "left.doc_id", "left.text_hash").bitwiseAND(F.lit(_ONE - 1))
-    root = level.select(*_SOURCE, "left.doc_id", "left.text_hash", (draw < F.col("left.mass")).cast("int").alias("up"))
+    draw = F.xxhash64(F.lit(seed), F.lit("root"), *[f"left.{c}" for c in _UNIT]).bitwiseAND(F.lit(_ONE - 1))
+    root = level.select(*_SOURCE, *[f"left.{c}" for c in _UNIT], (draw < F.col("left.mass")).cast("int").alias("up"))
     return done.union(root)
 
 
+def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sizes of all rows with a null-safe ``key`` of doc_id, source and text, and ``nth``, which numbers the rows of a key; and the keys that repeat."""
+    key = F.struct("doc_id", "no_source", "source_text", "text_hash").alias("key")
+    sizes = staged(document_sizes(docs).select("*", key, F.monotonically_increasing_id().alias("place")), "sizes")
+    again = staged(sizes.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("again")), "repeated")
+    marked = sizes.join(again, "key", "left")
+    numbered = with_nth(marked.where("again"), "key", "place", "nth")
+    return staged(marked.where(F.col("again").isNull()).withColumn("nth", F.lit(0).cast("long")).unionByName(numbered).drop("place"), "rows"), again
+
+
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
     """Per row of the input: doc_id, source, size, source_size, target, copies and taken (words).
 
     ``size`` counts words, 0 for a null text. A null source is a source of its own, the last. Rows that repeat
-    doc_id, source and text are one document and get the same copies each; a null doc_id is a key like any other.
+    doc_id, source and text are units of their own, told apart by a number; a null doc_id is a key like any other, and ids may have any type.
     A source without words has target 0 and takes no copies. Other columns are not read.
     """
-    sizes = staged(document_sizes(docs), "sizes")
-    wanted = staged(source_targets(sizes, weights, share, most), "targets")
-    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    mass = F.round((F.col("times") - F.floor("times")) * _ONE).cast("long")
-    units = sizes.groupBy(*_SOURCE, *_UNIT).agg(F.first("size").alias("size"))
-    units = units.join(wanted.select(*_SOURCE, times.alias("times")), _SOURCE).select(*_SOURCE, *_UNIT, "size", mass.alias("mass"))
-    up = rounded_up(units, seed).withColumns({"no_id": F.col("doc_id").isNull(), "id_or_0": F.coalesce("doc_id", F.lit(0))}).drop("doc_id")
-    keyed = sizes.join(wanted, _SOURCE).withColumns({"times": times, "no_id": F.col("doc_id").isNull(), "id_or_0": F.coalesce("doc_id", F.lit(0))})
-    whole = F.floor("times") + F.floor(mass / _ONE)  # a part that rounds to 1 is a whole copy
-    planned = keyed.join(up, [*_SOURCE, "id_or_0", "no_id", "text_hash"], "left").withColumn("copies", whole + F.when(mass % _ONE > 0, F.coalesce("up", F.lit(0))).otherwise(0))
-    return planned.select(
+    return _planned(_rows(docs)[0], weights, share, most, seed).select(
         "doc_id", "text_hash", F.when(~F.col("no_source"), F.col("source_text")).alias("source"), "size", "source_size", "target",
         "copies", (F.col("copies") * F.col("size")).alias("taken"),
     )
 
 
+def _planned(rows: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> DataFrame:
+    """``rows`` with the size and target of their source, and ``copies``."""
+    wanted = staged(source_targets(rows, weights, share, most), "targets")
+    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    mass = F.round((F.col("times") - F.floor("times")) * _ONE).cast("long")
+    keyed = rows.join(wanted.withColumn("times", times), _SOURCE)
+    units = keyed.select(*_SOURCE, *_UNIT, "size", mass.alias("mass"))
+    up = rounded_up(units, seed).select(F.struct("doc_id", *_SOURCE, "text_hash").alias("key"), "nth", "up")
+    whole = F.floor("times") + F.floor(mass / _ONE)  # a part that rounds to 1 is a whole copy
+    return keyed.join(up, ["key", "nth"], "left").withColumn("copies", whole + F.when(mass % _ONE > 0, F.coalesce("up", F.lit(0))).otherwise(0))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
-    """The mixed corpus: each row of the input as many times as the plan takes it, with its own columns."""
-    taken = mix_plan(docs, weights, share, most, seed).where(F.col("copies") > 0)
-    key = {"_id_or_0": F.coalesce("doc_id", F.lit(0)), "_no_id": F.col("doc_id").isNull(), "_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_no_source": F.col("source").isNull()}
-    copies = taken.withColumns(key).groupBy(*key, F.col("text_hash").alias("_text_hash")).agg(F.max("copies").alias("_copies"))
-    joined = docs.withColumns({**key, "_text_hash": F.xxhash64(text_of())}).join(copies, [*key, "_text_hash"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*docs.columns)
+    """The mixed corpus: each row of the input as many times as the plan takes it, with its own columns.
+
+    Rows that repeat doc_id, source and text are numbered among themselves, and share the plan's copies by number.
+    """
+    key, place, nth, copies, copy = unused_names(docs, "key", "place", "nth", "copies", "copy")
+    rows, again = _rows(docs)
+    taken = _planned(rows, weights, share, most, seed).where(F.col("copies") > 0)
+    plan = taken.select(F.col("key").alias(key), F.col("nth").alias(nth), F.col("copies").cast("long").alias(copies))
+    source = F.col("source")
+    keyed = docs.withColumn(key, F.struct("doc_id", source.isNull().alias("no_source"), F.coalesce(source.cast("string"), F.lit("")).alias("source_text"), F.xxhash64(text_of()).alias("text_hash")))
+    repeated = again.select(F.col("key").alias(key))
+    several = staged(keyed.join(repeated, key, "left_semi").withColumn(place, F.monotonically_increasing_id()), "repeated-rows")
+    numbered = with_nth(several, key, place, nth).drop(place)
+    every = keyed.join(repeated, key, "left_anti").withColumn(nth, F.lit(0).cast("long")).unionByName(numbered)
+    return every.join(plan, [key, nth]).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

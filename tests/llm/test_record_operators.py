@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratafold.llm import chat_rotation, edit_decontam, golomb_dedup, mixing, simhash, token_store
+from stratafold.llm.line_spread import strip_boilerplate
 from stratafold.llm.components import connected_components
 from stratafold.llm.queries import QUERIES, SQL
 from tools.compare import compare
@@ -210,6 +211,54 @@ def test_matches_equal_brute_force(spark):
     assert edit_decontam.benchmark_matches(docs.limit(0), bench).collect() == []
 
 
+def test_short_items_stand_as_they_are_between_word_borders(spark):
+    texts = ["Well, what is 2  plus 2? Four.", "what is 2 plus 22?", "somewhat is 2 plus 2?", "what is 2 plus 3?", "what is 2 plus 2?", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([("q", "What is 2 plus 2?"), ("n", "2 plus 2"), ("none", None), ("blank", " ")], "item_id string, text string")
+    found = edit_decontam.benchmark_matches(docs, bench).select("doc_id", F.explode("matches").alias("m")).collect()
+    got = {(r.doc_id, r.m.item_id, r.m.distance, r.m.end_char) for r in found}
+    assert got == {(0, "q", 0, 23), (0, "n", 0, 22), (2, "n", 0, 20), (4, "q", 0, 17), (4, "n", 0, 16)}
+
+
+def test_blocks_of_items_give_the_same_matches(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(9)) for _ in range(8)]
+    docs = spark.createDataFrame([(i, f"so {changed(rng, items[i % 8], i % 4)} end") for i in range(40)] + [(1, None), (1, None)], "doc_id long, text string").withColumn("_own", F.lit("mine"))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+    def matches():
+        rows = edit_decontam.benchmark_matches(docs, bench).collect()
+        return sorted(((r.doc_id, r.text, r["_own"], sorted(map(tuple, r.matches))) for r in rows), key=str)
+
+    want = matches()
+    monkeypatch.setattr(edit_decontam, "_BLOCK_CHARS", 100)
+    assert matches() == want and sum(bool(m) for *_, m in want) > 20
+
+
+def test_matches_end_where_the_item_ends(spark):
+    rng = random.Random(4)
+    item = "a passage that stands in the benchmark and nowhere else in the world"
+    for edits in range(4):
+        inner = changed(rng, item, edits, "xyz")
+        text = f"Before  it.\n{inner} after it"
+        (row,) = edit_decontam.benchmark_matches(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+        (m,) = row.matches
+        whole = edit_decontam.normal(text)
+        assert m.distance == plain_distance(item, whole)
+        assert m.end_char == min(e for e in range(len(whole) + 1) if plain_tail(item, whole[:e]) == m.distance)
+
+
+def plain_tail(item, text):
+    """Smallest number of edits from the item to a part of the text that ends where the text ends."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, w in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != w), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
+
+
 def test_benchmark_query_finds_whole_items(spark, documents):
     items = {r.item_id: edit_decontam.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     want = {(r.doc_id, i) for r in documents.collect() for i, t in items.items() if t in edit_decontam.normal(r.text or "")}
@@ -247,7 +296,7 @@ def test_mixing_query(spark, documents):
 def test_rounding_keeps_the_sum_and_the_chances(spark):
     half = mixing._ONE // 2
     units = spark.range(3000).select(
-        F.lit(False).alias("no_source"), F.lit("hot").alias("source_text"), F.col("id").alias("doc_id"), F.col("id").alias("text_hash"),
+        F.lit(False).alias("no_source"), F.lit("hot").alias("source_text"), F.col("id").alias("doc_id"), F.col("id").alias("text_hash"), F.lit(0).alias("nth"),
         (F.col("id") % 7 + 1).alias("size"), F.when(F.col("id") % 3 == 0, half).otherwise(half // 4).cast("long").alias("mass"),
     )
     up = {r.doc_id: r.up for r in mixing.rounded_up(units).collect()}
@@ -258,10 +307,36 @@ def test_rounding_keeps_the_sum_and_the_chances(spark):
     assert abs(words - sum((d % 7 + 1) * (0.5 if d % 3 == 0 else 0.125) for d in up)) <= 60
 
 
+def test_repeated_rows_come_near_the_target(spark):
+    rows = [(5, " ".join("w" * 10), "a")] * 1_000 + [(100 + i, " ".join("abc" * (1 + i % 5)), "a") for i in range(1_000)] + [(9_000 + i, "x y", "b") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7).withColumns({"_key": F.lit("mine"), "_NTH": F.lit(1), "copies": F.lit(2)})
+    plan = mixing.mix_plan(docs).collect()
+    for source in "ab":
+        own = [r for r in plan if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * max(r.size for r in own) and all(0 <= r.copies <= 2 for r in own)
+    mixed = mixing.mix(docs)
+    counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert mixed.columns == docs.columns and counts.get(5, 0) == sum(r.copies for r in plan if r.doc_id == 5)
+    assert sum(counts.values()) == sum(r.copies for r in plan)
+    assert sorted(map(tuple, mixing.mix_plan(docs).collect()), key=str) == sorted(map(tuple, plan), key=str)
+
+
+def test_text_ids_and_clashing_names(spark):
+    names = {c: F.lit("mine") for c in ("_key", "_cut", "_copies", "_copy", "_text_hash", "_no_id", "_id_or_0", "_matches", "_language", "_judged", "row")}
+    rows = [("a", "one two\nshared", "s1"), ("b", "one two\nshared", "s2"), (None, "three", None), ("a", "one two\nshared", "s1"), (None, None, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string").withColumns(names)
+    for done, size in ((strip_boilerplate(docs, min_sites=2), 5), (mixing.mix(docs, share=1.0), None), (simhash.simhash_dedup(docs), 3)):
+        got = done.collect()
+        assert set(docs.columns) <= set(done.columns) and (size is None or len(got) == size) and all(r[c] == "mine" for r in got for c in names)
+    assert {r.doc_id for r in simhash.simhash_dedup(docs).collect()} == {"a", None}
+    bench = spark.createDataFrame([("i", "three")], "item_id string, text string")
+    kept = edit_decontam.decontaminate(docs, bench)
+    assert kept.count() == 4 and {r["_matches"] for r in kept.collect()} == {"mine"}
+
+
 def test_mixing_of_edge_cases(edge, spark):
     plan = mixing.mix_plan(edge).collect()
     assert len(plan) == len(EDGE) and all(0 <= r.copies <= 2 for r in plan)
-    assert sorted(r.copies for r in plan if r.doc_id == 3) in ([0, 0], [1, 1], [2, 2])  # a document's rows go together
     mixed = mixing.mix(edge)
     assert mixed.columns == edge.columns and mixed.count() == sum(r.copies for r in plan)
     assert mixing.mix_plan(edge.limit(0)).collect() == mixing.mix(edge.limit(0)).collect() == []
