@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stratafold.llm.shared import WHITE, staged, text_of
 
-_OWNER_PRINTS = 500_000  # fingerprints that one owner merges, on average
+_SENDER_PRINTS, _OWNER_PRINTS = 8_000_000, 4_000_000  # fingerprints that one partition sends, and that one owner merges, on average
+_LEAST = 16  # owners, and senders, of a small table
 
 
 def golomb_encode(sorted_values: np.ndarray, span: int) -> tuple[int, bytes]:
@@ -98,11 +99,14 @@ def _suspects(owners: int):
 def suspect_prints(prints: DataFrame) -> DataFrame:
     """The different values of the long column ``print`` that occur more than once, by the exchange.
 
-    ``prints`` must be a table that can be read again. The number of owners follows its size, so that an owner
-    merges about half a million values; a value with very many copies reaches its owner once from each partition.
+    ``prints`` must be a table that can be read again. A fingerprint is eight bytes, so that few partitions hold millions of them: the
+    numbers of senders and owners follow the table's size, and a message holds a thousand values or more up to some 10^10 rows.
+    A value with very many copies reaches its owner once from each partition.
     """
-    owners = max(1, -(-prints.count() // _OWNER_PRINTS))
-    messages = staged(prints.select("print").mapInArrow(_send(owners), MESSAGE), "golomb-messages")
+    rows = prints.count()
+    owners = max(_LEAST, -(-rows // _OWNER_PRINTS))
+    senders = max(_LEAST, -(-rows // _SENDER_PRINTS))
+    messages = staged(prints.select("print").coalesce(senders).mapInArrow(_send(owners), MESSAGE), "golomb-messages")
     bitmaps = messages.groupBy("owner").applyInPandas(_answer, "sender int, owner int, duplicates binary")
     marked = messages.join(bitmaps, ["sender", "owner"]).select("sender", "owner", "n", "low", "code", "duplicates")
     return marked.mapInArrow(_suspects(owners), "print long").distinct()
