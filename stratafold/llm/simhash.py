@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from stratafold.llm.components import connected_components
-from stratafold.llm.shared import staged, text_of
+from stratafold.llm.shared import staged, text_of, unused_names
 
 SEED = 42  # fixed value: the seed of the shingle hashes
 _FILE_LIMIT = 1024  # fingerprints compared with each other in one task
@@ -171,8 +171,8 @@ def simhash_dedup(docs: DataFrame, distance: int = 2, shingle: int = 3) -> DataF
     Of repeated rows (doc_id and text) one stays. Of a component with null ids only, each different text stays
     once; beside other ids, rows without an id go.
     """
-    # the key without nulls: joining and dropping repeats then share one shuffle
-    key = {"_id_or_0": F.coalesce("doc_id", F.lit(0)), "_no_id": F.col("doc_id").isNull(), "_text_hash": F.xxhash64(text_of())}
+    (key,) = unused_names(docs, "key")
     kept = _components(docs, distance, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(key["_id_or_0"].alias("_id_or_0"), key["_no_id"].alias("_no_id"), F.col("text_hash").alias("_text_hash"))
-    return docs.withColumns(key).join(kept, list(key), "left_semi").dropDuplicates(list(key)).select(*docs.columns)
+    kept = kept.select(F.struct("doc_id", "text_hash").alias(key))
+    keyed = docs.withColumn(key, F.struct("doc_id", F.xxhash64(text_of()).alias("text_hash")))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
