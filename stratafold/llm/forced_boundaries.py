@@ -21,11 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from stratafold.llm.ragged import RaggedMemo, flattened, groups_of, offsets, runs
+from stratafold.llm.ragged import RaggedMemo, flattened, groups_of, offsets, runs, text_slices
 from stratafold.llm.shared import text_of
 from stratafold.llm.token_counts import byte_symbols
 
@@ -174,13 +173,6 @@ def boundary_encoder(spec: str, special_as_text: bool = False) -> BoundaryEncode
     return BoundaryEncoder(spec, special_as_text)
 
 
-def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The batches in parts of a bounded number of bytes, so that only one part's ids are held."""
-    for batch in batches:
-        for start, end in groups_of(pa.compute.binary_length(batch).fill_null(0).to_pylist(), _GROUP_CHARS):
-            yield batch.slice(start, end - start)
-
-
 def _id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets(counts).astype(np.int32)), pa.array(ids))
 
@@ -198,7 +190,7 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, column: str = "text", in
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = boundary_encoder(spec.value)
-        for texts in _slices(batches):
+        for texts in text_slices(batches, _GROUP_CHARS):
             yield _id_lists(*encoder.encode(texts.cast(pa.binary()).to_pylist()))
 
     return docs.withColumn(into, ids_of(text_of(column)))
@@ -228,7 +220,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str, column: str = "text", ids:
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = boundary_encoder(spec.value)
         tokens = TokenBytes(encoder.tokens)
-        for texts in _slices(batches):
+        for texts in text_slices(batches, _GROUP_CHARS):
             found, counts = encoder.encode(texts.cast(pa.binary()).to_pylist())
             yield pa.StructArray.from_arrays([_id_lists(found, counts), pa.array(tokens.decode(found, counts), pa.string())], names=["ids", "decoded"])
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratafold.llm.ragged import groups_of
+from stratafold.llm.ragged import groups_of, text_slices
 from stratafold.llm.shared import staged, text_of, unused_names
 
 BUCKETS = 1 << 15
@@ -17,7 +17,7 @@ ORDERS = (1, 2, 3)
 _BLOCK_LANGUAGES = 512  # languages scored together: bounds the matrix that is broadcast (64 MB); more come in further blocks
 _GROUP_CHARS = 300_000  # texts scored together
 _CELLS = 1 << 23  # numbers gathered from the matrix at a time
-_CHUNK = 1 << 20  # characters whose n-grams are counted together
+_CHUNK = 1 << 18  # characters whose n-grams are counted together
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint32)
 UNKNOWN = "und"
 
@@ -134,7 +134,12 @@ class LanguageModel:
 
         All texts are scored as one sparse matrix: their buckets' rows of the model are gathered, weighed and added up by text.
         """
-        text, bucket, n = text_buckets(texts, self.buckets)
+        if len(texts) == 1 and len(texts[0]) > _GROUP_CHARS:  # its grams are counted by parts
+            counts = ngram_counts(texts[0], self.buckets)
+            (bucket,) = np.nonzero(counts)
+            text, n = np.zeros(len(bucket), dtype=np.int64), counts[bucket]
+        else:
+            text, bucket, n = text_buckets(texts, self.buckets)
         total = np.tile(self.prior, (len(texts), 1))
         step = max(1, _CELLS // max(1, len(self.languages)))
         for start in range(0, len(text), step):
@@ -182,7 +187,7 @@ def _judge(shared):
 
     @F.arrow_udf("struct<lang:string,top:double,whole:double,mean:double>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in text_slices(batches):
             names, top, whole, mean = shared.value.judge(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), *map(pa.array, (top, whole, mean))], names=["lang", "top", "whole", "mean"])
 

@@ -6,6 +6,8 @@ from collections.abc import Callable, Hashable, Iterator, Sequence
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 
 def runs(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -34,6 +36,13 @@ def groups_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def text_slices(batches: Iterator[pa.Array], most: int = 1_000_000) -> Iterator[pa.Array]:
+    """The batches of texts in parts of a bounded number of bytes, so that only one part's values are held as Python objects."""
+    for batch in batches:
+        for start, end in groups_of(pa.compute.binary_length(batch).fill_null(0).to_pylist(), most):
+            yield batch.slice(start, end - start)
+
+
 def flattened(found: list[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     """The runs one after the other, and the length of each."""
     count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
