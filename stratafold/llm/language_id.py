@@ -247,7 +247,7 @@ def keep_fluent(docs: DataFrame, learns: Column, sds: float = 6.0, buckets: int
     """
     judged, learn, mean, sd, lang = unused_names(docs, "judged", "learn", "mean", "sd", "lang")
     train = docs.where(F.coalesce(learns, F.lit(False)))
-    found = staged(judge_languages(docs.withColumn(learn, F.coalesce(learns, F.lit(False))), train, buckets, judged), "judged")
+    found = staged(judge_languages(docs.withColumn(learn, F.coalesce(learns, F.lit(False))), train, buckets, judged), "judged", batch_rows=1_000)
     own = F.col(judged)
     usual = found.where(F.col(learn) & (own["lang"] == F.col("lang"))).groupBy(own["lang"].alias(lang)).agg(F.avg(own["mean"]).alias(mean), F.stddev_pop(own["mean"]).alias(sd))
     near = found.where(own["lang"] != UNKNOWN).join(usual, F.col(lang) == own["lang"], "left")

@@ -20,11 +20,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors, is computed once.
+
+    With ``batch_rows`` Python functions in its plan get batches of so many rows at most, which bounds what long texts take in memory.
+    """
+    spark, path, setting = df.sparkSession, scratch(df.sparkSession, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if batch_rows is not None:
+        spark.conf.set(setting, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_of(column: str = "text") -> Column:
