@@ -52,22 +52,27 @@ def r(expression: str, digits: int = 6) -> str:
     return f"(round({expression}, {digits}) + 0.0)"
 
 
-def hash_sql(key: list[str], seed: int = 42) -> str:
+def hash_sql(key: list[str], seed: int | str = 42) -> str:
     """SQL for the reproducible random order of folds."""
     return f"md5('{seed}' || " + " || ".join(f"coalesce(length(CAST({k} AS VARCHAR)) || ':' || {k}, '-')" for k in key) + ")"
 
 
 def fold_sql(source: str, key: list[str], label: str, k: int = 3, seed: int = 42) -> str:
-    """SQL for the stratified folds of a table or subquery: rank() less one counts the rows of smaller classes."""
-    return f"""SELECT *, CAST((row_number() OVER (PARTITION BY {label} ORDER BY {hash_sql(key, seed)}, {", ".join(key)}) - 1
-        + rank() OVER (ORDER BY {label} NULLS FIRST) - 1) % {k} AS INTEGER) AS fold FROM {source}"""
+    """SQL for the stratified folds of a table or subquery: each class in k runs of its order, whose sizes differ by one at most.
+
+    rank() less one counts the rows of the classes before, in hash order of the class.
+    """
+    return f"""SELECT * EXCLUDE (f_r, f_n, f_s), CAST((f_s + CASE WHEN f_r < (f_n % {k}) * (f_n // {k} + 1) THEN f_r // (f_n // {k} + 1)
+        ELSE f_n % {k} + (f_r - (f_n % {k}) * (f_n // {k} + 1)) // (f_n // {k}) END) % {k} AS INTEGER) AS fold
+      FROM (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY {hash_sql(key, seed)}, {", ".join(key)}) - 1 AS f_r,
+        count(*) OVER (PARTITION BY {label}) AS f_n, rank() OVER (ORDER BY {hash_sql([label], 'class')}) - 1 AS f_s FROM {source})"""
 
 
 def holdout_sql(source: str, key: list[str], label: str, fraction: float = 0.2) -> str:
     """SQL for the stratified hold-out: every row with part 'test' or 'train'."""
     return f"""SELECT * EXCLUDE (h_n, h_take, h_label, t, wanted, quota), CASE WHEN row_number() OVER (PARTITION BY {label} ORDER BY {hash_sql(key)}, {", ".join(key)}) <= h_take THEN 'test' ELSE 'train' END AS part
       FROM {source} AS src JOIN (
-        SELECT *, CASE WHEN h_n < 2 THEN 0 ELSE least(floor(quota) + CASE WHEN row_number() OVER (ORDER BY quota - floor(quota) DESC, h_label NULLS FIRST) <= wanted - sum(floor(quota)) OVER () THEN 1 ELSE 0 END, h_n - 1) END AS h_take
+        SELECT *, CASE WHEN h_n < 2 THEN 0 ELSE least(floor(quota) + CASE WHEN row_number() OVER (ORDER BY h_n < 2, quota - floor(quota) DESC, h_n, {hash_sql(['h_label'], 'class')}) <= wanted - sum(floor(quota)) OVER () THEN 1 ELSE 0 END, h_n - 1) END AS h_take
         FROM (SELECT *, CASE WHEN t = 0 THEN 0.0::DOUBLE ELSE wanted * (CASE WHEN h_n > 1 THEN h_n ELSE 0 END)::DOUBLE / t END AS quota FROM (
           SELECT *, ceil({fraction}::DOUBLE * t) AS wanted FROM (
             SELECT *, sum(CASE WHEN h_n > 1 THEN h_n ELSE 0 END) OVER ()::DOUBLE AS t FROM (SELECT {label} AS h_label, count(*) AS h_n FROM {source} GROUP BY 1))))

@@ -76,12 +76,14 @@ def weighted_soft_vote_long(spark, sf_dir):
 
 
 @CHECKS.add(
-    f"""SELECT {LK}, CAST(CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END AS INTEGER) AS prediction
-        FROM (SELECT {LK}, {', '.join(f'{e} AS c{i}' for i, e in enumerate(_M1))} FROM lineitem)"""
+    " UNION ALL ".join(
+        f"""SELECT {LK}, '{name}' AS model, CAST(CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END AS INTEGER) AS prediction
+        FROM (SELECT {LK}, {', '.join(f'{e} AS c{i}' for i, e in enumerate(model))} FROM lineitem)"""
+        for name, model in (("m1", _M1), ("m2", _M2))
+    )
 )
 def argmax_class(spark, sf_dir):
-    probs = _long_probs(spark, sf_dir).where(F.col("model") == "m1")
-    return v.argmax_class(probs, LINE_KEY)
+    return v.argmax_class(_long_probs(spark, sf_dir), [*LINE_KEY, "model"])
 
 
 _MODE = "CASE WHEN p1 = p2 OR p1 = p3 THEN p1 WHEN p2 = p3 THEN p2 ELSE least(p1, p2, p3) END"

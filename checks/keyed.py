@@ -6,6 +6,7 @@ from stratafold.operators import keyed as k
 from stratafold.operators.aggregates import class_counts
 from stratafold.operators.folds import stratified_kfold
 from stratafold.operators.knn import knn_join
+from stratafold.operators.vector_index import build_index, search_index, visited_share
 
 from .base import FEATURES, LINE_KEY, LK, Checks, fold_sql, r, rounded, table
 
@@ -90,15 +91,38 @@ def bind_columns(spark, sf_dir):
     f"""WITH d AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, p.label AS point_label,
           sqrt(list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i:
             (q.embedding[i]::DOUBLE - p.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - p.embedding[i]::DOUBLE)))) AS distance
-          FROM embeddings q, embeddings p WHERE q.label <> p.label),
-        n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, point_id) AS rank FROM d WHERE query_id IN
-          (SELECT vec_id FROM embeddings WHERE label = 3))
+          FROM embeddings q, embeddings p WHERE q.label % 2 <> p.label % 2),
+        n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, point_id) AS rank FROM d)
         SELECT query_id, point_id, point_label, {r('distance')} AS distance, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 5"""
 )
 def knn_join_labels(spark, sf_dir):
-    """The five nearest vectors of other labels for every vector of one label."""
+    """The five nearest vectors of even label for those of odd label, and the other way round."""
     vectors = table(spark, sf_dir, "embeddings")
-    queries = vectors.where(F.col("label") == 3).select(F.col("vec_id").alias("query_id"), "embedding")
-    points = vectors.where(F.col("label") != 3).select(F.col("vec_id").alias("point_id"), F.col("label").alias("point_label"), "embedding")
-    found = knn_join(queries, points, 5, "embedding", ["query_id"], "point_id", ["point_label"])
-    return found.withColumn("distance", rounded("distance"))
+    found = []
+    for own in (0, 1):
+        queries = vectors.where(F.col("label") % 2 == own).select(F.col("vec_id").alias("query_id"), "embedding")
+        points = vectors.where(F.col("label") % 2 != own).select(F.col("vec_id").alias("point_id"), F.col("label").alias("point_label"), "embedding")
+        found.append(knn_join(queries, points, 5, "embedding", ["query_id"], "point_id", ["point_label"]))
+    return found[0].unionByName(found[1]).withColumn("distance", rounded("distance"))
+
+
+@CHECKS.add(
+    """WITH d AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i:
+          (q.embedding[i]::DOUBLE - p.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - p.embedding[i]::DOUBLE))) AS d2 FROM embeddings q, embeddings p),
+        n AS (SELECT query_id, count(*) AS n_found FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d2, point_id) <= 10) GROUP BY query_id)
+      SELECT count(*) AS n_queries, CAST(sum(n_found) AS BIGINT) AS n_pairs, true AS recall_reached, true AS few_visited FROM n"""
+)
+def knn_index_recall(spark, sf_dir):
+    """Every vector searched for in the inverted index of all; the ten found are compared with the exact ten."""
+    vectors = table(spark, sf_dir, "embeddings")
+    points = vectors.select(F.col("vec_id").alias("point_id"), "embedding")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    index = build_index(points, "point_id", "embedding", centres=32)
+    found = search_index(index, queries, ["query_id"], 10, probes=10)
+    exact = knn_join(queries, points, 10, "embedding", ["query_id"], "point_id").select("query_id", "point_id", F.lit(1).alias("exact"))
+    both = found.join(exact, ["query_id", "point_id"], "left")
+    few = visited_share(index, queries, probes=10) < 0.6
+    return both.agg(
+        F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_pairs"),
+        (F.count("exact") >= 0.9 * F.count("*")).alias("recall_reached"), F.lit(few).alias("few_visited"),
+    )

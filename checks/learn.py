@@ -9,9 +9,10 @@ from pyspark.sql import Window, functions as F
 
 from stratafold.operators.aggregates import accuracy, cv_score
 from stratafold.operators.bayes import nb_out_of_fold
-from stratafold.operators.folds import stratified_holdout, stratified_kfold
+from stratafold.operators.folds import balanced_weights, stratified_holdout, stratified_kfold
 from stratafold.operators.knn import knn_out_of_fold
 from stratafold.plans import learners as m
+from stratafold.plans.boosting import softmax_boosted
 from stratafold.session import checkpoint_dir
 
 from .base import FEATURES, FOLDS, LINE_KEY, LK, Checks, fold_sql, holdout_sql, r, rounded, table
@@ -62,14 +63,14 @@ _NB_TARGET = nb_sql(fold_sql(_TARGET_TABLE, LINE_KEY, "target"), "target", _TARG
 @CHECKS.add(f"WITH {_NB_FLAG} SELECT {LK}, fold, l_returnflag, prediction FROM pr")
 def naive_bayes_out_of_fold(spark, sf_dir):
     """Every row's class as seen by the model of the other folds."""
-    preds = nb_out_of_fold(folded_lines(spark, sf_dir), "l_returnflag", FEATURES, FOLDS)
+    preds = nb_out_of_fold(folded_lines(spark, sf_dir), "l_returnflag", FEATURES, FOLDS, ["A", "N", "R"])
     return preds.select(*LINE_KEY, "fold", "l_returnflag", "prediction")
 
 
 @CHECKS.add(f"WITH {_NB_FLAG} SELECT {r('avg(a)')} AS score FROM (SELECT avg(CASE WHEN l_returnflag = prediction THEN 1.0 ELSE 0.0 END) AS a FROM pr GROUP BY fold)")
 def naive_bayes_cv_score(spark, sf_dir):
     """Mean accuracy over three stratified folds, from scan to score in one plan."""
-    preds = nb_out_of_fold(folded_lines(spark, sf_dir), "l_returnflag", FEATURES, FOLDS)
+    preds = nb_out_of_fold(folded_lines(spark, sf_dir), "l_returnflag", FEATURES, FOLDS, ["A", "N", "R"])
     return cv_score(preds, "l_returnflag", "prediction").withColumn("score", rounded("score"))
 
 
@@ -85,13 +86,13 @@ _BUYERS = "(SELECT o_orderkey, o_custkey, o_totalprice, o_orderkey % 100 + o_cus
 
 @CHECKS.add(
     f"""WITH f AS ({fold_sql(_BUYERS, ['o_orderkey'], 'o_custkey')}), {nb_sql('SELECT * FROM f', 'o_custkey', ['near', 'o_totalprice'], ['o_orderkey'])[len('f AS (SELECT * FROM f), '):]}
-      SELECT fold, count(*) AS n, count(DISTINCT prediction) > 1000 AS many FROM pr GROUP BY fold"""
+      SELECT o_orderkey, fold, o_custkey, prediction FROM pr"""
 )
 def naive_bayes_many_classes(spark, sf_dir):
-    """Every customer is a class."""
+    """Every customer is a class; rows are scored against blocks of similar classes that can still win."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", (F.col("o_orderkey") % 100 + F.col("o_custkey") / 10.0).alias("near"))
-    preds = nb_out_of_fold(stratified_kfold(orders, ["o_orderkey"], "o_custkey"), "o_custkey", ["near", "o_totalprice"], FOLDS)
-    return preds.groupBy("fold").agg(F.count("*").alias("n"), (F.countDistinct("prediction") > 1000).alias("many"))
+    folded = stratified_kfold(orders, ["o_orderkey"], "o_custkey")
+    return nb_out_of_fold(folded, "o_custkey", ["near", "o_totalprice"], FOLDS, key=["o_orderkey"]).select("o_orderkey", "fold", "o_custkey", "prediction")
 
 
 _EMB = fold_sql("embeddings", ["vec_id"], "label")
@@ -185,6 +186,73 @@ def boosted_trees_stop_on_fold(spark, sf_dir):
     return _cross_validated(folded_target(spark, sf_dir), learner, stops=True)
 
 
+_EDGES = {"l_quantity": [10.0, 20.0, 30.0, 40.0], "l_extendedprice": [20000.0, 40000.0, 60000.0], "unit_price": [1000.0, 1100.0, 1200.0, 1400.0]}
+_BINS = ", ".join(f"len(list_filter({edges}, lambda e: {c} > e)) + 1 AS b{i}" for i, (c, edges) in enumerate(_EDGES.items()))
+
+
+def _split_sql(rows, name):
+    """CTEs that end in ``name``(k, node, f, bin, gain): the best split of each node of ``rows``(k, node, b0.., g, h)."""
+    strength = lambda g, h: f"({g})::DOUBLE / 4194304 * (({g})::DOUBLE / 4194304) / (({h})::DOUBLE / 4194304 + 1.0)"
+    upto, whole = "PARTITION BY k, node, f ORDER BY bin", "PARTITION BY k, node, f"
+    return f"""{name}_cells AS (SELECT k, node, f, bin, sum(g) AS g, sum(h) AS h, count(*) AS n
+        FROM (SELECT k, node, unnest([0, 1, 2]) AS f, unnest([b0, b1, b2]) AS bin, g, h FROM {rows}) GROUP BY ALL),
+      {name}_sums AS (SELECT k, node, f, bin, {', '.join(f'sum({c}) OVER ({upto}) AS {c}, sum({c}) OVER ({whole}) AS {c}_all' for c in 'ghn')} FROM {name}_cells),
+      {name} AS (SELECT * FROM (SELECT k, node, f, bin, 0.5::DOUBLE * ({strength('g', 'h')} + {strength('g_all - g', 'h_all - h')} - {strength('g_all', 'h_all')}) AS gain
+        FROM {name}_sums WHERE n >= 20 AND n_all - n >= 20) WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY k, node ORDER BY gain DESC, f, bin) = 1)"""
+
+
+_SIDE = "CASE WHEN list_extract([b0, b1, b2], (f + 1)::BIGINT) > bin THEN 'R' ELSE 'L' END"
+
+
+@CHECKS.add(
+    f"""WITH t AS (SELECT target, {_BINS} FROM {_TARGET_TABLE}),
+      r0 AS (SELECT k, '' AS node, b0, b1, b2, CAST(round((1 / 3::DOUBLE - (target = k)::INTEGER) * 4194304) AS BIGINT) AS g, CAST(round(2 / 9::DOUBLE * 4194304) AS BIGINT) AS h
+        FROM t, (SELECT unnest([1, 2, 3]) AS k)),
+      {_split_sql('r0', 's0')},
+      r1 AS (SELECT r0.* REPLACE ({_SIDE} AS node) FROM r0 JOIN s0 USING (k)),
+      {_split_sql('r1', 's1')},
+      leaves AS (SELECT k, CASE WHEN f IS NULL THEN node ELSE node || {_SIDE} END AS path, g, h FROM r1 LEFT JOIN s1 USING (k, node))
+      SELECT leaf.k AS class, path, s0.f AS f0, s0.bin AS cut0, s1.f AS f1, s1.bin AS cut1, {r('-0.3::DOUBLE * sum(g)::DOUBLE / (sum(h)::DOUBLE + 4194304)')} AS value
+      FROM leaves leaf JOIN s0 ON s0.k = leaf.k LEFT JOIN s1 ON s1.k = leaf.k AND s1.node = substr(path, 1, 1)
+      GROUP BY ALL"""
+)
+def boosted_softmax_first_trees(spark, sf_dir):
+    """The first round's tree of each class, four leaves at depth two: splits and leaf values."""
+    fit = softmax_boosted(_TARGET_FEATURES, "target", _CLASSES, rounds=1, rate=0.3, leaves=4, depth=2, edges=[_EDGES[c] for c in _TARGET_FEATURES])
+    rows = []
+    for k, tree in zip(_CLASSES, fit(target_lines(spark, sf_dir)).model.rounds[0]):
+        waiting = [(0, "", ())]
+        while waiting:
+            node, path, splits = waiting.pop()
+            if tree.left[node]:
+                own = (*splits, tree.feature[node], tree.cut[node])
+                waiting += [(tree.left[node], path + "L", own), (tree.left[node] + 1, path + "R", own)]
+            else:
+                rows.append((k, path, *(*splits, None, None)[:4], tree.value[node]))
+    found = spark.createDataFrame(rows, "class int, path string, f0 int, cut0 long, f1 int, cut1 long, value double")
+    return found.withColumn("value", rounded("value"))
+
+
+def _softmax(**params):
+    return softmax_boosted(_TARGET_FEATURES, "target", _CLASSES, rate=0.5, key=LINE_KEY, **params)
+
+
+@CHECKS.add(_CV_SQL)
+def boosted_softmax_cv(spark, sf_dir):
+    """Joint softmax boosting with row and column samples and balanced classes."""
+
+    def learner(train):
+        return _softmax(rounds=3, leaves=6, subsample=0.8, features=0.7, weight="weight")(balanced_weights(train, "target"))
+
+    return _cross_validated(folded_target(spark, sf_dir), learner)
+
+
+@CHECKS.add(_CV_SQL)
+def boosted_softmax_stop_on_fold(spark, sf_dir):
+    """Rounds stop on the joint log loss of the fold that is held out."""
+    return _cross_validated(folded_target(spark, sf_dir), _softmax(rounds=4, leaves=6, patience=1), stops=True)
+
+
 @CHECKS.add(_CV_SQL)
 def logistic_regression_cv(spark, sf_dir):
     """On columns scaled by the training rows of each fold."""

@@ -53,6 +53,13 @@ def ablation_scores(spark, sf_dir):
     return scores.withColumn("score", rounded("score"))
 
 
+@CHECKS.add(" UNION ALL ".join(f"SELECT '{v}' AS variant, {_nb_score_sql(cols)} AS score" for v, cols in _VARIANTS.items()))
+def ablation_scores_one_scan(spark, sf_dir):
+    """The same variants from one fit and one pass over the rows."""
+    scores = x.nb_ablation_scores(folded_lines(spark, sf_dir), "l_returnflag", _VARIANTS, ["A", "N", "R"], FOLDS)
+    return scores.withColumn("score", rounded("score"))
+
+
 @CHECKS.add(f"WITH {_effects_sql()} SELECT variant, score, effect FROM e")
 def ablation_effects(spark, sf_dir):
     return _effects(spark, sf_dir)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..bounded import local_if_small
@@ -192,97 +197,132 @@ def null_inf_profile(df: DataFrame, cols: list[str]) -> DataFrame:
 
 # --- exact medians ---------------------------------------------------------------------------
 
-MAX_HISTOGRAM = 50_000
-_SKETCH = 10_000  # rank error of the quantile sketch is one part in this many
-_GRID = sorted({i / 64 for i in range(65)} | {0.4996, 0.5004})
+_DIGIT = 16  # bits of a key that one pass decides
+_RANKS = "column int, prefix long, digit int, n long"
 
 
-def exact_medians(df: DataFrame, values: dict[str, Column], max_histogram: int = MAX_HISTOGRAM) -> dict[str, float | None]:
-    """Exact median of each named double expression (NULLs skipped), whatever the number of rows.
+def _ordered_keys(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers in the order of the doubles; -0.0 is 0.0."""
+    bits = (values + 0.0).view(np.uint64)
+    negative = bits >> np.uint64(63) == 1
+    return np.where(negative, ~bits, bits | np.uint64(1 << 63))
 
-    A single median aggregate keeps every distinct value in one task. Here mergeable quantile
-    sketches narrow an interval around the middle ranks, all columns in the same pass, until at most
-    about ``max_histogram`` distinct values lie in it; those are counted and the middle ranks looked
-    up. Counts are exact in every pass, so the sketch error only affects how fast it narrows.
-    """
-    span: dict[str, tuple[float | None, float | None]] = {c: (None, None) for c in values}
-    found: dict[str, tuple[int, int, int]] = {}  # rank of the lower and upper middle inside the span, rows below
-    out: dict[str, float | None] = {}
-    open_cols = list(values)
-    while open_cols:
-        aggs = []
-        for c in open_cols:
-            x, inside = values[c], _inside(values[c], *span[c])
-            aggs.append(
-                F.struct(
-                    F.count(x).alias("n"),
-                    F.count_if(x < F.lit(span[c][0]) if span[c][0] is not None else F.lit(False)).alias("below"),
-                    F.count(inside).alias("n_in"),
-                    F.approx_count_distinct(inside).alias("distinct"),
-                    F.percentile_approx(inside, F.array(*[F.lit(g) for g in _GRID]), F.lit(_SKETCH)).alias("grid"),
-                ).alias(c)
-            )
-        row = df.agg(*aggs).first()
-        still = []
-        for c in open_cols:
-            s = row[c]
-            if s["n"] == 0:
-                out[c] = None
-                continue
-            low, high = (s["n"] - 1) // 2 - s["below"], s["n"] // 2 - s["below"]
-            if not 0 <= low <= high < s["n_in"]:
-                raise ArithmeticError(f"column {c!r} changed between two passes over it")
-            narrowed = _narrow(s["grid"], low / s["n_in"], (high + 1) / s["n_in"], span[c])
-            if s["distinct"] <= max_histogram or narrowed == span[c]:
-                found[c] = (low, high, s["below"])
-            else:
-                span[c] = narrowed
-                still.append(c)
-        open_cols = still
-    if found:
-        out.update(_middle(df, {c: _inside(values[c], *span[c]) for c in found}, found))
-    return out
 
+def _value_of(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else ~key & (1 << 64) - 1
+    return float(np.array([bits], dtype=np.uint64).view(np.float64)[0])
 
-def _inside(x: Column, low: float | None, high: float | None) -> Column:
-    return x if low is None else F.when(x.between(F.lit(low), F.lit(high)), x)
 
+def _digit_counts(table: DataFrame, level: int, prefixes: list[list[int]]) -> DataFrame:
+    """(column, prefix, digit, n): how often each digit of the level follows the prefixes, of all columns in one pass; a task sends what it has seen."""
+    shift = np.uint64(64 - _DIGIT * (level + 1))
 
-def _narrow(grid: list[float], low: float, high: float, span: tuple) -> tuple[float, float]:
-    margin = 2 / _SKETCH
-    start = [v for g, v in zip(_GRID, grid) if g <= low - margin]
-    end = [v for g, v in zip(_GRID, grid) if g >= high + margin]
-    first = grid[0] if span[0] is None else span[0]
-    last = grid[-1] if span[1] is None else span[1]
-    if span[0] is None and (not start or not end):
-        return span
-    return (start[-1] if start else first, end[0] if end else last)
+    def count(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for c, own in enumerate(prefixes):
+                x = batch.column(c).drop_null().to_numpy(zero_copy_only=False)
+                keys = _ordered_keys(x[~np.isnan(x)])
+                for prefix in own:
+                    mine = keys if level == 0 else keys[keys >> (shift + np.uint64(_DIGIT)) == np.uint64(prefix)]
+                    digits = (mine >> shift & np.uint64((1 << _DIGIT) - 1)).astype(np.int64)
+                    found = np.bincount(digits, minlength=1 << _DIGIT)
+                    sums[c, prefix] = sums[c, prefix] + found if (c, prefix) in sums else found
+        for (c, prefix), n in sums.items():
+            (at,) = np.nonzero(n)
+            signed = prefix - (1 << 64) if prefix >> 63 else prefix
+            columns = [pa.array(np.full(len(at), c), pa.int32()), pa.array(np.full(len(at), signed), pa.int64()), pa.array(at, pa.int32()), pa.array(n[at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["column", "prefix", "digit", "n"])
 
+    return table.mapInArrow(count, _RANKS).groupBy("column", "prefix", "digit").agg(F.sum("n").alias("n"))
 
-def _middle(df: DataFrame, inside: dict[str, Column], found: dict[str, tuple[int, int, int]]) -> dict[str, float]:
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), x.alias("x")) for c, x in inside.items()])
-    counts = (
-        df.select(F.inline(F.filter(pairs, lambda p: p["x"].isNotNull())))
-        .groupBy("column", "x")
-        .agg(F.count("*").alias("n"))
-    )
-    upto = Window.partitionBy("column").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("end", F.sum("n").over(upto)).withColumn("start", F.col("end") - F.col("n"))
-
-    def target(i: int) -> Column:
-        out = F.lit(None).cast("long")
-        for c, ranks in found.items():
-            out = F.when(F.col("column") == c, F.lit(ranks[i])).otherwise(out)
-        return out
-
-    hit_low = (F.col("start") <= target(0)) & (target(0) < F.col("end"))
-    hit_high = (F.col("start") <= target(1)) & (target(1) < F.col("end"))
-    rows = (
-        ranked.groupBy("column")
-        .agg(F.max(F.when(hit_low, F.col("x"))).alias("low"), F.max(F.when(hit_high, F.col("x"))).alias("high"))
-        .collect()
-    )
-    return {r["column"]: r["low"] if r["low"] == r["high"] else (r["low"] + r["high"]) / 2 for r in rows}
+
+def exact_ranks(df: DataFrame, values: list[Column], ranks: Callable[[int, int, int, int], list[int]]) -> tuple[list[list[float]], list[tuple[int, int, int, int]]]:
+    """Exact values at given ranks (from 0) of several double columns, whatever the number of rows: at most four passes in all.
+
+    A radix selection: a pass counts 16 bits of the values' order-preserving keys, for all columns at once; a rank's digit is where the running sum
+    of the counts passes it, and the next pass counts only values with the digits found so far. A task holds 65,536 counts for each
+    prefix. ``ranks`` gives a column's ranks from its numbers of present values, of -inf, of +inf and of missing values (NULL or NaN), which are returned too.
+    """
+    table = df.select(*[x.cast("double").alias(f"v{i}") for i, x in enumerate(values)])
+    total = None
+    targets: list[list[tuple[int, int]]] = []  # for each column and rank: the prefix, and the rank among values that have it
+    for level in range(64 // _DIGIT):
+        prefixes = [[0]] * len(values) if level == 0 else [sorted({p for p, _ in own}) for own in targets]
+        counts = _digit_counts(table, level, prefixes).persist()
+        try:
+            if level == 0:
+                low, high = (int(_ordered_keys(np.array([v]))[0]) >> 64 - _DIGIT for v in (-math.inf, math.inf))
+                ends = [F.sum(F.when(F.col("digit") == d, F.col("n")).otherwise(0)).alias(name) for d, name in ((low, "low"), (high, "high"))]
+                sums = {r["column"]: r for r in counts.groupBy("column").agg(F.sum("n").alias("n"), *ends).collect()}
+                total = df.count() if total is None else total
+                facts = [(s["n"], s["low"], s["high"], total - s["n"]) if (s := sums.get(c)) else (0, 0, 0, total) for c in range(len(values))]
+                targets = [[(0, r) for r in ranks(*f)] for f in facts]
+            wanted = [(c, p - (1 << 64) if p >> 63 else p, i, r) for c, own in enumerate(targets) for i, (p, r) in enumerate(own)]
+            if not wanted:
+                break
+            before = Window.partitionBy("column", "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 rows at most
+            running = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+            asked = df.sparkSession.createDataFrame(wanted, "column int, prefix long, i int, rank long")
+            inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+            found = running.join(F.broadcast(asked), ["column", "prefix"]).where(inside).select("column", "i", "digit", "before").collect()  # a row for each rank
+            if len(found) != len(wanted):
+                raise ArithmeticError("the table changed between two passes over it")
+            for f in found:
+                p, r = targets[f["column"]][f["i"]]
+                targets[f["column"]][f["i"]] = (p << _DIGIT | f["digit"], r - f["before"])
+        finally:
+            counts.unpersist()
+    return [[_value_of(p) for p, _ in own] for own in targets], facts
+
+
+def _middle_ranks(n: int, *_: int) -> list[int]:
+    return [(n - 1) // 2, n // 2] if n else []
+
+
+def midpoint(low: float, high: float) -> float:
+    return low if low == high else (low + high) / 2
+
+
+def exact_medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float | None]:
+    """Exact median of each named double expression (NULL and NaN skipped), None without a value."""
+    if not values:
+        return {}
+    found, _ = exact_ranks(df, list(values.values()), _middle_ranks)
+    return {c: midpoint(*own) if own else None for c, own in zip(values, found)}
+
+
+def medians_of_filled(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple[float | None, float | None]]:
+    """For each column its median, and the median of its finite values once missing ones are filled with the first; both from the same passes.
+
+    The second is a value whose rank is shifted by the filled ones or not, or the first median itself; both candidates are looked up.
+    """
+
+    def ranks(n: int, low: int, high: int, missing: int) -> list[int]:
+        inner = n - low - high + missing  # finite values, if the first median is finite
+        outer = n - low - high
+        places = [r + low for total in {inner, outer} for r in _middle_ranks(total)]
+        return _middle_ranks(n) + sorted({min(max(p, low), n - high - 1) for place in places for p in (place, place - missing)}) if n > low + high else _middle_ranks(n)
+
+    found, facts = exact_ranks(df, list(values.values()), ranks)
+    out: dict[str, tuple[float | None, float | None]] = {}
+    for (c, own), (n, low, high, missing) in zip(zip(values, found), facts):
+        if not n:
+            out[c] = (None, None)
+            continue
+        first = midpoint(*own[:2])
+        known = dict(zip(ranks(n, low, high, missing)[2:], own[2:]))
+        filled = missing if math.isfinite(first) else 0
+
+        def at(rank: int, low=low, high=high, n=n, known=known, first=first, filled=filled) -> float:
+            plain, moved = (known.get(min(max(rank + low - k, low), n - high - 1)) for k in (0, filled))
+            if rank + low < n - high and plain is not None and plain <= first:
+                return plain
+            return moved if rank + low - filled >= low and moved is not None and moved > first else first
+
+        size = n - low - high + filled
+        out[c] = (first, midpoint(*map(at, _middle_ranks(size))) if size else None)
+    return out
 
 
 def column_median(df: DataFrame, cols: list[str]) -> DataFrame:

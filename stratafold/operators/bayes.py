@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import argmax, decode, num
+from ..session import checkpoint_dir
 from .aggregates import grouped_stats, held_out_parts, merge_stats
 
 VARIANCE_FLOOR = 1e-9  # share of the largest feature variance added to every variance
-BLOCK_CLASSES = 1024  # classes in a row of the model when the caller lists none
+BLOCK_CLASSES = 1024  # classes in a row of the model, at most about, when the caller lists none
+SLICES, SLICE_CLASSES = 32, 32  # slices of each of two columns at most, and classes of a block they aim at
 
 
 def fit_gaussian_nb(
@@ -29,14 +31,27 @@ def fit_gaussian_nb(
 
 
 def fit_gaussian_nb_blocks(df: DataFrame, label: str, cols: list[str], fold: str, folds: list[int]) -> DataFrame:
-    """The model of all classes of the table, as rows (fold, block, model) of about ``BLOCK_CLASSES`` classes each.
+    """The model of all classes of the table, as rows (fold, block, model) of similar classes.
 
-    Classes are dealt to as many blocks as their number asks for, by hash, so that no row or task holds all of them.
+    Classes are cut into slices by quantiles of their means in the first two columns, as many as their number asks for, and the classes of
+    one slice of each, and of similar variances, are a block; a block of more than ``BLOCK_CLASSES`` is dealt on by hash, so that no row or task holds all classes.
     """
     listed = F.col(label).isNotNull()
     per_label = _per_label(df, label, cols, listed, fold, folds, distributed=True)
-    blocks = per_label.groupBy("_held").agg(F.ceil(F.count("*") / BLOCK_CLASSES).alias("_blocks"))
-    dealt = per_label.join(blocks, "_held").withColumn("block", F.pmod(F.xxhash64(label), "_blocks"))
+    sliced = [F.col("_cols")[i]["mean"] for i in range(min(2, len(cols)))]
+    steps = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    edges = [F.percentile_approx(m, steps).alias(f"_edges{i}") for i, m in enumerate(sliced)]
+    sizes = per_label.groupBy("_held").agg(F.count("*").alias("_classes"), *edges)
+    wide = F.least(F.lit(float(SLICES)), F.ceil(F.pow(F.col("_classes") / SLICE_CLASSES, 1.0 / len(sliced))))
+
+    def slice_of(edges: str, mean: Column) -> Column:
+        return F.floor(F.size(F.filter(edges, lambda e: e < mean)) * wide / SLICES)
+
+    at = [slice_of(f"_edges{i}", m) for i, m in enumerate(sliced)]
+    deal = F.pmod(F.xxhash64(label), F.ceil(F.col("_classes") / (wide * wide * BLOCK_CLASSES)).cast("long"))
+    # classes of very different variances have bounds that tell little together: their scales agree within a factor of sixteen
+    alike = [F.floor(F.log2(F.col("_cols")[i]["scale"]) / 4) for i in range(min(2, len(cols)))]
+    dealt = per_label.join(sizes, "_held").withColumn("block", F.xxhash64(*at, *alike, deal))
     return dealt.groupBy(F.col("_held").alias(fold), "block").agg(_in_order(label, listed))
 
 
@@ -55,8 +70,21 @@ def _spread_by_joins(numbers: DataFrame) -> DataFrame:
     return numbers.join(means.select(*key, "_total"), key).join(floors, "_held")
 
 
-def _per_label(df: DataFrame, label: str, cols: list[str], listed: Column, fold: str | None, folds: list[int], distributed: bool = False) -> DataFrame:
-    """(_held, label, const, _cols), one row for each class of each held-out fold."""
+def _spread_by_windows(numbers: DataFrame, within: list[str]) -> DataFrame:
+    """The same for few classes, in one shuffle; ``within`` are the columns that tell models apart."""
+    column, whole = Window.partitionBy(*within, "at"), Window.partitionBy(*within)
+    n_all = F.sum("n").over(column)
+    off = F.col("mean") - F.col("_mean")
+    return (
+        numbers.withColumn("_mean", F.sum(F.col("n") * F.col("mean")).over(column) / n_all)
+        .withColumn("_spread", F.sum(F.col("m2") + F.col("n") * off * off).over(column) / n_all)
+        .withColumn("_total", F.sum("rows").over(column))
+        .withColumn("_floor", F.lit(VARIANCE_FLOOR) * F.max("_spread").over(whole))
+    )
+
+
+def _numbers(df: DataFrame, label: str, cols: list[str], listed: Column, fold: str | None, folds: list[int]) -> DataFrame:
+    """(_held, label, at, rows, n, mean, m2): one row for each class and column of each held-out fold."""
     if fold:
         parts = held_out_parts(grouped_stats(df, cols, [fold, label]), [label], folds, fold)
     else:
@@ -64,28 +92,26 @@ def _per_label(df: DataFrame, label: str, cols: list[str], listed: Column, fold:
         parts = whole.select(label, "rows", F.inline("stats")).withColumn("_held", F.lit(0))
     per_class = merge_stats(parts, ["_held", label, "at"])
     numbers = [F.when(listed, F.col(c)).alias(c) for c in ("rows", "n", "mean", "m2")]
-    numbered = per_class.select("_held", label, "at", *numbers)
-    if distributed:
-        spread = _spread_by_joins(numbered)
-    else:  # few classes: windows keep the plan to one shuffle
-        column, whole_fold = Window.partitionBy("_held", "at"), Window.partitionBy("_held")
-        n_all = F.sum("n").over(column)
-        off = F.col("mean") - F.col("_mean")
-        spread = (
-            numbered.withColumn("_mean", F.sum(F.col("n") * F.col("mean")).over(column) / n_all)
-            .withColumn("_spread", F.sum(F.col("m2") + F.col("n") * off * off).over(column) / n_all)
-            .withColumn("_total", F.sum("rows").over(column))
-            .withColumn("_floor", F.lit(VARIANCE_FLOOR) * F.max("_spread").over(whole_fold))
-        )
+    return per_class.select("_held", label, "at", *numbers)
+
+
+def _densities(spread: DataFrame, key: list[str]) -> DataFrame:
+    """(key, const, _cols): what the log density of a class needs."""
     fitted = spread.withColumn("_var", F.col("m2") / F.col("n") + F.col("_floor"))
     entry = F.struct("at", "mean", (F.lit(0.5) / F.col("_var")).alias("scale"))
     prior = F.log(F.max("rows") / F.max("_total"))
-    return fitted.groupBy("_held", label).agg(
+    return fitted.groupBy(*key).agg(
         (prior - 0.5 * F.sum(F.log(F.lit(2 * math.pi) * F.col("_var")))).alias("const"),
         F.sort_array(F.collect_list(entry)).alias("_cols"),
     )
 
 
+def _per_label(df: DataFrame, label: str, cols: list[str], listed: Column, fold: str | None, folds: list[int], distributed: bool = False) -> DataFrame:
+    """(_held, label, const, _cols), one row for each class of each held-out fold."""
+    numbers = _numbers(df, label, cols, listed, fold, folds)
+    return _densities(_spread_by_joins(numbers) if distributed else _spread_by_windows(numbers, ["_held"]), ["_held", label])
+
+
 def _score(m: Column, cols: list[str]) -> Column:
     terms = [(num(x) - m["mean"][j]) * (num(x) - m["mean"][j]) * m["scale"][j] for j, x in enumerate(cols)]
     return F.coalesce(m["const"] - sum(terms[1:], terms[0]), F.lit(float("-inf")))
@@ -119,32 +145,116 @@ def nb_probabilities(scores: str = "scores") -> Column:
     return F.transform(shifted, lambda x: x / total)
 
 
-def predict_gaussian_nb_blocks(df: DataFrame, blocks: DataFrame, cols: list[str], fold: str, out: str = "prediction") -> DataFrame:
-    """Add the class of the largest score, lowest on ties, from a model in blocks.
+def _bounds(blocks: DataFrame, cols: list[str], fold: str) -> DataFrame:
+    """For each fold, its blocks with what bounds their scores: the largest constant, and for each column the range of means and the least scale."""
+
+    def over(part: str, pick, j: int) -> Column:
+        return pick(F.transform("model", lambda m: m[part][j])).alias(f"{part}{j}")
+
+    ranges = [F.struct(over("mean", F.array_min, j).alias("low"), over("mean", F.array_max, j).alias("high"), over("scale", F.array_min, j).alias("scale")) for j in range(len(cols))]
+    one = F.struct("block", F.array_max(F.transform("model", lambda m: m["const"])).alias("const"), F.size("model").alias("classes"), F.array(*ranges).alias("ranges"))
+    return blocks.groupBy(fold).agg(F.collect_list(one).alias("_bounds"))
 
-    A row meets every block of its fold, and the best class of each block is found in place; of these the least
-    (-score, class) remains, which combines before the shuffle. Rows that agree in all columns are scored once and repeated.
+
+def _upper(bound: Column, cols: list[str]) -> Column:
+    """No class of the block scores more: a row's distance to a mean is at least its distance to the range of means."""
+    terms = []
+    for j, x in enumerate(cols):
+        r = bound["ranges"][j]
+        off = F.greatest(r["low"] - num(x), num(x) - r["high"], F.lit(0.0))
+        terms.append(off * off * r["scale"])
+    upper = bound["const"] - sum(terms[1:], terms[0])
+    return F.coalesce(upper + 1e-9 * (1 + F.abs(upper)), F.lit(float("inf")))
+
+
+def predict_gaussian_nb_blocks(df: DataFrame, blocks: DataFrame, cols: list[str], fold: str, key: list[str], out: str = "prediction", visits: str | None = None) -> DataFrame:
+    """Add the class of the largest score, lowest on ties, from a model in blocks, by branch and bound.
+
+    Every row meets the block that promises most; then those whose bound is not below the score it found. Only (key, cost, class)
+    goes through the shuffle that takes the best, and joins the rows by ``key``, which must identify them. The bounds are one row a
+    fold, of at most ``SLICES`` squared blocks for every ``BLOCK_CLASSES`` classes of each. ``visits`` names a column for the number of classes a row was scored against.
     """
-    rows = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
-    met = rows.join(blocks.withColumnRenamed("model", "_model"), [fold], "left")
-    scored = met.withColumn("_scores", F.transform("_model", lambda m: _score(m, cols)))
-    best = F.struct((-F.array_max("_scores")).alias("cost"), F.get("_model", argmax("_scores"))["class"].alias("class"))
-    scored = scored.withColumn("_one", F.when(F.size("_scores") > 0, best))
-    kept = scored.groupBy(*df.columns, "_copies").agg(F.min("_one").alias("_best"))
-    whole = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).withColumn(out, F.col("_best.class"))
-    return whole.select(*df.columns, out)
+    id_ = F.struct(fold, *key)
+    narrow = df.select(id_.alias("_id"), fold, *[c for c in cols if c not in (fold,)])
+    met = narrow.join(_bounds(blocks, cols, fold), [fold]).withColumn("_promises", F.transform("_bounds", lambda b: F.struct(_upper(b, cols).alias("upper"), b["block"].alias("block"))))
+    start = met.withColumn("block", F.array_max("_promises")["block"]).select("_id", fold, *cols, "_promises", "block")
+    model = blocks.withColumnRenamed("model", "_model")
+
+    def best(rows: DataFrame) -> DataFrame:
+        scored = rows.join(model, [fold, "block"]).withColumn("_scores", F.transform("_model", lambda m: _score(m, cols)))
+        one = F.struct((-F.array_max("_scores")).alias("cost"), F.get("_model", argmax("_scores"))["class"].alias("class"))
+        return scored.withColumn("_one", one).withColumn("_seen", F.size("_model").cast("long"))
+
+    first = best(start)
+    left = F.transform(F.filter("_promises", lambda p: (p["upper"] >= -F.col("_one.cost")) & (p["block"] != F.col("block"))), lambda p: p["block"])
+    tried = first.select("_id", fold, *cols, "_one", "_seen", left.alias("_left"))
+    more = best(tried.select("_id", fold, *cols, F.explode("_left").alias("block")))
+    found = tried.select("_id", "_one", "_seen").union(more.select("_id", "_one", "_seen"))
+    kept = found.groupBy("_id").agg(F.min("_one").alias("_best"), F.sum("_seen").alias("_visits"))
+    joined = df.withColumn("_id", id_).join(kept, "_id", "left")
+    return joined.select(*df.columns, F.col("_best.class").alias(out), *([F.coalesce("_visits", F.lit(0)).alias(visits)] if visits else []))
 
 
 def nb_out_of_fold(
-    df: DataFrame, label: str, cols: list[str], folds: list[int], classes: list | None = None, fold: str = "fold"
+    df: DataFrame, label: str, cols: list[str], folds: list[int], classes: list | None = None, fold: str = "fold", key: list[str] | None = None, visits: str | None = None
 ) -> DataFrame:
     """Out-of-fold predictions of every validation row, all folds in one plan.
 
-    With ``classes`` there are ``scores`` too. Without, the classes may be any number: the model comes in blocks, and only
-    the best class of a row is kept.
+    With ``classes`` there are ``scores`` too. Without, the classes may be any number: the model comes in blocks, only the
+    best class of a row is kept, and ``key`` must name the columns that identify a row.
     """
     if classes is None:
-        model = fit_gaussian_nb_blocks(df, label, cols, fold, folds)
-        return predict_gaussian_nb_blocks(df.where(F.col(fold).isNotNull()), model, cols, fold)
+        if not key:
+            raise ValueError("key is needed where the classes are not listed")
+        checkpoint_dir(df.sparkSession)
+        model = fit_gaussian_nb_blocks(df, label, cols, fold, folds).checkpoint()  # read for the bounds and for both rounds
+        return predict_gaussian_nb_blocks(df.where(F.col(fold).isNotNull()), model, cols, fold, key, visits=visits)
     model = fit_gaussian_nb(df, label, cols, classes, fold, folds)
     return predict_gaussian_nb(df.where(F.col(fold).isNotNull()), model, cols, classes, fold)
+
+
+def nb_variant_hits(df: DataFrame, label: str, variants: dict[str, list[str]], classes: list, folds: list[int], fold: str = "fold") -> DataFrame:
+    """(variant, fold, accuracy) of naive Bayes on several choices of columns, from one fit and one scoring pass.
+
+    Statistics of all columns are taken once, by fold and class. A variant picks its columns among them, and only its constants and
+    the floor of its variances are its own. A row's squared distance to a class is taken once for each column; each variant weighs and adds
+    those of its columns. Rows without a label are not right.
+    """
+    names = list(variants)
+    cols = list(dict.fromkeys(c for own in variants.values() for c in own))
+    if not all(variants.values()):
+        raise ValueError("a variant has no columns")
+    listed = F.col(label).isin(list(classes))
+    numbers = _numbers(df, label, cols, listed, fold, folds).where(listed)
+    uses = F.array(*[F.struct(F.lit(v).alias("variant"), F.array(*[F.lit(cols.index(c)) for c in variants[name]]).alias("own")) for v, name in enumerate(names)])
+    chosen = numbers.select("*", F.inline(uses)).where(F.array_contains("own", F.col("at"))).drop("own")
+    models = _densities(_spread_by_windows(chosen, ["_held", "variant"]), ["_held", "variant", label])
+    scale = F.map_from_entries(F.transform("_cols", lambda c: F.struct(c["at"], c["scale"])))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(len(cols) - 1)), lambda j: F.coalesce(F.try_element_at(scale, j), F.lit(0.0)))
+    per_class = models.groupBy("_held", label).agg(
+        F.sort_array(F.collect_list(F.struct("variant", "const", weights.alias("weights")))).alias("variants"),
+        F.map_from_entries(F.array_distinct(F.flatten(F.collect_list(F.transform("_cols", lambda c: F.struct(c["at"], c["mean"])))))).alias("_means"),
+    )
+    means = F.transform(F.sequence(F.lit(0), F.lit(len(cols) - 1)), lambda j: F.try_element_at("_means", j))
+    one = F.struct(F.col(label).alias("class"), means.alias("mean"), "variants")
+    model = per_class.groupBy(F.col("_held").alias(fold)).agg(F.sort_array(F.collect_list(one)).alias("_model"))
+    scored = df.where(F.col(fold).isNotNull()).join(model, [fold])
+
+    def distances(m: Column) -> Column:
+        return F.array(*[(num(x) - m["mean"][j]) * (num(x) - m["mean"][j]) for j, x in enumerate(cols)])
+
+    far = scored.withColumn("_far", F.transform("_model", distances))
+
+    def scores(v: int, places: list[int]) -> Column:
+        def score(m: Column, k: Column) -> Column:
+            terms = [F.get(F.col("_far"), k)[j] * m["variants"][v]["weights"][j] for j in places]
+            return F.coalesce(m["variants"][v]["const"] - sum(terms[1:], terms[0]), F.lit(float("-inf")))
+
+        return F.transform("_model", score)
+
+    right = []
+    for v, name in enumerate(names):
+        best = F.get("_model", argmax(scores(v, [cols.index(c) for c in variants[name]])))["class"]
+        right.append(F.avg(F.coalesce(best == F.col(label), F.lit(False)).cast("double")).alias(f"v{v}"))
+    found = far.groupBy(fold).agg(*right)
+    return found.select(fold, F.inline(F.array(*[F.struct(F.lit(n).alias("variant"), F.col(f"v{v}").alias("accuracy")) for v, n in enumerate(names)]))).select("variant", fold, "accuracy")

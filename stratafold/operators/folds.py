@@ -1,13 +1,13 @@
-"""Stratified folds and hold-outs: exact ranks inside a class without one task per class."""
+"""Stratified folds and hold-outs: exact cut points and ranks inside a class, without one task per class."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..bounded import join_small, local_if_small
+from ..session import checkpoint_dir
 
 
 def hash_order(key: list[str], seed: int | Column) -> Column:
@@ -45,35 +45,96 @@ def with_group_rank(
     return local.join(offsets, parts).withColumn(rank, F.col("_local") + F.col("_before")).select(*df.columns, rank, *extra)
 
 
-def _hash_digits(df: DataFrame) -> int:
-    """Leading hex digits to bucket by: at least four buckets per shuffle partition."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(6, max(1, math.ceil(math.log(4 * partitions, 16))))
+SLICE_DIGITS = 3  # hex digits of the order by which a search for cut points narrows at a time: 4,096 slices of a group
+SLICE_ROWS = 500_000  # rows of one slice that a task may sort; larger slices are cut into finer ones first
 
 
-def _ranked(df: DataFrame, key: list[str], group: list[str], seed: int | Column, per_group: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    hashed = df.withColumn("_hash", hash_order(key, seed))
-    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, _hash_digits(df)))
-    return with_group_rank(hashed, group, [F.col("_hash"), *map(F.col, key)], "_bucket", per_group=per_group).drop("_hash", "_bucket")
+def running_total(df: DataFrame, within: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows that come before, in hash order of the columns ``order``, for tables of any size.
+
+    Two levels: rows are added up inside 256 ranges of the hash, and the ranges' totals are added up in turn, so that no
+    window holds all rows. ``within`` are the columns each sum starts anew for.
+    """
+    hashed = df.withColumns({"_h": hash_order(order, "class"), "_within": F.struct(F.lit(0), *within)})
+    ranged = hashed.withColumn("_range", F.substring("_h", 1, 2))
+    totals = ranged.groupBy("_within", "_range").agg(F.sum(value).alias("_total"))
+    before = Window.partitionBy("_within").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = totals.select("_within", "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_within", "_range").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return local.join(starts, ["_within", "_range"]).withColumn(out, F.col("_start") + F.col("_local")).select(*df.columns, out)
+
+
+def _cut(df: DataFrame, key: list[str], group: list[str], seed: int | Column, per_group: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Add ``_passed``, how many cut points of its group lie at or before a row in hash order, and what ``per_group`` adds.
+
+    ``per_group`` gets one row for each group (its columns and ``size``) and adds ``_ranks``, the ranks (from 0) of the rows that are cut points.
+    These rows are found by counting: rows are counted by group and slice of the hash, the slices the ranks fall in
+    are counted by finer slices while they are large, and only what is left is sorted. The table itself is read, never shuffled: at last each
+    row is compared with the cut points of its group, a small table that is fetched and broadcast (joined, if there are very many groups).
+    """
+    hashed = df.withColumns({"_hash": hash_order(key, seed), "_in_group": F.struct(*group)})
+    narrow = hashed.select("_in_group", F.struct("_hash", *key).alias("_place"))
+    checkpoint_dir(df.sparkSession)
+    digits = SLICE_DIGITS
+
+    def counted(rows: DataFrame, digits: int) -> DataFrame:
+        return rows.groupBy("_in_group", F.substring("_place._hash", 1, digits).alias("_slice")).agg(F.count("*").alias("_n")).checkpoint()
+
+    counts = counted(narrow, digits)
+    groups = counts.groupBy("_in_group").agg(F.sum("_n").alias("size")).select("_in_group", "_in_group.*", "size")
+    added = local_if_small(per_group(groups).drop(*group, "size"))
+    wanted = added.select("_in_group", F.posexplode("_ranks").alias("_i", "_rank"))
+
+    def located(counts: DataFrame, wanted: DataFrame, within: list[str]) -> DataFrame:
+        """The slice of each wanted rank, and its rank in there."""
+        before = Window.partitionBy(*within).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows at most
+        starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+        found = starts.join(wanted, within).where(inside)
+        return local_if_small(found.select("_in_group", "_slice", "_i", (F.col("_rank") - F.col("_before")).alias("_rank"), "_n"))
+
+    places = located(counts, wanted, ["_in_group"])
+    while (places.agg(F.max("_n")).first()[0] or 0) > SLICE_ROWS and digits < 30:
+        digits, coarse = digits + SLICE_DIGITS, digits
+        near = _near(narrow, places, coarse)
+        finer = counted(near, digits).withColumn("_coarse", F.substring("_slice", 1, coarse))
+        places = located(finer, places.select("_in_group", F.col("_slice").alias("_coarse"), "_i", "_rank"), ["_in_group", "_coarse"])
+    ranked = _near(narrow, places, digits).withColumn("_at", F.row_number().over(Window.partitionBy("_in_group", "_slice").orderBy("_place")) - 1)
+    cuts = ranked.join(places.select("_in_group", "_slice", F.col("_rank").alias("_at")), ["_in_group", "_slice", "_at"])
+    per = added.drop("_ranks").join(cuts.groupBy("_in_group").agg(F.collect_list("_place").alias("_cuts")), "_in_group", "left")
+    near = join_small(hashed, per, ["_in_group"])
+    passed = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c <= F.struct("_hash", *key)))
+    extra = [c for c in per.columns if c not in ("_in_group", "_cuts")]
+    return near.withColumn("_passed", passed).select(*df.columns, "_passed", *extra)
+
+
+def _near(narrow: DataFrame, places: DataFrame, digits: int) -> DataFrame:
+    """Rows of the slices that hold a cut point."""
+    sliced = narrow.withColumn("_slice", F.substring("_place._hash", 1, digits))
+    return join_small(sliced, places.select("_in_group", "_slice").distinct(), ["_in_group", "_slice"])
 
 
 def _dealt(df: DataFrame, key: list[str], label: str, seed: int | Column, k: int, fold: str, within: list[str]) -> DataFrame:
-    """Classes one after the other, each dealt on from the fold where the one before has ended."""
-    smaller = Window.partitionBy(*within).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)  # one row per class
+    """Each class in k runs of its hash order, the first in the fold where the class before has ended."""
 
     def start(groups: DataFrame) -> DataFrame:
-        return groups.withColumn("_start", F.coalesce(F.sum("size").over(smaller), F.lit(0)))
+        share, more = F.floor(F.col("size") / k), F.col("size") % k
+        ranks = F.array(*[share * i + F.least(F.lit(i).cast("long"), more) for i in range(1, k)])
+        real = F.filter(ranks, lambda r: r < F.col("size"))
+        return running_total(groups, within, [label], F.col("size"), "_start").withColumn("_ranks", F.array_distinct(real))
 
-    ranked = _ranked(df, key, [*within, label], seed, start)
-    return ranked.withColumn(fold, F.pmod(F.col("_start") + F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_start")
+    cut = _cut(df, key, [*within, label], seed, start)
+    return cut.withColumn(fold, F.pmod(F.col("_start") + F.col("_passed"), F.lit(k)).cast("int")).drop("_passed", "_start")
 
 
 def stratified_kfold(
     df: DataFrame, key: list[str], label: str, k: int = 3, seed: int = 42, fold: str = "fold"
 ) -> DataFrame:
-    """Add ``fold`` in 0..k-1: rows of a class in hash order, dealt to the folds in turn.
+    """Add ``fold`` in 0..k-1: the rows of a class in hash order, cut into k runs.
 
-    ``key`` must identify rows. Fold sizes differ by at most one inside every class, and in total. NULL is a class.
+    ``key`` must identify rows. The cut points are found when this is called; the fold is then a comparison with
+    them, and no row moves. Fold sizes differ by at most one inside every class, and in total. NULL is a class.
     """
     return _dealt(df, key, label, seed, k, fold, [])
 
@@ -98,25 +159,27 @@ def stratified_holdout(
 ) -> DataFrame:
     """Add ``part``: 'test' for ceil(fraction * n) rows, shared among the classes in proportion, else 'train'.
 
-    A class gets the whole part of its share; what is left goes to the largest remainders (ties: to the lowest
-    class), one row each. The first rows of a class in hash order are its test rows. At least one row of every class
-    trains, so that a class of one row is not counted in n and never tested.
+    A class gets the whole part of its share; what is left goes to the largest remainders (ties: to the smaller
+    class, then in hash order of the class), one row each. The first rows of a class in hash order are its test rows. At least one
+    row of every class trains, so that a class of one row is not counted in n and never tested.
     """
 
     def share(groups: DataFrame) -> DataFrame:
-        size = F.when(F.col("size") > 1, F.col("size")).otherwise(0)
-        everywhere = Window.partitionBy()  # one row per class
-        total = F.sum(size).over(everywhere)
+        # classes of one size have one quota: what is shared out is worked out for the sizes, of which a table of n rows has at most sqrt(2 n)
+        sizes = groups.where("size > 1").groupBy("size").agg(F.count("*").alias("_classes"))
+        everywhere = Window.partitionBy()
+        total = F.sum(F.col("size") * F.col("_classes")).over(everywhere)
         wanted = F.ceil(F.lit(float(fraction)) * total)
-        quota = F.when(total > 0, wanted.cast("double") * size / total).otherwise(0.0)
-        shared = groups.withColumns({"_wanted": wanted, "_quota": quota})
-        by_rest = Window.orderBy(F.desc(F.col("_quota") - F.floor("_quota")), F.asc_nulls_first(label))
-        more = (F.row_number().over(by_rest) <= F.col("_wanted") - F.sum(F.floor("_quota")).over(everywhere)).cast("int")
-        take = F.when(F.col("size") > 1, F.least(F.floor("_quota") + more, F.col("size") - 1)).otherwise(0)
-        return shared.withColumn("_take", take).drop("_wanted", "_quota")
-
-    ranked = _ranked(df, key, [label], seed, share)
-    return ranked.withColumn(part, F.when(F.col("_rank") <= F.col("_take"), "test").otherwise("train")).drop("_rank", "_take")
+        shared = sizes.withColumns({"_wanted": wanted, "_quota": wanted.cast("double") * F.col("size") / total})
+        before = Window.orderBy(F.desc(F.col("_quota") - F.floor("_quota")), "size").rowsBetween(Window.unboundedPreceding, -1)
+        left = F.col("_wanted") - F.sum(F.floor("_quota") * F.col("_classes")).over(everywhere) - F.coalesce(F.sum("_classes").over(before), F.lit(0))
+        more = shared.select("size", F.floor("_quota").alias("_whole"), left.alias("_more"))
+        ranked = running_total(groups, ["size"], [label], F.lit(1), "_nth").join(more, "size", "left")
+        take = F.least(F.col("_whole") + (F.col("_nth") < F.col("_more")).cast("int"), F.col("size") - 1)
+        return ranked.withColumn("_ranks", F.array(F.coalesce(take, F.lit(0)).cast("long"))).drop("_nth", "_whole", "_more")
+
+    cut = _cut(df, key, [label], seed, share)
+    return cut.withColumn(part, F.when(F.col("_passed") == 0, "test").otherwise("train")).drop("_passed")
 
 
 def class_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:

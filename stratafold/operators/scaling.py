@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import is_finite, is_infinite, num, present
-from .aggregates import exact_medians, grouped_stats, held_out_parts, merge_stats, profile_array
+from .aggregates import grouped_stats, held_out_parts, medians_of_filled, merge_stats, profile_array
 
 _STATS = "_stats"
 
@@ -109,15 +109,12 @@ def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     Two steps in that order: the first median counts infinities as values, the second counts the
     filled-in ones.
     """
-    seen = dict(zip(cols, df.agg(profile_array(cols)).first()[0]))
-    lacking = [c for c in cols if seen[c]["n_missing"]]
-    first = exact_medians(df, {c: present(c) for c in lacking})
-    filled = {c: F.coalesce(present(c), F.lit(first[c]).cast("double")) if c in first else num(c) for c in cols}
-    endless = [c for c in cols if seen[c]["n_infinite"]]
-    finite_values = {c: F.when(is_finite(filled[c]), filled[c]) for c in endless}
-    second = exact_medians(df, finite_values)
-    for c in endless:
-        filled[c] = F.coalesce(finite_values[c], F.lit(second[c]).cast("double"))
+    medians = medians_of_filled(df, {c: num(c) for c in cols})
+    filled = {}
+    for c in cols:
+        first, second = (F.lit(m).cast("double") for m in medians[c])
+        whole = F.coalesce(present(c), first)
+        filled[c] = F.coalesce(F.when(is_finite(whole), whole), second)
     return df.withColumns(filled)
 
 

@@ -82,7 +82,7 @@ def numpy_nb(train, test):
 
 def test_naive_bayes_matches_numpy_per_fold(blobs):
     folded = stratified_kfold(blobs, ["id"], "y")
-    got = {r["id"]: r["prediction"] for r in nb.nb_out_of_fold(folded, "y", COLS, [0, 1, 2]).collect()}
+    got = {r["id"]: r["prediction"] for r in nb.nb_out_of_fold(folded, "y", COLS, [0, 1, 2], key=["id"]).collect()}
     data = np.array([tuple(r) for r in folded.select("id", "y", *COLS, "fold").collect()])
     for fold in range(3):
         train, test = data[data[:, -1] != fold][:, :-1], data[data[:, -1] == fold][:, :-1]
@@ -95,17 +95,44 @@ def test_naive_bayes_of_all_classes_has_no_row_that_holds_them_all(spark, monkey
     monkeypatch.setattr(nb, "BLOCK_CLASSES", 8, raising=False)
     rows = [(i, i % 50, i % 3, float(i % 50 + i % 7 / 10), float(i * 37 % 11)) for i in range(600)]
     df = spark.createDataFrame(rows + rows[:5] + [(900, 3, 7, 1.0, 1.0)], "id int, y int, fold int, a double, b double")
-    got = nb.nb_out_of_fold(df, "y", ["a", "b"], [0, 1, 2])
+    got = nb.nb_out_of_fold(df, "y", ["a", "b"], [0, 1, 2], key=["id"], visits="seen")
     want = nb.nb_out_of_fold(df, "y", ["a", "b"], [0, 1, 2], classes=list(range(50)))
     assert sorted(map(tuple, got.where("id < 900").select("id", "prediction").collect())) == sorted(map(tuple, want.where("id < 900").select("id", "prediction").collect()))
     assert [r.prediction for r in got.where("id = 900").collect()] == [None]  # its fold has no model
     model = nb.fit_gaussian_nb_blocks(df, "y", ["a", "b"], "fold", [0, 1, 2])
     assert sum(len(r.model) for r in model.collect()) == 150 and max(len(r.model) for r in model.collect()) < 30
+    with pytest.raises(ValueError):
+        nb.nb_out_of_fold(df, "y", ["a", "b"], [0, 1, 2])
+
+
+def test_naive_bayes_visits_few_classes(spark):
+    """Three hundred classes side by side: rows are scored against the few blocks whose bound still reaches them."""
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 300, i // 300 % 2, float(i % 300 + rng.standard_normal() * 0.2), float(i % 10 + rng.standard_normal() * 0.2)) for i in range(6000)]
+    odd = [(9000, 5, 0, None, 1.0), (9001, 5, 0, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows + odd, "id int, y int, fold int, a double, b double")
+    got = {r.id: (r.prediction, r.seen) for r in nb.nb_out_of_fold(df, "y", ["a", "b"], [0, 1], key=["id"], visits="seen").collect()}
+    want = {r.id: r.prediction for r in nb.nb_out_of_fold(df, "y", ["a", "b"], [0, 1], classes=list(range(300))).collect()}
+    assert {i: p for i, (p, _) in got.items() if i != 9000} == {i: p for i, p in want.items() if i != 9000}
+    assert got[9000][0] == 0  # no class has a score: the lowest
+    assert sum(s for _, s in got.values()) < 0.3 * len(rows) * 300
+
+
+def test_variants_from_one_pass_equal_their_own_fits(blobs):
+    folded = stratified_kfold(blobs, ["id"], "y")
+    variants = {"all": COLS, "first": COLS[:1], "rest": COLS[1:]}
+    got = {(r.variant, r.fold): r.accuracy for r in nb.nb_variant_hits(folded, "y", variants, [1, 2, 4], [0, 1, 2]).collect()}
+    for name, cols in variants.items():
+        preds = nb.nb_out_of_fold(folded, "y", cols, [0, 1, 2], classes=[1, 2, 4])
+        for r in preds.groupBy("fold").agg(F.avg((F.col("y") == F.col("prediction")).cast("double")).alias("a")).collect():
+            assert got[name, r.fold] == pytest.approx(r.a)
+    text = nb.nb_variant_hits(folded, "y", variants, [1, 2, 4], [0, 1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Scan") - text.count("LocalTableScan") == 2  # one to fit, one to score
 
 
 def test_naive_bayes_class_absent_from_a_fold(spark):
     df = spark.createDataFrame([(1, 0, 0, 0.0), (2, 0, 1, 0.1), (3, 1, 0, 5.0), (4, 1, 1, 5.1), (5, 7, 0, 9.0)], "id int, y int, fold int, x double")
-    got = {r["id"]: r["prediction"] for r in nb.nb_out_of_fold(df, "y", ["x"], [0, 1]).collect()}
+    got = {r["id"]: r["prediction"] for r in nb.nb_out_of_fold(df, "y", ["x"], [0, 1], key=["id"]).collect()}
     assert got[5] != 7 and got[1] == 0 and got[3] == 1  # fold 0 is trained without class 7
 
 

@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import Window, functions as F
 
+from stratafold import bounded
 from stratafold.operators import aggregates as a
 from stratafold.operators import folds as f
 from stratafold.operators import rare as ra
@@ -51,21 +52,47 @@ def test_profile(spark):
     assert rows(a.null_inf_profile(df, ["x", "e"])) == [("e", 0, 6, None, None), ("x", 2, 2, -3.0, 1.0)]
 
 
-def test_medians_whatever_the_histogram_bound(spark):
+def test_medians_equal_pandas(spark):
     rng = random.Random(3)
     data = [(rng.gauss(0, 1), float(rng.randint(0, 3)), 5.0, None if i % 3 else rng.random(), None) for i in range(20_001)]
     df = spark.createDataFrame(data, "g double, few double, one double, holes double, none double").repartition(4)
     pdf = pd.DataFrame(data, columns=["g", "few", "one", "holes", "none"]).astype(float)
     want = pdf.median()
-    for bound in (50, 500, 10**6):
-        got = a.exact_medians(df, {c: F.col(c) for c in df.columns}, max_histogram=bound)
-        assert got["none"] is None
-        assert all(got[c] == want[c] for c in ("g", "few", "one", "holes")), (bound, got)
+    got = a.exact_medians(df, {c: F.col(c) for c in df.columns})
+    assert got["none"] is None
+    assert all(got[c] == want[c] for c in ("g", "few", "one", "holes")), got
+
+
+def test_keys_are_in_the_order_of_the_values():
+    values = np.array([-INF, -1e300, -2.0, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.5, 1e300, INF])
+    keys = a._ordered_keys(values)
+    assert (np.diff(keys.astype(object)) >= 0).all() and keys[5] == keys[6] and len(set(keys.tolist())) == len(values) - 1
+    assert [a._value_of(int(k)) for k in keys] == values.tolist()
+
+
+def test_medians_of_filled_columns_equal_two_steps(spark):
+    rng = random.Random(4)
+    for n, odd in ((1, [INF]), (2, [INF, None]), (5, [INF, -INF, None, NAN, None]), (40, [INF] * 30), (41, [None] * 60), (30, [INF, -INF, NAN] * 8), (0, [None, INF]), (0, [None])):
+        data = [float(rng.randint(-3, 3)) for _ in range(n)] + odd
+        (got,) = a.medians_of_filled(spark.createDataFrame([(x,) for x in data], "x double"), {"x": F.col("x")}).values()
+        s = pd.Series(data, dtype=float)
+        first = s.median()
+        second = s.fillna(first).replace([INF, -INF], NAN).median()
+        assert [x if x is not None else NAN for x in got] == pytest.approx([first, second], nan_ok=True), (data, got)
+
+
+def test_both_medians_take_four_passes(spark, monkeypatch):
+    passes = []
+    plain = a._digit_counts
+    monkeypatch.setattr(a, "_digit_counts", lambda *args: passes.append(args[1]) or plain(*args))
+    df = spark.createDataFrame([(rng, None if rng % 3 else 1.0) for rng in map(float, range(50))], "x double, y double")
+    a.medians_of_filled(df, {"x": F.col("x"), "y": F.col("y")})
+    assert passes == [0, 1, 2, 3]
 
 
 def test_median_of_even_count_is_the_midpoint(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 2, 10, 20]], "x double")
-    assert a.exact_medians(df, {"x": F.col("x")}, max_histogram=1) == {"x": 6.0}
+    assert a.exact_medians(df, {"x": F.col("x")}) == {"x": 6.0}
     inf = spark.createDataFrame([(INF,), (INF,), (1.0,)], "x double")
     assert a.exact_medians(inf, {"x": F.col("x")}) == {"x": INF}
 
@@ -87,11 +114,43 @@ def test_folds_partition_and_balance(skewed):
     folded.unpersist()
 
 
+def plain_folds(df, k=3, seed=42):
+    """Each class in hash order in k runs, the first in the fold where the classes before, in hash order, have ended."""
+    table = sorted((r.h, r.c, r.id, r.y) for r in df.select("id", "y", f.hash_order(["id"], seed).alias("h"), f.hash_order(["y"], "class").alias("c")).collect())
+    out, start = [], 0
+    for c in sorted({c for _, c, _, _ in table}):
+        own = [(i, y) for _, d, i, y in table if d == c]
+        sizes = [len(own) // k + (i < len(own) % k) for i in range(k)]
+        folds = [(start + i) % k for i in range(k) for _ in range(sizes[i])]
+        out += [(i, y, fold) for (i, y), fold in zip(own, folds)]
+        start += len(own)
+    return sorted(out, key=repr)
+
+
 def test_folds_equal_the_plain_window(skewed):
-    plain = Window.partitionBy("y").orderBy(f.hash_order(["id"], 42))
-    smaller = F.rank().over(Window.orderBy("y")) - 1
-    want = skewed.withColumn("fold", ((smaller + F.row_number().over(plain) - 1) % 3).cast("int"))
-    assert rows(f.stratified_kfold(skewed, ["id"], "y")) == rows(want)
+    assert rows(f.stratified_kfold(skewed, ["id"], "y")) == plain_folds(skewed)
+    assert rows(f.stratified_kfold(skewed, ["id"], "y", k=7, seed=1)) == plain_folds(skewed, 7, 1)
+
+
+def test_cut_points_narrow_by_slices(skewed, monkeypatch):
+    monkeypatch.setattr(f, "SLICE_DIGITS", 1)
+    monkeypatch.setattr(f, "SLICE_ROWS", 10)
+    assert rows(f.stratified_kfold(skewed, ["id"], "y", k=5)) == plain_folds(skewed, 5)
+
+
+def test_folds_of_more_classes_than_are_fetched(skewed, monkeypatch):
+    for module in (f, bounded):
+        monkeypatch.setattr(module, "join_small", lambda big, small, on, how="inner": big.join(small, on, how))
+    monkeypatch.setattr(f, "local_if_small", lambda df: df)
+    assert rows(f.stratified_kfold(skewed, ["id"], "y")) == plain_folds(skewed)
+    assert f.stratified_kfold(skewed.limit(0), ["id"], "y").collect() == []
+
+
+def test_running_total_equals_plain_window(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.concat(F.lit("c"), "id").alias("c"), (F.col("id") % 11).alias("n"))
+    plain = Window.partitionBy("g").orderBy(f.hash_order(["c"], "class")).rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("before", F.coalesce(F.sum("n").over(plain), F.lit(0)))
+    assert rows(f.running_total(df, ["g"], ["c"], F.col("n"), "before")) == rows(want)
 
 
 def test_seeds_change_folds_and_null_labels_stay(spark, skewed):
