@@ -117,11 +117,11 @@ def knn_index_recall(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     points = vectors.select(F.col("vec_id").alias("point_id"), "embedding")
     queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
-    index = build_index(points, "point_id", "embedding", centres=32)
-    found = search_index(index, queries, ["query_id"], 10, probes=10)
+    index = build_index(points, "point_id", "embedding", centres=64)
+    found = search_index(index, queries, ["query_id"], 10, probes=36)
     exact = knn_join(queries, points, 10, "embedding", ["query_id"], "point_id").select("query_id", "point_id", F.lit(1).alias("exact"))
     both = found.join(exact, ["query_id", "point_id"], "left")
-    few = visited_share(index, queries, probes=10) < 0.6
+    few = visited_share(index, queries, probes=36) < 0.7
     return both.agg(
         F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_pairs"),
         (F.count("exact") >= 0.9 * F.count("*")).alias("recall_reached"), F.lit(few).alias("few_visited"),

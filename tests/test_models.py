@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from stratafold.operators import bayes as nb
+from stratafold.operators import vector_index as vi
 from stratafold.operators import voting as v
 from stratafold.operators.folds import stratified_holdout, stratified_kfold
 from stratafold.operators.knn import knn_classify, knn_join, knn_out_of_fold
@@ -307,3 +308,23 @@ def test_facts_of_the_learner_queries_notice_broken_learners(spark):
     assert judge([(*r[:1], [0.1, 0.1, 0.7], *r[2:]) for r in good]).off_sums == 6
     wrong = judge([(*r[:2], 1, *r[3:]) for r in good])
     assert (wrong.off_labels, wrong.off_soft, wrong.off_hard) == (6, 6, 6)
+
+
+# --- inverted index of vectors ---
+
+
+def test_index_with_all_probes_is_exact_and_few_probes_find_most(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 8)) * 6
+    vectors = [(i, (centres[i % 12] + rng.standard_normal(8)).tolist()) for i in range(900)] + [(5_000 + i, [0.0] * 8) for i in range(30)] + [(6_000, None)]
+    points = spark.createDataFrame(vectors, "id long, vec array<double>").repartition(3)
+    queries = points.where("id % 9 = 0").select(F.col("id").alias("q"), "vec")
+    exact = knn_join(queries, points, 5, "vec", ["q"], "id").select("q", "id", "rank")
+    index = vi.build_index(points, "id", "vec", centres=24)
+    whole = vi.search_index(index, queries, ["q"], 5, probes=24, block_rows=50).select("q", "id", "rank")
+    assert rows(whole) == rows(exact)
+    near = {(r.q, r.id) for r in vi.search_index(index, queries, ["q"], 5, probes=4).collect()}
+    want = {(r.q, r.id) for r in exact.collect()}
+    assert len(near & want) >= 0.9 * len(want) and vi.visited_share(index, queries, probes=4) < 0.4
+    none = vi.build_index(points.limit(0), "id", "vec")
+    assert vi.search_index(none, queries, ["q"], 5).collect() == [] and vi.search_index(index, queries.limit(0), ["q"], 5).collect() == []

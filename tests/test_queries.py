@@ -12,7 +12,7 @@ from checks import all_queries, all_sql
 from tools.compare import TABLES, compare
 
 SF = "/root/testdata/sf0.01"
-ARROW = {"knn_join_labels", "knn_out_of_fold_k7"}
+ARROW = {"knn_join_labels", "knn_out_of_fold_k7", "knn_index_recall"}
 SLOW = ("random_", "boosted_", "logistic_", "voting_", "seed_ensemble", "grid_search", "repeated_cv_forest", "final_fit")
 
 
