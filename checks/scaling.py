@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from stratafold.functions.builders import sparse_cross
 from stratafold.operators import scaling as s
 from stratafold.operators.projection import tag_split, untag
 
@@ -146,3 +147,26 @@ def assemble_features(spark, sf_dir):
     packed = s.assemble_array(_lines(spark, sf_dir), FEATURES)
     total = F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x)
     return packed.select(*LINE_KEY, rounded(total, 4).alias("total"), F.size("features").alias("width"))
+
+
+_FLAGS = ["A", "N", "R"]
+
+
+@CHECKS.add(
+    f"""SELECT {LK}, CAST(2 + {len(_FLAGS) * 2} AS INTEGER) AS width,
+          array_to_string([CAST(0 AS INTEGER)] || CASE WHEN l_discount <> 0 THEN [CAST(1 AS INTEGER)] ELSE [] END ||
+          [CAST(2 + 2 * (list_position({_FLAGS}, l_returnflag) - 1) + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS INTEGER)], ',') AS places, {r('l_quantity + l_discount + l_quantity', 4)} AS total
+        FROM lineitem"""
+)
+def assemble_sparse(spark, sf_dir):
+    """Two columns and a cross of flags with status, weighted by quantity, as one sparse vector."""
+    flags = [F.when(F.col("l_returnflag") == f, F.col("l_quantity")).otherwise(0.0).alias(f"flag_{f}") for f in _FLAGS]
+    states = [(F.col("l_linestatus") == t).cast("double").alias(f"state_{t}") for t in ("F", "O")]
+    lines = table(spark, sf_dir, "lineitem").select(*LINE_KEY, "l_quantity", "l_discount", *flags, *states)
+    crossed = lines.withColumn("cross", sparse_cross([f"flag_{f}" for f in _FLAGS], ["state_F", "state_O"]))
+    packed = s.assemble_sparse(crossed, ["l_quantity", "l_discount"], ["cross"])
+    # seen through the vector's own text: (size,[indices],[values])
+    text = F.col("features").cast("string")
+    places = F.regexp_extract(text, r",\[([0-9,]*)\],", 1)
+    total = F.aggregate(F.split(F.regexp_extract(text, r",\[([^\]]*)\]\)$", 1), ",").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x)
+    return packed.select(*LINE_KEY, F.regexp_extract(text, r"^\(([0-9]+),", 1).cast("int").alias("width"), places.alias("places"), rounded(total, 4).alias("total"))

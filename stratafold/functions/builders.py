@@ -153,5 +153,25 @@ def indicator_cross(group_a: list[str], group_b: list[str]) -> list[Column]:
     return [(col(a) * col(b)).alias(f"{a}_x_{b}") for a, b in product(group_a, group_b)]
 
 
+MAX_CROSSES = 1_000_000  # width of a sparse cross
+
+
+def sparse_cross(group_a: list[str], group_b: list[str]) -> Column:
+    """The same products as one sparse value (size, indices, values), without a column for each pair.
+
+    Pair (i, j) has index i * len(group_b) + j. Only what is not 0 is there, so a row costs its non-zero pairs and not the width; missing values count as 0.
+    """
+    width = len(group_a) * len(group_b)
+    if not 0 < width <= MAX_CROSSES:
+        raise ValueError(f"a cross has between 1 and {MAX_CROSSES} columns, not {width}")
+
+    def present_of(group: list[str]) -> Column:
+        every = F.array(*[F.struct(F.lit(i).alias("i"), F.coalesce(num(c), F.lit(0.0)).alias("x")) for i, c in enumerate(group)])
+        return F.filter(every, lambda e: e["x"] != 0)
+
+    pairs = F.flatten(F.transform(present_of(group_a), lambda a: F.transform(present_of(group_b), lambda b: F.struct((a["i"] * len(group_b) + b["i"]).alias("i"), (a["x"] * b["x"]).alias("x")))))
+    return F.struct(F.lit(width).alias("size"), F.transform(pairs, lambda p: p["i"]).alias("indices"), F.transform(pairs, lambda p: p["x"]).alias("values"))
+
+
 def to_radians(cols: list[str]) -> list[Column]:
     return [F.radians(num(c)).alias(f"{c}_rad") for c in cols]

@@ -29,6 +29,16 @@ def collect_oof(df: DataFrame, predictions: list[DataFrame], key: list[str], pre
     return df.join(stacked, key, "left")
 
 
+def collect_scored(df: DataFrame, scored: list[DataFrame], fold_col: str = "fold", pred: str = "prediction") -> DataFrame:
+    """The same where the scored rows are the table's own rows with their columns: a union, without key and join.
+
+    ``scored`` holds every row that validates once; rows of no fold never validate and get NULL.
+    """
+    kept = reduce(DataFrame.unionByName, [p.select(*df.columns, pred) for p in scored])
+    never = df.where(F.col(fold_col).isNull()).withColumn(pred, F.lit(None).cast(kept.schema[pred].dataType))
+    return kept.unionByName(never)
+
+
 def drop_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Remove the rows with the listed keys. Keys are as many as rows can be, so no broadcast is forced."""
     return df.join(keys, keys.columns, "left_anti")

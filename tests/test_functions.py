@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stratafold.functions import builders as b
 from stratafold.functions import scalar as s
+from stratafold.operators.scaling import assemble_sparse
 
 INF, NAN = float("inf"), float("nan")
 
@@ -119,3 +120,21 @@ def test_number_texts_of_large_and_non_finite_values(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double").orderBy("id")
     assert [r[0] for r in df.select(s.format_score("v")).collect()] == [*(f"{v:.5f}" for v in values[:-1]), "-"]
     assert [r[0] for r in df.select(s.format_seconds("v")).collect()][:3] == ["27777777777.78h", f"{values[1] / 3600:.2f}h", "infh"]
+
+
+def test_sparse_crosses_equal_the_dense_ones(spark):
+    groups = [f"a{i}" for i in range(5)], [f"b{i}" for i in range(4)]
+    rng = random.Random(2)
+    data = [(i, *[rng.choice([0.0, 0.0, 0.0, 1.0, 2.5, None]) for _ in range(9)]) for i in range(60)]
+    df = spark.createDataFrame(data, "id long, " + ", ".join(f"{c} double" for g in groups for c in g))
+    crossed = df.select("id", "a0", *b.indicator_cross(*groups), b.sparse_cross(*groups).alias("one"), b.sparse_cross(groups[1], ["a0"]).alias("two"))
+    packed = assemble_sparse(crossed, ["a0"], ["one", "two"])
+    names = [f"{x}_x_{y}" for x in groups[0] for y in groups[1]]
+    for r in packed.collect():
+        dense = [r["a0"] or 0.0, *[r[n] or 0.0 for n in names], *[r[f"a0_x_{y}"] or 0.0 for y in groups[1]]]  # the second cross, the other way round, has the products of a0
+        assert r.features.size == 1 + 20 + 4 and r.features.toArray().tolist() == dense
+        assert len(r.features.values) == sum(x != 0 for x in dense)  # 12 bytes for each of these
+    with pytest.raises(ValueError):
+        b.sparse_cross([], ["a0"])
+    with pytest.raises(ValueError):
+        b.sparse_cross(["a"] * 1001, ["b"] * 1000)
