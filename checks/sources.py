@@ -12,7 +12,7 @@ from stratafold.sources.tables import derive_scoring_set, read_optional, read_ta
 from .base import FEATURES, LINE_KEY, LK, Checks, table
 
 CHECKS = Checks()
-_LOG_EVENTS = 1 << 18  # event ids in a block: some megabytes of text
+_LOG_EVENTS = 1 << 14  # event ids in a log: about a megabyte of text
 
 
 @CHECKS.add(f"SELECT {LK}, {', '.join(FEATURES)} FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
@@ -65,15 +65,17 @@ def predictions_written_and_read(spark, sf_dir):
          LATERAL (SELECT json_extract_string(props, '$.' || key) AS value) v"""
 )
 def run_logs_written_and_read(spark, sf_dir):
-    """One log file per user and block of event ids, its keys user and event: read whole, then taken apart.
+    """One log file per block of event ids, its keys user and event: read whole, then taken apart.
 
-    A log holds at most ``_LOG_EVENTS`` ids, so that logs grow in number and not in size. All stand in one folder.
+    A log holds at most ``_LOG_EVENTS`` ids of all users, so that logs grow in number and not in size, and there are no files
+    of a few lines, whose opening takes longer than their text. Events without an id have a log for each user. All stand in one folder.
     """
     path, events = _shared(spark, "logs"), table(spark, sf_dir, "events")
     name = F.concat(F.coalesce(F.col("user_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.col("event_id").cast("string"), F.lit("")))
     entry = F.concat(F.lit('"'), name, F.lit('": '), F.col("props"))
     block = F.floor(F.col("event_id") / _LOG_EVENTS).alias("block")
-    logs = events.groupBy("user_id", block).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ", "), F.lit("}")).alias("value"))
+    unnumbered = F.when(F.col("event_id").isNull(), F.col("user_id")).alias("unnumbered")
+    logs = events.groupBy(block, unnumbered).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ", "), F.lit("}")).alias("value"))
     logs.select("value").write.option("maxRecordsPerFile", 1).text(path)
     outer = log_entries(read_run_logs(spark, path))
     user = F.nullif(F.split_part("entry", F.lit("/"), F.lit(1)), F.lit("")).cast("long")

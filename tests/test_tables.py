@@ -135,3 +135,13 @@ def test_run_logs_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(user, "k", str(i)) for i, user, _ in events], key=repr)
     logs = [len(json.loads(p.read_text())) for p in (tmp_path / "logs").rglob("part-*.txt")]
     assert sum(logs) == 100 and max(logs) <= 10
+
+
+def test_run_logs_of_many_users_share_a_file(spark, tmp_path, monkeypatch):
+    data = [(i, i % 40, '{"k%d": "v"}' % i) for i in range(200)] + [(None, 3, '{"a": 1}'), (None, None, '{"b": 2}'), (7, 7, '{"c": 3}'), (8, None, None)]
+    spark.createDataFrame(data, "event_id long, user_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    read = []
+    monkeypatch.setattr(sources, "read_run_logs", lambda spark, path: read.append(path) or spark.read.text(path, wholetext=True).select(F.lit("x").alias("run"), F.col("value").alias("state")))
+    got = sources.CHECKS.queries["run_logs_written_and_read"](spark, str(tmp_path))
+    assert rows(got) == sorted([(u, key, str(value)) for _, u, p in data if p for key, value in json.loads(p).items()], key=repr)
+    assert spark.read.text(read[0], wholetext=True).count() == 3  # one block of ids, events without an id by user
