@@ -5,10 +5,15 @@ would move five shingles of five words. It is split into 32 blocks of 24 bits. T
 31 bits share a block for certain, and with a tenth of all bits different nine in ten pairs still do. Fingerprints are filed under
 their blocks, compared within a file by Hamming distance, and a link is kept if the two texts' sets of five-word shingles are alike. A
 file emits the links that hold it together, not all pairs.
+
+What the fingerprints miss is found by prefixes: two sets of a Jaccard similarity of at least s share a shingle among the first
+n - ceil(s * n) + 1 of each in any order that all sets keep, here the seldom ones first. Texts of different groups that share one are compared as well.
+The groups are then those of all pairs that are alike; large groups of near copies are one group by then and are not paired again.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +31,9 @@ BITS = BLOCKS * BLOCK_BITS
 _PART = 2_048  # fingerprints of a file that are compared with each other; a larger file is dealt to parts
 _PIVOTS = 64  # fingerprints of a large file that stand in each of its parts
 _WORDS_AT_A_TIME = 4_096
+_KINDS = 1 << 22  # kinds of shingles, by their hash, that are counted to tell frequent ones
+_FREQUENT = 1 << 18  # kinds that are told apart by their number at most; others count as seldom. The order changes the work, not the result
+_PAIRS_AT_A_TIME = 1 << 16
 
 
 def words_of(text: str) -> list[bytes]:
@@ -49,12 +57,26 @@ def wide_fingerprint(words: list[bytes]) -> np.ndarray:
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
-    """Sorted 32-bit hashes of the different shingles; of fewer words the whole sequence is one."""
+    """Sorted 64-bit hashes of the different shingles; of fewer words the whole sequence is one."""
     n = max(1, len(words) - shingle + 1)
-    made = np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), dtype=np.uint32, count=n)
+    made = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), dtype=np.uint64, count=n)
     return np.unique(made)
 
 
+def prefix_of(shingles: np.ndarray, similarity: float, frequent: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The shingles one of which an alike set must share: the first n - ceil(similarity * n) + 1, seldom ones first.
+
+    ``frequent`` are the sorted kinds of frequent shingles, ``numbers`` how many there are of each.
+    """
+    kinds = (shingles % np.uint64(_KINDS)).astype(np.int64)
+    number = np.zeros(len(shingles), dtype=np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, kinds), len(frequent) - 1)
+        number = np.where(frequent[at] == kinds, numbers[at], 0)
+    take = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    return shingles[np.lexsort((shingles, number))[:take]]
+
+
 def _file_links(limit: int):
     """Links that connect what is connected within each file, between fingerprints at most ``limit`` bits apart."""
 
@@ -102,6 +124,7 @@ def candidate_links(nodes: DataFrame, bits: int) -> DataFrame:
 
 
 _BATCH = 1_000  # rows of texts or shingles that go to Python together
+_FILES = 64  # files that go to Python together: up to 2,048 fingerprints each
 
 
 def _fingerprinted(docs: DataFrame) -> DataFrame:
@@ -132,7 +155,7 @@ def _alike(links: DataFrame, texts: DataFrame, shingle: int, similarity: float)
             out = []
             for at in range(0, len(a), 256):
                 for x, y in zip(a.slice(at, 256).to_pylist(), b.slice(at, 256).to_pylist()):
-                    one, two = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+                    one, two = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                     both = len(np.intersect1d(one, two, assume_unique=True))
                     out.append(both / (len(one) + len(two) - both))
             yield pa.array(out, pa.float64())
@@ -144,22 +167,108 @@ def _alike(links: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return staged(alike.select("a", "b"), "alike", _BATCH)
 
 
+def _frequent_kinds(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of shingles that stand often in some partition, sorted, and their numbers there: a bounded list."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.zeros(_KINDS, dtype=np.int64)
+        for texts in text_slices(batch.column("text") for batch in batches):
+            for text in texts.to_pylist():
+                np.add.at(number, (shingle_hashes(words_of(text), shingle) % np.uint64(_KINDS)).astype(np.int64), 1)
+        often = np.flatnonzero(number >= 8)
+        often = often[np.argsort(-number[often], kind="stable")[:_FREQUENT]]
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(number[often])], names=["kind", "n"])
+
+    numbers = staged(docs.select(text_of().alias("text")).mapInArrow(counted, "kind long, n long"), "kinds", _BATCH)
+    most = numbers.groupBy("kind").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind").limit(_FREQUENT)
+    found = most.toArrow().sort_by("kind")  # _FREQUENT rows at most
+    return found["kind"].to_numpy(), found["n"].to_numpy()
+
+
+def _cross_pairs(similarity: float):
+    """(a, b) of each file: members of different groups whose numbers of shingles let them be alike."""
+
+    def made(ends: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(side) for side in zip(*ends))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows = [], 0
+        for batch in batches:
+            for members in batch.column("members"):
+                node, group, size = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "size"))
+                order = np.argsort(group, kind="stable")
+                node, group, size = node[order], group[order], size[order]
+                after = np.searchsorted(group, group, side="right")
+                for i in range(int(np.searchsorted(group, group[-1]))):  # all but the last group
+                    own, others = size[i], size[after[i] :]
+                    fits = (np.minimum(own, others) >= similarity * np.maximum(own, others) - 1e-9).nonzero()[0]
+                    if len(fits):
+                        waiting.append((np.full(len(fits), node[i]), node[after[i] :][fits]))
+                        rows += len(fits)
+                    if rows >= _PAIRS_AT_A_TIME:
+                        yield made(waiting)
+                        waiting, rows = [], 0
+        if waiting:
+            yield made(waiting)
+
+    return run
+
+
+def missed_links(docs: DataFrame, component: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b) between nodes of different components whose prefixes share a shingle: every pair of alike texts that is not connected yet is among them.
+
+    ``component`` has node and component of the nodes that are linked already. A shingle that one component has for itself, as those of a large group of
+    near copies are, makes no pairs.
+    """
+    frequent, numbers = _frequent_kinds(docs, shingle)
+
+    @F.arrow_udf("struct<node:bigint,size:bigint,prefix:array<bigint>>")
+    def prefixes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in text_slices(batches):
+            nodes, sizes, own = [], [], []
+            for words in map(words_of, texts.to_pylist()):
+                shingles = shingle_hashes(words, shingle)
+                nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+                sizes.append(len(shingles))
+                own.append(prefix_of(shingles, similarity, frequent, numbers).view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in own])]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.empty(0, dtype=np.int64), *own]))
+            columns = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)]
+            yield pa.StructArray.from_arrays(columns, names=["node", "size", "prefix"])
+
+    made = docs.select(prefixes(text_of()).alias("f"))
+    tokens = staged(made.select("f.node", "f.size", F.explode("f.prefix").alias("token")), "prefixes", _BATCH)
+    named = tokens.join(component, "node", "left").select("token", "node", "size", F.coalesce("component", "node").alias("component"))
+    shared = staged(named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"), "shared")
+    member = F.struct("node", "component", "size")
+    files = named.join(shared, "token").groupBy("token").agg(F.collect_set(member).alias("members"))
+    return staged(files.select("members").mapInArrow(_cross_pairs(similarity), "a long, b long").distinct(), "missed", _FILES)
+
+
 def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 92) -> DataFrame:
     """``doc_id``, ``text_hash``, ``node`` (a hash of the text's words in order) and ``group_id`` of each row.
 
-    Texts are linked whose fingerprints share a block, differ in at most ``bits`` of 768 and whose sets of ``shingle``-word shingles have a
-    Jaccard similarity of at least ``similarity``; texts with the same words in the same order are one node, hot groups of copies among them.
+    Texts are linked whose sets of ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``, all pairs of them: first those whose
+    fingerprints share a block and differ in at most ``bits`` of 768, then those of different groups that share a shingle of their prefixes.
+    Texts with the same words in the same order are one node, hot groups of copies among them.
     ``group_id`` is the smallest doc_id that links reach (null if all are null). A null text is an empty one; texts without words are one
     group. Repeated rows repeat their result. An id of any type that can be ordered will do.
     """
     own = _fingerprinted(docs)
     stands = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("stands")
     nodes = staged(own.groupBy("node").agg(F.min("doc_id").alias("first_doc"), stands, F.first("print").alias("print")), "nodes")
-    links = staged(candidate_links(nodes.select("node", "print"), bits), "candidates")
-    # the text of one row of each linked node, so that a hot group of copies is not gathered: all texts of a node have the same words
-    linked = nodes.select("node", F.struct("stands.doc_id", "stands.text_hash").alias("key")).join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    there = docs.select(F.struct("doc_id", F.xxhash64(text_of()).alias("text_hash")).alias("key"), text_of().alias("text")).join(linked, "key")
-    component = connected_components(_alike(links, there.select("node", "text"), shingle, similarity), "a", "b")
+
+    def alike(links: DataFrame) -> DataFrame:
+        # the text of one row of each linked node, so that a hot group of copies is not gathered: all texts of a node have the same words
+        linked = nodes.select("node", F.struct("stands.doc_id", "stands.text_hash").alias("key")).join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        there = docs.select(F.struct("doc_id", F.xxhash64(text_of()).alias("text_hash")).alias("key"), text_of().alias("text")).join(linked, "key")
+        return _alike(links, there.select("node", "text"), shingle, similarity)
+
+    found = alike(staged(candidate_links(nodes.select("node", "print"), bits), "candidates", _FILES))
+    component = connected_components(found, "a", "b")
+    found = found.union(alike(missed_links(docs, component, similarity, shingle)))
+    component = connected_components(found, "a", "b")
     named = nodes.select("node", "first_doc").join(component, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("component"))
     group = named.groupBy("component").agg(F.min("first_doc").alias("group_id"))
     return own.select("doc_id", "text_hash", "node").join(named.join(group, "component").select("node", "group_id"), "node").select("doc_id", "text_hash", "node", "group_id")

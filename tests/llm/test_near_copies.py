@@ -98,3 +98,19 @@ def test_edge_cases(spark, kind):
     assert kept.columns == docs.columns and rows == sorted([(id_(1), None), (id_(4), "a tie of two"), (id_(4), "other text of the same id"), (None, "alone"), (id_(7), "word " * 30_000)], key=str)
     assert {r["_node"] for r in kept.collect()} == {"mine"}
     assert nc.drop_near_copies(docs.limit(0)).collect() == nc.near_copy_groups(docs.limit(0)).collect() == []
+
+
+def test_every_alike_pair_is_linked(spark):
+    """Short texts at the threshold, whose fingerprints differ in many bits."""
+    rng = random.Random(13)
+    rows = []
+    for group in range(250):
+        base = [f"v{rng.randrange(50_000)}" for _ in range(rng.randint(14, 44))]
+        rows.append((10 * group, " ".join(base)))
+        for copy in range(1, 4):  # words in front or behind change the set of different words most, for the shingles they cost
+            more = [f"x{rng.randrange(50_000)}" for _ in range(rng.randint(1, max(1, len(base) // 5)))]
+            rows.append((10 * group + copy, " ".join(more + base if copy % 2 else base + more)))
+    want, pairs, _ = plain_groups(rows)
+    got = {r.doc_id: r.group_id for r in nc.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 300 and got == want
+    assert nc.prefix_of(np.arange(10, dtype=np.uint64), 0.8, np.array([0, 1]), np.array([9, 8])).tolist() == [2, 3, 4]
