@@ -190,15 +190,23 @@ class SoftmaxBooster:
         self.passes = 0
 
     def bin_rows(self, labelled: DataFrame) -> None:
-        """(bins, y, w, valid, pick, scores) of every row; ``labelled`` has the columns c0.., y, w, valid and pick."""
-        model = self.model
+        """(bins, y, w, valid, pick, n, scores) of every row; ``labelled`` has the columns c0.., y, w, valid and pick.
+
+        Where no rows are drawn, rows of the same bins, class and weight are one row that counts ``n`` times: what they add is a whole multiple, and the same.
+        """
+        model, k = self.model, len(self.model.classes)
 
         def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 values = np.column_stack([batch.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(len(model.cols))])
-                yield _state(model.bins(values), batch, np.zeros((batch.num_rows, len(model.classes))))
+                yield pa.RecordBatch.from_arrays([_rows_as_binary(model.bins(values)), *(batch.column(c) for c in ("y", "w", "valid", "pick"))], names=["bins", "y", "w", "valid", "pick"])
 
-        self.rows = stored(labelled.mapInArrow(binned, _STATE), f"{self.folder}/rows-0")
+        rows = labelled.mapInArrow(binned, "bins binary, y int, w double, valid boolean, pick long")
+        if self.subsample < 1.0:
+            rows = rows.withColumn("n", F.lit(1).cast("long"))
+        else:
+            rows = rows.groupBy("bins", "y", "w", "valid").agg(F.lit(0).cast("long").alias("pick"), F.count("*").alias("n")).select("bins", "y", "w", "valid", "pick", "n")
+        self.rows = stored(rows.withColumn("scores", F.lit(bytes(8 * k))), f"{self.folder}/rows-0")
 
     def settle(self) -> None:
         """Write the scores with all trees so far."""
@@ -236,25 +244,24 @@ class SoftmaxBooster:
                 bins, scores = _unpacked(batch)
                 chance = softmax(added(scores, pending, bins))
                 y, w = batch.column("y").to_numpy(), batch.column("w").to_numpy()
-                valid = batch.column("valid").to_numpy(zero_copy_only=False)
+                valid, times = batch.column("valid").to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
                 if loss and valid.any():
                     own = -np.log(np.maximum(chance[valid, y[valid]], 1e-300)) * w[valid]
-                    lost, judged = lost + int(np.rint(own * UNIT).astype(np.int64).sum()), judged + int(valid.sum())
+                    lost, judged = lost + int((np.rint(own * UNIT).astype(np.int64) * times[valid]).sum()), judged + int(times[valid].sum())
                 train = ~valid
                 if subsample < 1.0:
                     train &= _drawn(batch.column("pick").to_numpy(), seed, number) < subsample
-                bins, chance, y, w = bins[train], chance[train], y[train], w[train]
+                bins, chance, y, w, times = bins[train], chance[train], y[train], w[train], times[train]
                 for k, tree in trees.items():
-                    g = np.rint((chance[:, k] - (y == k)) * w * UNIT)
-                    h = np.rint(chance[:, k] * (1 - chance[:, k]) * w * UNIT)
+                    g = np.rint((chance[:, k] - (y == k)) * w * UNIT).astype(np.int64)
+                    h = np.rint(chance[:, k] * (1 - chance[:, k]) * w * UNIT).astype(np.int64)
                     slot = slots[k][tree.nodes(bins)]
                     mine = np.flatnonzero(slot >= 0)
                     shape = sums[k].shape[1], width
                     for f, column in enumerate(columns[k]):
                         cell = slot[mine] * width + bins[mine, column]
-                        for i, of in enumerate((g, h, None)):  # whole numbers, exact in doubles within a batch
-                            counted = np.bincount(cell, None if of is None else of[mine], shape[0] * width)
-                            sums[k][i, :, f] += counted.astype(np.int64).reshape(shape)
+                        for i, of in enumerate((g, h, 1)):
+                            sums[k][i, :, f] += _whole_sums(cell, (of * times)[mine], shape[0] * width).reshape(shape)
             made: list[tuple] = []
             for k in trees:
                 nodes = np.flatnonzero(slots[k] >= 0)[np.argsort(slots[k][slots[k] >= 0])]
@@ -318,7 +325,16 @@ class SoftmaxBooster:
         return found[0]["g"] / UNIT / found[0]["n"] if found else None
 
 
-_STATE = "bins binary, y int, w double, valid boolean, pick long, scores binary"
+_STATE = "bins binary, y int, w double, valid boolean, pick long, n long, scores binary"
+
+
+def _whole_sums(cell: np.ndarray, values: np.ndarray, cells: int) -> np.ndarray:
+    """Sums of whole numbers by cell: in doubles while these hold them exactly, else one after the other."""
+    if np.abs(values.astype(np.float64)).sum() < 1 << 53:
+        return np.bincount(cell, values, cells).astype(np.int64)
+    sums = np.zeros(cells, dtype=np.int64)
+    np.add.at(sums, cell, values)
+    return sums
 
 
 def _rows_as_binary(rows: np.ndarray) -> pa.Array:
@@ -334,8 +350,8 @@ def _binary_as_rows(column: pa.Array, kind) -> np.ndarray:
 
 
 def _state(bins: np.ndarray, batch: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
-    columns = [_rows_as_binary(bins), *(batch.column(c) for c in ("y", "w", "valid", "pick")), _rows_as_binary(scores)]
-    return pa.RecordBatch.from_arrays(columns, names=["bins", "y", "w", "valid", "pick", "scores"])
+    columns = [_rows_as_binary(bins), *(batch.column(c) for c in ("y", "w", "valid", "pick", "n")), _rows_as_binary(scores)]
+    return pa.RecordBatch.from_arrays(columns, names=["bins", "y", "w", "valid", "pick", "n", "scores"])
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

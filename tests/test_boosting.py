@@ -173,3 +173,25 @@ def test_quantile_bins_and_small_tables(spark):
     assert all(t.left == [0] for r in few.model.rounds for t in r)
     none = fit(df.limit(0))(df.limit(2)).collect()
     assert all(np.allclose(r.probability, 1 / 3) for r in none)
+
+
+def test_equal_rows_are_kept_once_with_their_number(spark, monkeypatch):
+    base = rows_at_random(60)
+    many = [(i, *base[i % 60][1:]) for i in range(1_200)]
+    counted = {}
+    real_round = b.SoftmaxBooster.round
+
+    def spied(self):
+        counted.update(rows=self.rows.count(), n=self.rows.agg(F.sum("n")).first()[0])
+        return real_round(self)
+
+    monkeypatch.setattr(b.SoftmaxBooster, "round", spied)
+    fit = b.softmax_boosted(COLS, "label", list("abc"), rounds=2, rate=0.3, leaves=4, min_leaf=20, edges=EDGES, key=["id"])
+    got = fit(table(spark, many), table(spark, base))
+    assert counted["n"] == 1_260 and counted["rows"] <= 120
+    monkeypatch.undo()
+    single = b.softmax_boosted(COLS, "label", list("abc"), rounds=2, rate=0.3, leaves=4, min_leaf=20, edges=EDGES, key=["id"], subsample=1 - 1e-15)
+    rest = single(table(spark, many), table(spark, base))  # a share just below one: every row on its own
+    assert got.losses == rest.losses and got.model.rounds == rest.model.rounds
+    big = np.array([1 << 52, 1 << 52, 3], dtype=np.int64)
+    assert b._whole_sums(np.array([0, 0, 0]), big, 2).tolist() == [(1 << 53) + 3, 0]
