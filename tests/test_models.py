@@ -9,6 +9,7 @@ from stratafold.operators import voting as v
 from stratafold.operators.folds import stratified_holdout, stratified_kfold
 from stratafold.operators.knn import knn_classify, knn_join, knn_out_of_fold
 from stratafold.plans import learners as m
+from stratafold.session import kept
 
 # --- voting ---
 
@@ -328,3 +329,22 @@ def test_index_with_all_probes_is_exact_and_few_probes_find_most(spark):
     assert len(near & want) >= 0.9 * len(want) and vi.visited_share(index, queries, probes=4) < 0.4
     none = vi.build_index(points.limit(0), "id", "vec")
     assert vi.search_index(none, queries, ["q"], 5).collect() == [] and vi.search_index(index, queries.limit(0), ["q"], 5).collect() == []
+
+
+def test_scores_of_listed_classes_are_compiled(spark):
+    """No function of arrays runs over the classes for each row; a class without training rows scores -inf."""
+    df = spark.createDataFrame([(i, i % 3, float(i % 7), "ab"[i % 2]) for i in range(60)], "id long, fold int, x double, label string")
+    model = nb.fit_gaussian_nb(df, "label", ["x"], ["a", "b"], "fold", [0, 1, 2])
+    scored = nb.predict_gaussian_nb(df, model, ["x"], ["z", "b", "a"], "fold").withColumn("probability", nb.nb_probabilities(n=3))
+    assert "transform(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    plain = nb.predict_gaussian_nb(df, model, ["x"], fold="fold").withColumn("probability", nb.nb_probabilities())
+    want = {r.id: (r.scores, r.probability, r.prediction) for r in plain.collect()}
+    for r in scored.collect():
+        scores, chances, best = want[r.id]
+        assert r.scores == [float("-inf"), scores[1], scores[0]] and r.prediction == best
+        assert r.probability == pytest.approx([0.0, chances[1], chances[0]], abs=1e-15)
+
+
+def test_kept_tables_are_read_by_many_tasks(spark):
+    held = kept(spark.range(0, 5_000, 1, 1), "kept", 1_000)
+    assert len(held.inputFiles()) == 5 and held.count() == 5_000
