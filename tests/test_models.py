@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -348,3 +349,14 @@ def test_scores_of_listed_classes_are_compiled(spark):
 def test_kept_tables_are_read_by_many_tasks(spark):
     held = kept(spark.range(0, 5_000, 1, 1), "kept", 1_000)
     assert len(held.inputFiles()) == 5 and held.count() == 5_000
+
+
+def test_long_vote_finds_few_classes_and_shuffles_once(spark):
+    from stratafold.operators import voting
+
+    data = [(k, m, c, None if (k, c) == (3, "b") else float((k * 7 + i * 5 + j * 3) % 11)) for k in range(40) for i, m in enumerate(["m1", "m2"]) for j, c in enumerate(["a", "b", None]) if (k + j) % 5]
+    probs = spark.createDataFrame(data, "k int, model string, class string, p double")
+    got = voting.soft_vote_long(probs, ["k"], weights={"m1": 0.6, "m2": 0.4})
+    plain = probs.withColumn("w", F.when(F.col("model") == "m1", 0.6).otherwise(0.4) * F.col("p")).groupBy("k", "class").agg(F.sum("w").alias("p"))
+    assert rows(got, "k", "prediction") == rows(voting.argmax_class(plain, ["k"]), "k", "prediction")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
