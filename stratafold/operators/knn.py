@@ -30,6 +30,8 @@ from .voting import top_votes
 
 MAX_POINT_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
+GAP_VALUES = 2_000_000  # numbers of a task's intermediate arrays: queries by pivots, or candidates by dimensions
+VISIT_ROWS = 4096  # (query, cell) pairs that leave a task at a time, each with its vector
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -58,8 +60,9 @@ def nearest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray
         slack = 1e-9 * (q_norms + norms.max() + 1.0)
         rows, cols = np.nonzero(rough <= (kth + slack)[:, None])
         exact = np.empty(len(rows))
-        for i in range(0, len(rows), 200_000):
-            part = slice(i, i + 200_000)
+        few = max(1, GAP_VALUES // max(1, points.shape[1]))
+        for i in range(0, len(rows), few):
+            part = slice(i, i + few)
             gap = q[rows[part]] - points[cols[part]]
             exact[part] = np.sqrt((gap * gap).sum(1))
         order = np.lexsort((cols, exact, rows))
@@ -138,6 +141,14 @@ def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slices(batches, pivots: int):
+    """The batches in slices whose distances to all pivots are at most ``GAP_VALUES`` numbers: there are more pivots where there are more points."""
+    step = max(1, GAP_VALUES // max(1, pivots))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def _cell_search(queries, points, k, vec, query_key, point_key, cols, schema, block_rows, pivots) -> DataFrame:
     spark = queries.sparkSession
     checkpoint_dir(spark)
@@ -148,7 +159,7 @@ def _cell_search(queries, points, k, vec, query_key, point_key, cols, schema, bl
     placed_arrow = to_arrow_schema(placed_schema)
 
     def place(batches):
-        for batch in batches:
+        for batch in _slices(batches, len(centres.value)):
             far = _to_pivots(_matrix(batch[vec]), centres.value) if batch.num_rows else np.zeros((0, 1))
             cell = far.argmin(1)
             arrays = [*batch.columns, pa.array(cell, pa.int32()), pa.array(far[np.arange(len(cell)), cell])]
@@ -174,9 +185,7 @@ def _cell_search(queries, points, k, vec, query_key, point_key, cols, schema, bl
         with_bound = bounds is not None
 
         def plan(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in _slices(batches, len(centres.value)):
                 far = _to_pivots(_matrix(batch[vec]), centres.value)[:, known]
                 home = np.arange(far.shape[1])[None, :] == far.argmin(1)[:, None]
                 if with_bound:
@@ -186,8 +195,10 @@ def _cell_search(queries, points, k, vec, query_key, point_key, cols, schema, bl
                 else:
                     go = home
                 rows, cell = np.nonzero(go)
-                arrays = [batch[c].take(pa.array(rows)) for c in [*query_key, vec]]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.array(known)[cell], pa.int32())], schema=arrow)
+                for at in range(0, len(rows), VISIT_ROWS):
+                    few = slice(at, at + VISIT_ROWS)
+                    arrays = [batch[c].take(pa.array(rows[few])) for c in [*query_key, vec]]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.array(known)[cell[few]], pa.int32())], schema=arrow)
 
         return source.mapInArrow(plan, out)
 

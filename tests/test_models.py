@@ -360,3 +360,12 @@ def test_long_vote_finds_few_classes_and_shuffles_once(spark):
     plain = probs.withColumn("w", F.when(F.col("model") == "m1", 0.6).otherwise(0.4) * F.col("p")).groupBy("k", "class").agg(F.sum("w").alias("p"))
     assert rows(got, "k", "prediction") == rows(voting.argmax_class(plain, ["k"]), "k", "prediction")
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_search_leaves_a_task_in_small_batches(spark, monkeypatch):
+    from stratafold.operators import knn
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["x"])
+    monkeypatch.setattr(knn, "GAP_VALUES", 5_000)
+    made = [b.num_rows for b in knn._slices([batch, batch.slice(0, 0)], 50)]
+    assert made == [100] * 10
