@@ -369,3 +369,9 @@ def test_search_leaves_a_task_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(knn, "GAP_VALUES", 5_000)
     made = [b.num_rows for b in knn._slices([batch, batch.slice(0, 0)], 50)]
     assert made == [100] * 10
+
+
+def test_models_of_folds_are_broadcast_and_rows_stay(spark):
+    df = spark.createDataFrame([(i, i % 3, float(i % 7), "ab"[i % 2]) for i in range(60)], "id long, fold int, x double, label string")
+    plan = nb.nb_out_of_fold(df, "label", ["x"], [0, 1, 2], ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
