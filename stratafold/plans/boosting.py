@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import argmax, decode
 from ..session import scratch_folder, stored
+from .cells import quantiles
 from .learners import Predictor, patient_rounds
 
 UNIT = 1 << 22  # gradients, second derivatives and losses are counted in 1/UNIT
 _SETTLE = 5  # rounds after which the rows' scores are written anew; until then the newest trees are applied in each pass
+_DRAWS = 8  # rounds whose samples are counted in one pass over all rows
 _HISTOGRAM = "tree int, node int, feature int, bin int, g long, h long, n long"
 
 
@@ -97,9 +99,7 @@ def bin_edges(df: DataFrame, cols: list[str], bins: int) -> list[list[float]]:
     if not 2 <= bins <= 255:
         raise ValueError("bins is between 2 and 255")
     shares = [i / bins for i in range(1, bins)]
-    numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    found = numbers.approxQuantile(numbers.columns, shares, 1 / (4 * bins))
-    return [sorted(set(e)) for e in found]
+    return quantiles(df, cols, shares, 1 / (4 * bins))
 
 
 class _Growing:
@@ -186,27 +186,54 @@ class SoftmaxBooster:
         self.model, self.folder, self.rate, self.leaves, self.depth = model, folder, rate, leaves, depth
         self.features, self.subsample, self.min_leaf, self.min_gain, self.l2, self.seed = features, subsample, min_leaf, min_gain, l2, seed
         self.settled = 0
+        self.binned: DataFrame | None = None
         self.rows: DataFrame | None = None
         self.passes = 0
 
     def bin_rows(self, labelled: DataFrame) -> None:
-        """(bins, y, w, valid, pick, n, scores) of every row; ``labelled`` has the columns c0.., y, w, valid and pick.
+        """(bins, y, w, valid, n, draws, scores) of all rows; ``labelled`` has the columns c0.., y, w, valid and pick.
 
-        Where no rows are drawn, rows of the same bins, class and weight are one row that counts ``n`` times: what they add is a whole multiple, and the same.
+        What equal rows add is a whole multiple, and the same. Which rows a round draws depends on their own ``pick``: they are counted for ``_DRAWS`` rounds at a time.
         """
-        model, k = self.model, len(self.model.classes)
+        model = self.model
 
         def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 values = np.column_stack([batch.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(len(model.cols))])
                 yield pa.RecordBatch.from_arrays([_rows_as_binary(model.bins(values)), *(batch.column(c) for c in ("y", "w", "valid", "pick"))], names=["bins", "y", "w", "valid", "pick"])
 
-        rows = labelled.mapInArrow(binned, "bins binary, y int, w double, valid boolean, pick long")
+        self.binned = labelled.mapInArrow(binned, _BINNED)
         if self.subsample < 1.0:
-            rows = rows.withColumn("n", F.lit(1).cast("long"))
+            self.binned = stored(self.binned, f"{self.folder}/binned")
+        self._collapse()
+
+    def _collapse(self) -> None:
+        """Rows of the same bins, class and weight are one row that counts ``n`` times, and as often in each of the next rounds as its rows are drawn."""
+        number, seed, subsample, none = len(self.model.rounds), self.seed, self.subsample, bytes(8 * len(self.model.classes))
+        rows, names = self.binned, [f"d{i}" for i in range(_DRAWS)] if subsample < 1.0 else []
+
+        def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pick = batch.column("pick").to_numpy()
+                taken = [pa.array((_drawn(pick, seed, number + i) < subsample).astype(np.int64)) for i in range(_DRAWS)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bins", "y", "w", "valid")), *taken], names=["bins", "y", "w", "valid", *names])
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in filter(len, batches):
+                draws = np.column_stack([batch.column(c).to_numpy() for c in names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _OWN[:-1]), _rows_as_binary(draws)], names=_OWN)
+
+        if names:
+            rows = rows.mapInArrow(drawn, "bins binary, y int, w double, valid boolean, " + ", ".join(f"{n} long" for n in names))
+        counted = rows.groupBy("bins", "y", "w", "valid").agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names])
+        if names:
+            counted = counted.mapInArrow(packed, _STATE.removesuffix(", scores binary"))
         else:
-            rows = rows.groupBy("bins", "y", "w", "valid").agg(F.lit(0).cast("long").alias("pick"), F.count("*").alias("n")).select("bins", "y", "w", "valid", "pick", "n")
-        self.rows = stored(rows.withColumn("scores", F.lit(bytes(8 * k))), f"{self.folder}/rows-0")
+            counted = counted.withColumn("draws", F.lit(b""))
+        self.settled = 0
+        self.rows = stored(counted.withColumn("scores", F.lit(none)), f"{self.folder}/rows-{number}-0")
+        if number:
+            self.settle()
 
     def settle(self) -> None:
         """Write the scores with all trees so far."""
@@ -218,7 +245,7 @@ class SoftmaxBooster:
                 yield _state(bins, batch, added(scores, trees, bins))
 
         self.settled = len(self.model.rounds)
-        self.rows = stored(self.rows.mapInArrow(moved, _STATE), f"{self.folder}/rows-{self.settled}")
+        self.rows = stored(self.rows.mapInArrow(moved, _STATE), f"{self.folder}/rows-{self.settled}-1")
 
     def _chosen_columns(self, number: int) -> list[list[int]]:
         """Columns of each tree of a round."""
@@ -234,7 +261,7 @@ class SoftmaxBooster:
         slots = {k: np.full(len(trees[k].left), -1) for k in trees}
         for k, node in wanted:
             slots[k][node] = (slots[k] >= 0).sum()
-        seed, subsample = self.seed, self.subsample
+        subsample = self.subsample
         self.passes += 1
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +277,8 @@ class SoftmaxBooster:
                     lost, judged = lost + int((np.rint(own * UNIT).astype(np.int64) * times[valid]).sum()), judged + int(times[valid].sum())
                 train = ~valid
                 if subsample < 1.0:
-                    train &= _drawn(batch.column("pick").to_numpy(), seed, number) < subsample
+                    times = _binary_as_rows(batch.column("draws"), np.int64)[:, number % _DRAWS]
+                    train &= times > 0
                 bins, chance, y, w, times = bins[train], chance[train], y[train], w[train], times[train]
                 for k, tree in trees.items():
                     g = np.rint((chance[:, k] - (y == k)) * w * UNIT).astype(np.int64)
@@ -309,7 +337,9 @@ class SoftmaxBooster:
             known = known.unionByName(both)
             self._learn(growing, both, [(k, c) for k, _, few, many_ in pairs for c in (few, many_)])
         self.model.rounds.append([g.finished(self.rate, self.l2) for g in growing])
-        if len(self.model.rounds) - self.settled >= _SETTLE:
+        if self.subsample < 1.0 and len(self.model.rounds) % _DRAWS == 0:
+            self._collapse()
+        elif len(self.model.rounds) - self.settled >= _SETTLE:
             self.settle()
         return loss
 
@@ -325,7 +355,9 @@ class SoftmaxBooster:
         return found[0]["g"] / UNIT / found[0]["n"] if found else None
 
 
-_STATE = "bins binary, y int, w double, valid boolean, pick long, n long, scores binary"
+_BINNED = "bins binary, y int, w double, valid boolean, pick long"
+_STATE = "bins binary, y int, w double, valid boolean, n long, draws binary, scores binary"
+_OWN = ["bins", "y", "w", "valid", "n", "draws"]
 
 
 def _whole_sums(cell: np.ndarray, values: np.ndarray, cells: int) -> np.ndarray:
@@ -350,8 +382,8 @@ def _binary_as_rows(column: pa.Array, kind) -> np.ndarray:
 
 
 def _state(bins: np.ndarray, batch: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
-    columns = [_rows_as_binary(bins), *(batch.column(c) for c in ("y", "w", "valid", "pick", "n")), _rows_as_binary(scores)]
-    return pa.RecordBatch.from_arrays(columns, names=["bins", "y", "w", "valid", "pick", "n", "scores"])
+    columns = [_rows_as_binary(bins), *(batch.column(c) for c in _OWN[1:]), _rows_as_binary(scores)]
+    return pa.RecordBatch.from_arrays(columns, names=[*_OWN, "scores"])
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

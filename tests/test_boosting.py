@@ -195,3 +195,21 @@ def test_equal_rows_are_kept_once_with_their_number(spark, monkeypatch):
     assert got.losses == rest.losses and got.model.rounds == rest.model.rounds
     big = np.array([1 << 52, 1 << 52, 3], dtype=np.int64)
     assert b._whole_sums(np.array([0, 0, 0]), big, 2).tolist() == [(1 << 53) + 3, 0]
+
+
+def test_drawn_rows_are_read_as_cells(spark, monkeypatch):
+    """A round's passes read a row for each cell, not for each table row; rounds beyond a block are drawn anew."""
+    monkeypatch.setattr(b, "_DRAWS", 2)
+    seen = []
+    real = b.SoftmaxBooster.round
+
+    def spied(self):
+        seen.append((self.rows.count(), self.rows.groupBy().agg(F.sum("n")).first()[0]))
+        return real(self)
+
+    monkeypatch.setattr(b.SoftmaxBooster, "round", spied)
+    df = spark.range(4_000).select("id", (F.col("id") % 10).cast("double").alias("x"), F.when(F.col("id") % 10 > 4, "b").otherwise("a").alias("label"))
+    fit = b.softmax_boosted(["x"], "label", ["a", "b"], rounds=3, rate=0.5, leaves=3, subsample=0.7, key=["id"])
+    scored = fit(df)(df)
+    assert len(seen) == 3 and all(c <= 20 and n == 4_000 for c, n in seen)
+    assert scored.where("prediction = label").count() == 4_000
