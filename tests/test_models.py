@@ -121,6 +121,21 @@ def test_naive_bayes_visits_few_classes(spark):
     assert sum(s for _, s in got.values()) < 0.3 * len(rows) * 300
 
 
+def test_naive_bayes_cuts_classes_where_they_lie_apart(spark, monkeypatch):
+    """Two thousand classes along one column, alike in the other: it is cut in one direction, and a row meets a few dozen classes."""
+    monkeypatch.setattr(nb, "SLICE_CLASSES", 32)
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2000, i // 2000 % 2, float(i % 2000 + rng.standard_normal() * 0.2), float(rng.standard_normal())) for i in range(12000)]
+    df = spark.createDataFrame(rows, "id int, y int, fold int, a double, b double")
+    got = {r.id: (r.prediction, r.seen) for r in nb.nb_out_of_fold(df, "y", ["a", "b"], [0, 1], key=["id"], visits="seen").collect()}
+    assert sum(s for _, s in got.values()) < 0.06 * len(rows) * 2000
+    data = np.array(rows)
+    for fold in (0, 1):
+        train, test = data[data[:, 2] != fold], data[data[:, 2] == fold]
+        want = numpy_nb(train[:, [0, 1, 3, 4]], test[:, [0, 1, 3, 4]])
+        assert [got[int(i)][0] for i in test[:, 0]] == want.tolist()
+
+
 def test_variants_from_one_pass_equal_their_own_fits(blobs):
     folded = stratified_kfold(blobs, ["id"], "y")
     variants = {"all": COLS, "first": COLS[:1], "rest": COLS[1:]}
