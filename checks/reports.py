@@ -49,7 +49,8 @@ def ablation_scores(spark, sf_dir):
     def scorer(cols):
         return lambda df: x.nb_cv_score(df, "l_returnflag", cols, ["A", "N", "R"], FOLDS)
 
-    scores = x.ablation_scores(folded_lines(spark, sf_dir), {v: scorer(cols) for v, cols in _VARIANTS.items()})
+    folded = folded_lines(spark, sf_dir).drop(*LINE_KEY)  # half of what is cached otherwise, and no variant reads it
+    scores = x.ablation_scores(folded, {v: scorer(cols) for v, cols in _VARIANTS.items()})
     return scores.withColumn("score", rounded("score"))
 
 

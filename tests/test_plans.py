@@ -61,3 +61,35 @@ def test_side_by_side_votes_move_nothing(spark):
 def test_long_votes_shuffle_once(spark):
     df = lines(spark).select(*LINE_KEY, F.col("l_returnflag").alias("prediction"))
     assert plan(v.top_votes(df, LINE_KEY, classes=["A", "N", "R"])).count("Exchange") == 1
+
+
+def test_cut_points_are_compared_in_a_compiled_expression(spark, monkeypatch):
+    """A few cut points are no loop over an array; more give the same folds by one."""
+    from stratafold.operators import folds
+
+    rows = [(i if i % 50 else None, i % 7 if i % 11 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, y int").dropDuplicates()
+    few = folds.stratified_kfold(df, ["id"], "y", k=5)
+    assert "lambda" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(folds, "FEW_CUTS", 0)
+    many = folds.stratified_kfold(df, ["id"], "y", k=5)
+    assert "lambda" in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
+
+
+def test_ablation_caches_no_keys(spark, monkeypatch):
+    """The query hands the operator the columns that its variants read."""
+    import checks.reports as reports
+
+    given = []
+
+    def scores(df, variants):
+        given.append(df.columns)
+        return spark.createDataFrame([], "variant string, score double")
+
+    monkeypatch.setattr(reports.x, "ablation_scores", scores)
+    rows = [(i, 1, i, i, "ANR"[i % 3], float(i % 50), float(i), 0.1, 0.2) for i in range(60)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    monkeypatch.setattr("checks.keyed.table", lambda *_: lines)
+    reports.ablation_scores(spark, "")
+    assert given == [["l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "fold"]]
