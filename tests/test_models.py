@@ -108,6 +108,14 @@ def test_naive_bayes_of_all_classes_has_no_row_that_holds_them_all(spark, monkey
         nb.nb_out_of_fold(df, "y", ["a", "b"], [0, 1, 2])
 
 
+def test_naive_bayes_of_all_classes_says_nothing_beside_rows_without_a_label(spark):
+    rows = [(i, i % 5, i % 3, float(i % 5 + i % 7 / 10), float(i % 11)) for i in range(60)] + [(100, None, 0, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "id int, y int, fold int, a double, b double")
+    got = nb.nb_out_of_fold(df, "y", ["a", "b"], [0, 1, 2], key=["id"]).collect()
+    assert {r.prediction is None for r in got if r.fold} == {True}  # they train with the row
+    assert {r.prediction is None for r in got if not r.fold} == {False}
+
+
 def test_naive_bayes_visits_few_classes(spark):
     """Three hundred classes side by side: rows are scored against the few blocks whose bound still reaches them."""
     rng = np.random.default_rng(8)
