@@ -7,12 +7,14 @@ their blocks, compared within a file by Hamming distance, and a link is kept if
 file emits the links that hold it together, not all pairs.
 
 What the fingerprints miss is found by prefixes: two sets of a Jaccard similarity of at least s share a shingle among the first
-n - ceil(s * n) + 1 of each in any order that all sets keep, here the seldom ones first. Texts of different groups that share one are compared as well.
+n - ceil(s * n) + 1 of each in any order that all sets keep, here the seldom ones first. Texts of different groups that share one are compared as well,
+unless bitmaps of their shingles differ in more bits than alike sets have shingles for themselves.
 The groups are then those of all pairs that are alike; large groups of near copies are one group by then and are not paired again.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -34,6 +36,7 @@ _WORDS_AT_A_TIME = 4_096
 _KINDS = 1 << 22  # kinds of shingles, by their hash, that are counted to tell frequent ones
 _FREQUENT = 1 << 18  # kinds that are told apart by their number at most; others count as seldom. The order changes the work, not the result
 _PAIRS_AT_A_TIME = 1 << 16
+_MAPS, _MAP_BITS = 256, 1 << 15  # bitmaps, a megabyte in all, that tell where a text is read whether it may be looked for
 
 
 def words_of(text: str) -> list[bytes]:
@@ -74,7 +77,26 @@ def prefix_of(shingles: np.ndarray, similarity: float, frequent: np.ndarray, num
         at = np.minimum(np.searchsorted(frequent, kinds), len(frequent) - 1)
         number = np.where(frequent[at] == kinds, numbers[at], 0)
     take = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
-    return shingles[np.lexsort((shingles, number))[:take]]
+    return shingles[np.argsort(number, kind="stable")[:take]]  # they are sorted already
+
+
+def parity_of(shingles: np.ndarray) -> bytes:
+    """Bitmap of 2^k bits, two for each shingle at least: a bit tells whether an odd number of shingles has its number as remainder."""
+    bits = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    times = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((times & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_alike(parities: tuple[bytes, bytes], sizes: tuple[int, int], similarity: float) -> bool:
+    """False only for sets that are not alike: a bit that differs takes a shingle that one of them has for itself.
+
+    Of n shingles in both sets together, alike ones have n * (1 - similarity) / (1 + similarity) that are in one set only, at most.
+    """
+    short, long = sorted((np.frombuffer(p, dtype=np.uint8) for p in parities), key=len)
+    while len(long) > len(short):  # remainders by half as many bits
+        half = len(long) // 2
+        long = long[:half] ^ long[half:]
+    return int(np.bitwise_count(short ^ long).sum()) <= sum(sizes) * (1 - similarity) / (1 + similarity) + 1e-6
 
 
 def _file_links(limit: int):
@@ -111,20 +133,22 @@ def candidate_links(nodes: DataFrame, bits: int) -> DataFrame:
     """
     blocks = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.concat(F.lit("0"), F.hex(F.substring("print", i * 3 + 1, F.lit(3)))))
     keys = F.transform(blocks, lambda h, i: F.conv(h, 16, 10).cast("long") + i.cast("long") * (1 << BLOCK_BITS))
-    filed = nodes.select("node", "print", F.explode(keys).alias("file"))
+    filed = nodes.select("node", F.explode(keys).alias("file"))
     sizes = staged(filed.groupBy("file").count().where("count > 1"), "block-sizes")
-    members = filed.join(sizes, "file")
+    members = filed.join(sizes, "file")  # a fingerprint, twelve times as long as its node, follows only into files with others
     parts = F.ceil(F.col("count") / _PART)
     every_part = F.sequence(F.lit(0).cast("long"), parts - 1)
     own = F.array(F.pmod(F.xxhash64("node"), parts))
     pivot = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) * F.col("count") < _PIVOTS * (1 << 30)
     dealt = members.withColumn("part", F.explode(F.when((parts > 1) & pivot, every_part).otherwise(own)))
+    dealt = dealt.select("file", "part", "node").join(nodes.select("node", "print"), "node")
     gathered = dealt.groupBy("file", "part").agg(F.collect_list(F.struct("node", "print")).alias("members")).where(F.size("members") > 1)
     return gathered.select("members").mapInArrow(_file_links(bits), "a long, b long").distinct()
 
 
 _BATCH = 1_000  # rows of texts or shingles that go to Python together
 _FILES = 64  # files that go to Python together: up to 2,048 fingerprints each
+_TEXTS = 64  # pairs of texts that go to Python together
 
 
 def _fingerprinted(docs: DataFrame) -> DataFrame:
@@ -141,30 +165,38 @@ def _fingerprinted(docs: DataFrame) -> DataFrame:
     return staged(made.select("doc_id", "text_hash", "f.node", "f.print"), "wide-prints", _BATCH)
 
 
+def _rows_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is among ``keys``, with the columns of both; most others are told by bitmaps of hashes before texts are shuffled."""
+
+    def numbered(df: DataFrame) -> DataFrame:
+        place = F.pmod(F.xxhash64("key"), F.lit(_MAPS * _MAP_BITS))
+        return df.withColumns({"map": F.floor(place / _MAP_BITS), "bit": place % _MAP_BITS})
+
+    maps = numbered(keys.select("key")).groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    marked = numbered(rows).join(F.broadcast(maps), "map").where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1)
+    return marked.drop("map", "bit", "bits").join(keys, "key")
+
+
 def _alike(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The links whose nodes' sets of shingles have at least this Jaccard similarity; ``texts`` has node and text of all of them."""
 
-    @F.arrow_udf("binary")
-    def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in text_slices(batches):
-            yield pa.array([shingle_hashes(words_of(t), shingle).tobytes() for t in column.to_pylist()], pa.binary())
-
     @F.arrow_udf("double")
     def jaccard(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        own = functools.lru_cache(maxsize=64)(lambda text: shingle_hashes(words_of(text), shingle))
         for a, b in batches:
             out = []
-            for at in range(0, len(a), 256):
-                for x, y in zip(a.slice(at, 256).to_pylist(), b.slice(at, 256).to_pylist()):
-                    one, two = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                    both = len(np.intersect1d(one, two, assume_unique=True))
-                    out.append(both / (len(one) + len(two) - both))
+            for x, y in zip(a, b):
+                one, two = own(x.as_py()), own(y.as_py())
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                out.append(both / (len(one) + len(two) - both))
             yield pa.array(out, pa.float64())
 
-    sets = staged(texts.dropDuplicates(["node"]).select("node", shingles(text_of()).alias("own")), "shingle-sets", _BATCH)
-    left = links.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
-    pairs = left.join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
-    alike = pairs.select("a", "b", jaccard("own_a", "own_b").alias("similarity")).where(F.col("similarity") >= similarity)
-    return staged(alike.select("a", "b"), "alike", _BATCH)
+    texts = staged(texts.dropDuplicates(["node"]), "linked-texts")
+    left = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    pairs = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    alike = pairs.select("a", "b", jaccard("text_a", "text_b").alias("similarity")).where(F.col("similarity") >= similarity)
+    return staged(alike.select("a", "b"), "alike", _TEXTS)
 
 
 def _frequent_kinds(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,31 +251,43 @@ def missed_links(docs: DataFrame, component: DataFrame, similarity: float, shing
     """(a, b) between nodes of different components whose prefixes share a shingle: every pair of alike texts that is not connected yet is among them.
 
     ``component`` has node and component of the nodes that are linked already. A shingle that one component has for itself, as those of a large group of
-    near copies are, makes no pairs.
+    near copies are, makes no pairs. Most shingles stand in one text only: they go before components are looked up.
     """
     frequent, numbers = _frequent_kinds(docs, shingle)
 
-    @F.arrow_udf("struct<node:bigint,size:bigint,prefix:array<bigint>>")
+    @F.arrow_udf("struct<node:bigint,size:bigint,parity:binary,prefix:array<bigint>>")
     def prefixes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in text_slices(batches):
-            nodes, sizes, own = [], [], []
+            nodes, sizes, parities, own = [], [], [], []
             for words in map(words_of, texts.to_pylist()):
                 shingles = shingle_hashes(words, shingle)
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
                 sizes.append(len(shingles))
+                parities.append(parity_of(shingles))
                 own.append(prefix_of(shingles, similarity, frequent, numbers).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in own])]).astype(np.int32)
             flat = pa.array(np.concatenate([np.empty(0, dtype=np.int64), *own]))
-            columns = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)]
-            yield pa.StructArray.from_arrays(columns, names=["node", "size", "prefix"])
+            columns = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)]
+            yield pa.StructArray.from_arrays(columns, names=["node", "size", "parity", "prefix"])
+
+    @F.arrow_udf("boolean")
+    def near(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([may_be_alike((p, q), (m, n), similarity) for p, q, m, n in zip(*(c.to_pylist() for c in batch))], pa.bool_())
 
-    made = docs.select(prefixes(text_of()).alias("f"))
-    tokens = staged(made.select("f.node", "f.size", F.explode("f.prefix").alias("token")), "prefixes", _BATCH)
-    named = tokens.join(component, "node", "left").select("token", "node", "size", F.coalesce("component", "node").alias("component"))
+    made = staged(docs.select(prefixes(text_of()).alias("f")).select("f.*"), "prefixes", _BATCH)
+    tokens = made.select("node", "size", F.explode("prefix").alias("token"))
+    shared = staged(tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token"), "shared-by-texts")
+    named = tokens.join(shared, "token").distinct().join(component, "node", "left")
+    named = staged(named.select("token", "node", "size", F.coalesce("component", "node").alias("component")), "shared-prefixes")
     shared = staged(named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"), "shared")
     member = F.struct("node", "component", "size")
     files = named.join(shared, "token").groupBy("token").agg(F.collect_set(member).alias("members"))
-    return staged(files.select("members").mapInArrow(_cross_pairs(similarity), "a long, b long").distinct(), "missed", _FILES)
+    pairs = staged(files.select("members").mapInArrow(_cross_pairs(similarity), "a long, b long").distinct(), "missed", _FILES)
+    sketches = made.select("node", "size", "parity").dropDuplicates(["node"])
+    for end in "ab":
+        pairs = pairs.join(sketches.toDF(end, f"size_{end}", f"parity_{end}"), end)
+    return staged(pairs.where(near("parity_a", "parity_b", "size_a", "size_b")).select("a", "b"), "missed-near", _BATCH)
 
 
 def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 92) -> DataFrame:
@@ -262,7 +306,7 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     def alike(links: DataFrame) -> DataFrame:
         # the text of one row of each linked node, so that a hot group of copies is not gathered: all texts of a node have the same words
         linked = nodes.select("node", F.struct("stands.doc_id", "stands.text_hash").alias("key")).join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-        there = docs.select(F.struct("doc_id", F.xxhash64(text_of()).alias("text_hash")).alias("key"), text_of().alias("text")).join(linked, "key")
+        there = _rows_of(docs.select(F.struct("doc_id", F.xxhash64(text_of()).alias("text_hash")).alias("key"), text_of().alias("text")), linked)
         return _alike(links, there.select("node", "text"), shingle, similarity)
 
     found = alike(staged(candidate_links(nodes.select("node", "print"), bits), "candidates", _FILES))
@@ -283,5 +327,6 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     (key,) = unused_names(docs, "key")
     groups = near_copy_groups(docs, similarity, shingle, bits)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("doc_id", "node").agg(F.min("text_hash").alias("text_hash"))
+    first = first.withColumn("text_hash", F.coalesce("text_hash", F.lit(0).cast("long")))  # never null: keys of the same type, so that texts are shuffled once
     keyed = docs.withColumn(key, F.struct("doc_id", F.xxhash64(text_of()).alias("text_hash")))
     return keyed.join(first.select(F.struct("doc_id", "text_hash").alias(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -1,12 +1,15 @@
 """Near copies by wide fingerprints against brute force over all pairs of texts."""
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stratafold.llm import near_copies as nc
+from stratafold.llm.shared import staged
 
 SF = "/root/testdata/sf0.01"
 
@@ -114,3 +117,57 @@ def test_every_alike_pair_is_linked(spark):
     got = {r.doc_id: r.group_id for r in nc.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(pairs) > 300 and got == want
     assert nc.prefix_of(np.arange(10, dtype=np.uint64), 0.8, np.array([0, 1]), np.array([9, 8])).tolist() == [2, 3, 4]
+
+
+def test_bitmaps_of_shingles_refuse_no_alike_pair():
+    """Sets at and around the threshold, of sizes whose bitmaps have different lengths; far ones are refused."""
+    rng = np.random.default_rng(14)
+    refused = 0
+    for n in [1, 2, 5, 30, 31, 32, 33, 64, 65, 500, 1_030]:
+        for _ in range(40):
+            base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            other = np.unique(np.concatenate([base[rng.random(len(base)) < rng.choice([0.2, 0.8, 0.9, 1.0])], rng.integers(0, 1 << 63, rng.integers(0, n // 4 + 2), dtype=np.uint64)]))
+            both = len(np.intersect1d(base, other))
+            similarity = both / (len(base) + len(other) - both)
+            may = nc.may_be_alike((nc.parity_of(base), nc.parity_of(other)), (len(base), len(other)), 0.8)
+            assert may or similarity < 0.8
+            assert nc.may_be_alike((nc.parity_of(base), nc.parity_of(other)), (len(base), len(other)), similarity)
+            refused += not may
+    assert refused > 100
+
+
+def test_bitmaps_of_keys_lose_no_row(spark, monkeypatch):
+    monkeypatch.setattr(nc, "_MAPS", 2)
+    monkeypatch.setattr(nc, "_MAP_BITS", 64)
+    ids = [None, *range(3_000)]
+    rows = spark.createDataFrame([(i, f"text {i}") for i in ids for _ in range(1 + (i == 7))], "doc_id long, text string").select(F.struct("doc_id").alias("key"), "text")
+    keys = spark.createDataFrame([(i, -1 if i is None else i) for i in [None, 7, *range(100, 160), 5_000]], "doc_id long, node long").select("node", F.struct("doc_id").alias("key"))
+    got = sorted((r.node, r.text) for r in nc._rows_of(rows, keys).collect())
+    assert got == sorted([(-1, "text None"), (7, "text 7"), (7, "text 7"), *((i, f"text {i}") for i in range(100, 160))])
+    assert nc._rows_of(rows, keys.limit(0)).collect() == []
+
+
+def shuffle_bytes(spark):
+    """Bytes of shuffle files on the disk of this local session."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*.data") if f.exists())
+
+
+def test_shuffles_of_written_tables_leave_the_disk(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    df = spark.range(300_000).select(F.xxhash64("id").alias("key")).repartition(4, "key").groupBy("key").count()
+    before = shuffle_bytes(spark)
+    table = staged(df, "counted")
+    end = time.monotonic() + 3  # soon, not when Java happens to collect its garbage
+    while shuffle_bytes(spark) > before + 1_000_000 and time.monotonic() < end:
+        time.sleep(0.1)
+    assert shuffle_bytes(spark) <= before + 1_000_000  # the keys alone have 2.4 MB
+    assert table.count() == 300_000 and spark.conf.get(setting, None) == was
+
+
+def test_texts_are_shuffled_once_to_drop_copies(spark):
+    docs = spark.createDataFrame([(i, f"text number {i % 900} of {i % 900} others") for i in range(1_000)], "doc_id long, text string")
+    plan = nc.drop_near_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    last = plan[: plan.index("LeftSemi")]
+    assert "Exchange hashpartitioning" not in last
