@@ -65,3 +65,28 @@ def test_queries_that_are_few_or_none(spark):
     assert knn.knn_join(queries.limit(0), points, 5, "v", ["qid"], "pid", max_point_bytes=0).count() == 0
     odd = points.where("pid = 'odd'")
     assert knn.knn_join(queries, odd.union(odd), 5, "v", ["qid"], "pid", max_point_bytes=0).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [2500, 10**6])
+def test_index_in_chunks_finds_what_the_files_hold(spark, monkeypatch, chunk):
+    queries, points = tables(spark, nulls=False)
+    index = vi.build_index(points, "pid", "v", ["y"], centres=8)
+    probes = {tuple(r.v): set(r._probes) for r in vi._probed(queries.where("v is not null"), ["v"], "v", index.centres, 3).collect()}
+    filed = [(r.pid, r.y, np.asarray(r.v), r._file) for r in index.filed.collect()]
+    want = []
+    for q, own in ((r, probes[tuple(r.v)]) for r in queries.where("v is not null and (qid is null or qid <> 7)").collect()):
+        near = sorted((float(np.sqrt(((np.asarray(q.v) - v) ** 2).sum())), pid, y) for pid, y, v, f in filed if f in own)[:4]
+        want += [(q.qid, pid, y, far, i + 1) for i, (far, pid, y) in enumerate(near)]
+    monkeypatch.setattr(knn, "CHUNK_BYTES", chunk)
+    got = vi.search_index(index, queries.where("qid is null or qid <> 7"), ["qid"], 4, probes=3, block_rows=16)
+    assert rows(got) == sorted(want, key=repr)
+
+
+def test_probes_are_not_written(spark):
+    n, d = 2000, 16
+    v = np.random.default_rng(2).normal(size=(n, d))
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "pid long, v array<double>").repartition(4)
+    index = vi.build_index(points, "pid", "v", centres=40)
+    before = shuffled(spark)
+    assert vi.search_index(index, points.select(F.col("pid").alias("qid"), "v"), ["qid"], 3, probes=25, block_rows=20).count() == 3 * n
+    assert shuffled(spark) - before < 8 * n * d * 8  # a query asked 25 files of 50 points in three blocks
