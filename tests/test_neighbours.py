@@ -90,3 +90,13 @@ def test_probes_are_not_written(spark):
     before = shuffled(spark)
     assert vi.search_index(index, points.select(F.col("pid").alias("qid"), "v"), ["qid"], 3, probes=25, block_rows=20).count() == 3 * n
     assert shuffled(spark) - before < 8 * n * d * 8  # a query asked 25 files of 50 points in three blocks
+
+
+def test_out_of_fold_neighbours_write_no_pairs(spark):
+    n, d = 1500, 16
+    v = np.random.default_rng(4).normal(size=(n, d))
+    df = spark.createDataFrame([(i, i % 3, i % 3, x.tolist()) for i, x in enumerate(v)], "id long, y int, fold int, v array<double>").repartition(4)
+    want = rows(knn.knn_out_of_fold(df, 3, "v", "id", "y", [0, 1, 2]))
+    before = shuffled(spark)
+    assert rows(knn.knn_out_of_fold(df, 3, "v", "id", "y", [0, 1, 2], max_point_bytes=0)) == want
+    assert shuffled(spark) - before < 12 * n * d * 8  # three searches; each query met some thirty cells in each
