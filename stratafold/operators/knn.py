@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from ..session import checkpoint_dir, kept, removed, scratch_folder, stored
+from ..session import checkpoint_dir, kept, removed, scratch_folder, short_shuffles, stored
 from .folds import hash_order
 from .voting import top_votes
 
@@ -328,7 +328,7 @@ def chunk_of(chunked: DataFrame, chunk: int) -> pa.Table:
 
 def _cell_search(queries, points, k, vec, query_key, point_key, cols, schema, block_rows, pivots) -> DataFrame:
     spark = queries.sparkSession
-    with scratch_folder(spark, "cells") as folder:
+    with scratch_folder(spark, "cells") as folder, short_shuffles(spark):
         points = stored(points, f"{folder}/points")
         sound = ~F.exists(vec, lambda x: x.isNull() | F.isnan(x))
         top = points.where(sound).withColumn("_h", hash_order([point_key], 0)).orderBy("_h", point_key).limit(pivots).select(vec)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from ..session import scratch_folder, stored
+from ..session import scratch_folder, short_shuffles, stored
 from .folds import hash_order
 from .knn import BLOCK_ROWS, _matrix, _width, in_chunks, no_best, passes
 
@@ -101,7 +101,7 @@ def search_index(index: VectorIndex, queries: DataFrame, query_key: list[str], k
     vec, n = index.vec, len(index.centres)
     copies = Window.partitionBy(vec).orderBy(F.col(index.key).asc_nulls_last())  # of equal vectors only the lowest keys are found
     filed = index.filed.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
-    with scratch_folder(spark, "index") as folder:
+    with scratch_folder(spark, "index") as folder, short_shuffles(spark):
         filed = stored(filed, f"{folder}/filed")
         sizes = {r["_file"]: r["bytes"] for r in filed.groupBy("_file").agg(F.sum(_width(vec, cols)).alias("bytes")).collect()}  # a row for each centre
         chunked, parts = in_chunks(filed, "_file", sizes, cols, vec, f"{folder}/chunks")
